@@ -40,7 +40,11 @@ def join_per_key(
     # the map task's number spreads full copies of one row; it is the same again when a task is repeated
     plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
     spread = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
-    left = rows.join(hot, match, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop(*drop)
+    lost = F.lit(False)  # rows without a key match nothing; they are spread too
+    for k in keys:
+        lost = lost | rows[k].isNull()
+    left = rows.join(hot, match, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | lost, spread).otherwise(0)).drop(*drop)
     sub_keys = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = per_key.join(hot, match, "left").withColumn("_salt", F.explode(sub_keys)).drop(*drop)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
