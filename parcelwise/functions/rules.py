@@ -250,7 +250,10 @@ def group_issues(eligible: Column, regime_name: Column, assisted: Column, vouche
 
 def primary_group(eligible: Column, regime_name: Column, assisted: Column, voucher: Column) -> Column:
     """One exclusive label per row; contradictory answers are unknown, never unassisted."""
-    clash = F.size(group_issues(eligible, regime_name, assisted, voucher)) > 0
+    clash = (
+        (assisted == "not_applicable") | (voucher == "not_applicable")
+        | ((voucher == "yes") & ((assisted == "no") | (regime_name == "public_housing")))
+    )
     return (
         F.when(~eligible, "ineligible")
         .when(clash, "unknown")

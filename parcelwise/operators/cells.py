@@ -34,11 +34,24 @@ class Replicates:
     critical: float = 1.96
 
 
-Members = Mapping[str, Column]
+@dataclass(frozen=True)
+class Label:
+    """A dimension without overlap: the column holds the member's id."""
+
+    column: Column
+    ids: tuple[str, ...]
+
+    def __iter__(self):
+        return iter(self.ids)
+
+
+Members = Mapping[str, Column] | Label
 
 
 def memberships(members: Members) -> Column:
     """Ids of the members whose condition holds, as a list."""
+    if isinstance(members, Label):
+        return F.filter(F.array(members.column), lambda x: x.isin(*members.ids))
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(k)) for k, cond in members.items()]))
 
 
