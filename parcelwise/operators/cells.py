@@ -1,8 +1,8 @@
 """Survey estimates over overlapping cells in one pass.
 
 A row belongs to several cells (its own area and the whole city, a narrow and a wide population). Rows are
-first reduced by their membership lists, then the reduced rows are repeated per cell, so the shuffle carries
-sums and not raw rows. Cells without any row stay in the output.
+repeated per cell and summed by (cell, value) in the map task, so the shuffle carries sums and not raw rows.
+Cells without any row stay in the output.
 """
 
 from __future__ import annotations
@@ -104,20 +104,16 @@ def cell_estimates(
     )
     for d in names:
         tagged = tagged.where(F.size(d) > 0)
-    # reduced by membership lists first; unusable rows share the null value
-    reduced = med.sum_by_value(tagged, names, F.col("_v"), F.col("_a"), n, kind)
-    counts = tagged.groupBy(*names, (F.col("_v").isNotNull()).alias("_u")).agg(
+    # rows are repeated per cell and reduced to (cell, value) in the same map task, before the shuffle
+    usable_rows = tagged.where("_v is not null")
+    counts = tagged.groupBy(*names, F.col("_v").isNotNull().alias("_u")).agg(
         F.count("*").alias("_n"),
         F.count_if(~F.coalesce(finite(F.col("_a")[0]) > 0, F.lit(False))).alias("_bad_w"),
         F.sum(med.usable_weight(F.col("_a")[0], kind)).alias("_sw"),
     )
     for d in names:
-        reduced = reduced.withColumn(d, F.explode(d))
         counts = counts.withColumn(d, F.explode(d))
-    sums = (
-        reduced.where("_v is not null").groupBy(*names, "_blk", "_v")
-        .agg(*[F.sum(c).alias(c) for c in reduced.columns if c.startswith("_w")], F.sum("_bad").alias("_bad"))
-    )
+    sums = med.sum_by_value(usable_rows, names, F.col("_v"), F.col("_a"), n, kind, explode=names)
     totals = counts.groupBy(*names).agg(
         F.sum("_n").alias("eligible_n"), F.sum(F.when(F.col("_u"), F.col("_n")).otherwise(0)).alias("usable_n"),
         F.sum("_bad_w").alias("invalid_weight_n"), F.sum("_sw").cast("double").alias("eligible_weight"),
@@ -263,9 +259,7 @@ def benchmark_medians(
     usable = rows.where((finite(F.col(value)) > 0) & (finite(F.col(weight)) > 0))
     tagged = usable.select(
         F.array_compact(F.array(F.lit(everyone), category)).alias("name"), F.col(value), F.col(weight))
-    reduced = med.sum_by_value(tagged, ["name"], finite(F.col(value)), F.array(weight), 1, kind)
-    sums = reduced.withColumn("name", F.explode("name")).groupBy("name", "_blk", "_v").agg(
-        F.sum("_w0").alias("_w0"), F.sum("_bad").alias("_bad"))
+    sums = med.sum_by_value(tagged, ["name"], finite(F.col(value)), F.array(weight), 1, kind, explode=["name"])
     return med.medians(sums, ["name"]).select("name", F.bround("_m", 0).alias("computed"))
 
 
