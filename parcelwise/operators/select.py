@@ -42,7 +42,7 @@ def ranked(comparisons: DataFrame, **kw) -> DataFrame:
 
 
 def best_per_subject(comparisons: DataFrame, **kw) -> DataFrame:
-    pool = allowed(comparisons, **kw).where(F.coalesce("subject_id", F.lit("")) != "")
+    pool = allowed(comparisons, **kw).where(F.coalesce(F.col("subject_id").cast("string"), F.lit("")) != "")
     return first_per_key(pool, ["subject_id"], *best_first())
 
 
@@ -54,7 +54,7 @@ def preferred(
     A wish is the first sort key, so no second pass over the group is needed. When no row answers the bedroom
     wish and only all-unit rows are left, the subject has no answer (for no source wish or the all-unit source).
     """
-    pool = allowed(comparisons, **kw).where(F.coalesce("subject_id", F.lit("")) != "")
+    pool = allowed(comparisons, **kw).where(F.coalesce(F.col("subject_id").cast("string"), F.lit("")) != "")
     cid = F.lower(F.coalesce("comparison_id", F.lit("")))
     hit = F.lit(False)
     if source:
@@ -86,7 +86,7 @@ def strict(comparisons: DataFrame, source: str | None = None, bedroom: int | Non
     Without any wish a subject whose pool is empty falls back to its best row of the default filter.
     """
     own = F.coalesce(F.nullif("market_source", F.lit("")), rules.source_from_id(F.col("comparison_id")), F.lit("unknown"))
-    pool = allowed(comparisons, **kw).where(F.coalesce("subject_id", F.lit("")) != "")
+    pool = allowed(comparisons, **kw).where(F.coalesce(F.col("subject_id").cast("string"), F.lit("")) != "")
     if source:
         pool = pool.where(own == source)
     if bedroom is not None:
@@ -104,7 +104,7 @@ def strict(comparisons: DataFrame, source: str | None = None, bedroom: int | Non
 
 def alternatives(comparisons: DataFrame, limit: int = 8, **kw) -> DataFrame:
     """The next best rows after the best one, ``place`` 1 to ``limit``."""
-    pool = allowed(comparisons, **kw).where(F.coalesce("subject_id", F.lit("")) != "")
+    pool = allowed(comparisons, **kw).where(F.coalesce(F.col("subject_id").cast("string"), F.lit("")) != "")
     top = top_per_key(pool, ["subject_id"], limit + 1, *best_first(), name="place")
     return top.withColumn("place", F.col("place") - 1).where("place > 0")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("survey",)
+MODULES = ("survey", "ingest", "dedupe", "compare", "areas", "series", "snapshot")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
