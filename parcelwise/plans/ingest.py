@@ -175,7 +175,7 @@ def _(spark, sf):
 
 @R.add("q_usable_values", """
     select count(*) as n, count(*) filter (where v > 0 and w > 0) as usable, count(*) filter (where coalesce(not w > 0, true)) as bad_weight,
-           sum(case when w > 0 then w end) as weight
+           sum(case when w > 0 then w end)::bigint as weight
     from (select case when o_orderkey % 7 = 0 then null else o_totalprice end as v,
                  case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 0 else o_orderkey % 5 end as w from orders)""")
 def _(spark, sf):

@@ -416,7 +416,7 @@ _SHARE_SQL = f"""
              d is not null as available, case when d is not null then coalesce(x, 0) / d end as share,
              sqrt(v) as standard_error, case when v is not null then greatest(0, x / d - 1.96 * sqrt(v)) end as ci_lower,
              case when v is not null then least(1, x / d + 1.96 * sqrt(v)) end as ci_upper,
-             d is not null and x is null as none_observed, coalesce(missing_n, 0) as missing_n, coalesce(missing_weight, 0) as missing_weight,
+             d is not null and x is null as none_observed, coalesce(missing_n, 0) as missing_n, coalesce(missing_weight, 0)::double as missing_weight,
              case when d is null then 'unavailable' when x is null then 'none_observed'
                   when cell_n < 30 or sqrt(v) / (x / d) > 0.3 then 'use_with_caution' else 'reliable' end as reliability
       from (select * from (select unnest(['urgent','high']) as grp), (select unnest(['all','r0','r1','nowhere']) as geography_id),
