@@ -83,7 +83,7 @@ def cell_caveats(n: Column, cv: Column, q: Quality) -> Column:
 
 
 def cell_estimates(
-    rows: DataFrame, dims: Mapping[str, Members], value: str, weight: str, replicates: Column | None = None,
+    rows: DataFrame, dims: Mapping[str, Members], value: str, weight: str, replicates: Column | med.Weights | None = None,
     reps: Replicates | None = None, quality: Quality = Quality(), kind: str = med.EXACT,
 ) -> DataFrame:
     """Weighted median estimate of every cell of the crossed dimensions.
@@ -94,26 +94,23 @@ def cell_estimates(
     usable value makes it unavailable, and neither is ever zero-filled or imputed.
     """
     names = list(dims)
-    n = reps.count + 1 if reps else 1
     w, v = finite(F.col(weight)), finite(F.col(value))
     usable = (v > 0) & (w > 0)
-    tagged = rows.select(
-        *[memberships(m).alias(d) for d, m in dims.items()],
-        F.when(usable, v).alias("_v"),
-        (med.all_weights(F.col(weight), replicates) if reps else F.array(F.col(weight).try_cast("double"))).alias("_a"),
-    )
+    tagged = rows.select("*", *[memberships(m).alias(d) for d, m in dims.items()],
+                         F.when(usable, v).alias("_v"), w.alias("_full"))
     for d in names:
         tagged = tagged.where(F.size(d) > 0)
     # rows are repeated per cell and reduced to (cell, value) in the same map task, before the shuffle
     usable_rows = tagged.where("_v is not null")
     counts = tagged.groupBy(*names, F.col("_v").isNotNull().alias("_u")).agg(
         F.count("*").alias("_n"),
-        F.count_if(~F.coalesce(finite(F.col("_a")[0]) > 0, F.lit(False))).alias("_bad_w"),
-        F.sum(med.usable_weight(F.col("_a")[0], kind)).alias("_sw"),
+        F.count_if(~F.coalesce(F.col("_full") > 0, F.lit(False))).alias("_bad_w"),
+        F.sum(med.usable_weight(F.col("_full"), kind)).alias("_sw"),
     )
     for d in names:
         counts = counts.withColumn(d, F.explode(d))
-    sums = med.sum_by_value(usable_rows, names, F.col("_v"), F.col("_a"), n, kind, explode=names)
+    sums = med.sum_by_value(
+        usable_rows, names, F.col("_v"), F.col("_full"), replicates, reps.count if reps else 0, kind, explode=names)
     totals = counts.groupBy(*names).agg(
         F.sum("_n").alias("eligible_n"), F.sum(F.when(F.col("_u"), F.col("_n")).otherwise(0)).alias("usable_n"),
         F.sum("_bad_w").alias("invalid_weight_n"), F.sum("_sw").cast("double").alias("eligible_weight"),
@@ -259,7 +256,7 @@ def benchmark_medians(
     usable = rows.where((finite(F.col(value)) > 0) & (finite(F.col(weight)) > 0))
     tagged = usable.select(
         F.array_compact(F.array(F.lit(everyone), category)).alias("name"), F.col(value), F.col(weight))
-    sums = med.sum_by_value(tagged, ["name"], finite(F.col(value)), F.array(weight), 1, kind, explode=["name"])
+    sums = med.sum_by_value(tagged, ["name"], finite(F.col(value)), F.col(weight), kind=kind, explode=["name"])
     return med.medians(sums, ["name"]).select("name", F.bround("_m", 0).alias("computed"))
 
 

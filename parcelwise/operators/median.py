@@ -13,7 +13,7 @@ and come out the same in every branch of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,30 +44,58 @@ def block_width(n: int) -> int:
     return -(-n // -(-n // BLOCK))
 
 
+# replicate number (from 1) -> weight. Numbers rather than an array, so that the expression stays in generated
+# code whether the weights are columns or computed.
+Weights = Callable[[Column], Column]
+
+
+def numbered(replicates: Column | Weights) -> Weights:
+    """Replicate weights by number; an array column is read by position."""
+    return (lambda i: F.get(replicates, i - 1)) if isinstance(replicates, Column) else replicates
+
+
 def sum_by_value(
-    rows: DataFrame, by: Sequence[str], value: Column, weights: Column, n: int, kind: str = EXACT,
-    explode: Sequence[str] = (),
+    rows: DataFrame, by: Sequence[str], value: Column, weight: Column, replicates: Column | Weights | None = None,
+    n_replicates: int = 0, kind: str = EXACT, explode: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (group, value, weight block): summed weights ``_w0..`` and ``_bad``, the invalid rows.
 
-    ``weights`` is an array of ``n`` numbers, the full-sample weight first. A row is invalid when one of its
+    Weight number 0 is the full-sample weight, the replicates follow. A row is invalid when one of its
     replicate weights is missing, not finite or negative. Group columns named in ``explode`` hold lists of
-    groups; the row counts in each of them.
+    groups; the row counts in each of them. The code per weight is kept short: a generated method over 8 kB is
+    never compiled by the JVM and runs ten times slower.
     """
+    n = n_replicates + 1
     width = block_width(n)
-    invalid = F.exists("_ws", lambda x: F.coalesce(~((x >= 0) & (x < float("inf"))), F.lit(True)))
-    slim = rows.select(*by, value.alias("_v"), weights.cast("array<double>").alias("_ws"))
-    if n == 1:
-        slim = slim.withColumn("_b", F.lit(False)).withColumn("_blk", F.lit(0))
-    else:
-        slim = slim.withColumn("_b", F.when(F.size("_ws") != n, True).otherwise(invalid))
+    blocks = -(-n // width)
+    slim = rows.withColumn("_v", value)
     for d in explode:
         slim = slim.withColumn(d, F.explode(d))
-    if n > 1:
-        slim = slim.withColumn("_blk", F.explode(F.lit(list(range(-(-n // width))))))
-    cells = [usable_weight(F.get("_ws", F.col("_blk") * width + i), kind).alias(f"_w{i}") for i in range(width)]
-    return slim.select(*by, "_blk", "_v", "_b", *cells).groupBy(*by, "_blk", "_v").agg(
-        *[F.sum(f"_w{i}").alias(f"_w{i}") for i in range(width)], F.count_if("_b").alias("_bad")
+    slim = slim.withColumn("_blk", F.explode(F.lit(list(range(blocks)))) if blocks > 1 else F.lit(0))
+    cells = []
+    for i in range(width):
+        k = F.col("_blk") * width + i if blocks > 1 else F.lit(i)
+        if n_replicates == 0:
+            x = weight
+        else:
+            x = numbered(replicates)(k)
+            if i == 0:
+                x = F.when(k == 0, weight).otherwise(x)
+            if (blocks - 1) * width + i >= n:  # the last block may be shorter
+                x = F.when(k < n, x).otherwise(0)
+        cells.append(x.try_cast("double").alias(f"_x{i}"))
+    slim = slim.select(*by, "_blk", "_v", *cells)
+    xs = [F.col(f"_x{i}") for i in range(width)]
+    bad = F.lit(False)
+    if n_replicates:
+        # a missing, NaN or infinite weight shows in the total
+        total = xs[0]
+        for x in xs[1:]:
+            total = total + x
+        low = F.least(*xs) if width > 1 else xs[0]
+        bad = F.coalesce(~((total < float("inf")) & (low >= 0)), F.lit(True))
+    return slim.groupBy(*by, "_blk", "_v").agg(
+        *[F.sum(usable_weight(x, kind)).alias(f"_w{i}") for i, x in enumerate(xs)], F.count_if(bad).alias("_bad")
     )
 
 
@@ -128,7 +156,7 @@ def weighted_median(
     """Weighted median per group; groups without a usable row do not appear."""
     by, rows, drop = _grouped(rows, by)
     v = finite(F.col(value))
-    out = medians(sum_by_value(rows.where(v.isNotNull()), by, v, F.array(weight), 1, kind), by, midpoint)
+    out = medians(sum_by_value(rows.where(v.isNotNull()), by, v, F.col(weight), kind=kind), by, midpoint)
     return out.select(*by, F.col("_m").alias(name)).drop(*drop)
 
 
@@ -161,23 +189,19 @@ def uncertainty_columns(point: Column, variance: Column, critical: float) -> dic
 UNCERTAINTY = ("variance", "standard_error", "margin_of_error", "ci_lower", "ci_upper", "cv")
 
 
-def all_weights(weight: Column, replicates: Column) -> Column:
-    return F.concat(F.array(weight.try_cast("double")), replicates.cast("array<double>"))
-
-
 def median_uncertainty(
-    rows: DataFrame, by: Sequence[str], value: str, weight: str, replicates: Column, n_replicates: int, *,
+    rows: DataFrame, by: Sequence[str], value: str, weight: str, replicates: Column | Weights, n_replicates: int, *,
     multiplier: float, critical: float, kind: str = EXACT,
 ) -> DataFrame:
     """Median with variance, standard error, margin, interval and coefficient of variation per group.
 
-    ``replicates`` is the array of replicate weights. Rows count when value and full-sample weight are positive. Any invalid replicate weight, or a replicate
+    ``replicates`` is the array of replicate weights, or an expression of their number. Rows count when value and full-sample weight are positive. Any invalid replicate weight, or a replicate
     without a median, leaves the point and gives no uncertainty.
     """
     by, rows, drop = _grouped(rows, by)
     usable = rows.where((finite(F.col(value)) > 0) & (finite(F.col(weight)) > 0))
     sums = sum_by_value(
-        usable, by, finite(F.col(value)), all_weights(F.col(weight), replicates), n_replicates + 1, kind)
+        usable, by, finite(F.col(value)), F.col(weight), replicates, n_replicates, kind)
     return uncertainty_from_sums(sums, by, n_replicates, multiplier, critical).drop(*drop)
 
 

@@ -34,6 +34,11 @@ def replicate_weights(weight, a, b, n: int):
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: weight * (((a * (2 * i + 1) + b * i) % 7) % 3))
 
 
+def numbered_weights(weight, a, b):
+    """The same weights by their number."""
+    return lambda i: weight * (((a * (2 * i + 1) + b * i) % 7) % 3)
+
+
 def replicate_sql(weight: str, a: str, b: str, i: str = "r") -> str:
     return f"{weight} * ((({a} * (2 * {i} + 1) + {b} * {i}) % 7) % 3)"
 
@@ -82,12 +87,9 @@ def _(spark, sf):
 
 
 def _uncertainty(spark, sf):
-    li = table(spark, sf, "lineitem")
-    li = li.select(
-        "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity",
-        replicate_weights(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_partkey"), N_REPS).alias("reps"))
+    reps = numbered_weights(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_partkey"))
     return med.median_uncertainty(
-        li, ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity", F.col("reps"), N_REPS,
+        table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity", reps, N_REPS,
         multiplier=0.05, critical=1.96, kind=med.WHOLE)
 
 
@@ -134,8 +136,7 @@ def cell_rows(spark, sf) -> DataFrame:
         "n_regionkey", "l_returnflag", F.year("l_shipdate").alias("yr"),
         F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice")).alias("v"),
         F.when((F.col("l_returnflag") == "A") & (F.col("l_orderkey") % 50 == 0), F.lit(0.0))
-        .otherwise(F.col("l_quantity")).alias("w"),
-        replicate_weights(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_partkey"), CELL_REPS).alias("reps"))
+        .otherwise(F.col("l_quantity")).alias("w"), "l_quantity", "l_orderkey", "l_partkey")
 
 
 def cell_dims() -> dict:
@@ -150,7 +151,8 @@ def cell_dims() -> dict:
 
 def cell_frame(spark, sf) -> DataFrame:
     rows = cell_rows(spark, sf)
-    return cel.cell_estimates(rows, cell_dims(), "v", "w", F.col("reps"), cel.Replicates(CELL_REPS), kind=med.WHOLE)
+    reps = numbered_weights(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_partkey"))
+    return cel.cell_estimates(rows, cell_dims(), "v", "w", reps, cel.Replicates(CELL_REPS), kind=med.WHOLE)
 
 
 _CELL_ROWS = f"""
