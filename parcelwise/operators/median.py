@@ -124,8 +124,9 @@ def medians(sums: DataFrame, by: Sequence[str], midpoint: bool = True, steps: in
         .where("_w > 0 and _cum * 2 >= _total and _before * 2 <= _total")
         .select(*by, "_blk", "_k", "_i", "_bad", "_total", "_before")
     )
-    # "_bad" is kept here too: with the same columns Spark runs the shared sums once and reuses their shuffle
-    rows = bucketed.select(*by, "_blk", "_k", "_v", F.col("_bad").alias("_row_bad"), F.array(*ws).alias("_ws"))
+    # "_bad" is kept here too: with the same columns in the same order Spark runs the shared sums once and
+    # reuses their shuffle
+    rows = bucketed.select(*by, "_blk", "_k", "_v", F.array(*ws).alias("_ws"), F.col("_bad").alias("_row_bad"))
     # groups match null-safe: a missing group is a group, and no filter appears in only one branch
     m = middle.select(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_blk").alias("_m_blk"), F.col("_k").alias("_m_k"),
                       "_i", "_bad", "_total", "_before")
