@@ -99,11 +99,11 @@ def sum_by_value(
     )
 
 
-def medians(sums: DataFrame, by: Sequence[str], midpoint: bool = True, steps: int = STEPS) -> DataFrame:
+def medians(sums: DataFrame, by: Sequence[str], steps: int = STEPS) -> DataFrame:
     """Weighted median per group and weight number, from ``sum_by_value`` output without null values.
 
-    ``midpoint``: when the running weight hits exactly half, the mean of this and the next value; otherwise
-    the first value that reaches half. Columns: ``by``, ``_r`` (weight number), ``_m`` (median), ``_bad``.
+    ``_m`` is the median (the mean of this and the next value when the running weight hits exactly half),
+    ``_first`` the first value that reaches half. Other columns: ``by``, ``_r`` (weight number), ``_bad``.
     """
     by = list(by)
     ws = [c for c in sums.columns if c.startswith("_w")]
@@ -145,9 +145,10 @@ def medians(sums: DataFrame, by: Sequence[str], midpoint: bool = True, steps: in
         .where("_cum * 2 >= _total")
     )
     tie = (F.col("_cum") * 2 == F.col("_total")) & F.col("_next").isNotNull()
-    at = F.when(tie, (F.col("_v") + F.col("_next")) / 2).otherwise(F.col("_v")) if midpoint else F.col("_v")
-    return inner.groupBy(*by, "_blk", "_i").agg(F.min_by(at, "_v").alias("_m"), F.greatest(F.max("_bad"), F.max("_row_bad")).alias("_bad")).select(
-        *by, (F.col("_blk") * len(ws) + F.col("_i")).alias("_r"), "_m", "_bad")
+    at = F.when(tie, (F.col("_v") + F.col("_next")) / 2).otherwise(F.col("_v"))
+    return inner.groupBy(*by, "_blk", "_i").agg(
+        F.min_by(at, "_v").alias("_m"), F.min("_v").alias("_first"), F.greatest(F.max("_bad"), F.max("_row_bad")).alias("_bad")).select(
+        *by, (F.col("_blk") * len(ws) + F.col("_i")).alias("_r"), "_m", "_first", "_bad")
 
 
 def weighted_median(
@@ -157,8 +158,8 @@ def weighted_median(
     """Weighted median per group; groups without a usable row do not appear."""
     by, rows, drop = _grouped(rows, by)
     v = finite(F.col(value))
-    out = medians(sum_by_value(rows.where(v.isNotNull()), by, v, F.col(weight), kind=kind), by, midpoint)
-    return out.select(*by, F.col("_m").alias(name)).drop(*drop)
+    out = medians(sum_by_value(rows.where(v.isNotNull()), by, v, F.col(weight), kind=kind), by)
+    return out.select(*by, F.col("_m" if midpoint else "_first").alias(name)).drop(*drop)
 
 
 def median(rows: DataFrame, by: Sequence[str], value: str, *, name: str = "median") -> DataFrame:

@@ -161,16 +161,21 @@ def summary(rows: DataFrame, field: str, by: Sequence[str] = (), units: str = "u
     base = rows if by else rows.withColumn("_all", F.lit(0))
     base = base.where(F.col(field).isNotNull()).select(
         *keys, F.col(field).cast("double").alias("_x"), unit_weight(F.col(units)).cast("bigint").alias("_u"))
-    plain = med.median(base, keys, "_x", name="unweighted_median")
-    proxy = med.weighted_median(base, keys, "_x", "_u", midpoint=False, kind=med.WHOLE, name="weighted_median_proxy")
+    # weight number 0 is the unit count, number 1 counts every row once: both medians from one pass
+    sums = med.sum_by_value(base, keys, F.col("_x"), F.col("_u"), lambda i: F.lit(1.0), 1, med.WHOLE)
+    middle = med.medians(sums, keys).groupBy(*keys).agg(
+        F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias("unweighted_median"),
+        F.max(F.when(F.col("_r") == 0, F.col("_first"))).alias("weighted_median_proxy"))
     cents = F.col("_x").cast("decimal(24,8)")
     means = base.groupBy(*keys).agg(
         F.count("*").alias("n"),
         (F.sum(cents * F.col("_u").cast("decimal(14,0)")).cast("double") / F.sum("_u").cast("double"))
         .alias("weighted_mean"),
         F.sum("_u").alias("total_units"))
-    out = means.join(plain, keys).join(proxy, keys)
-    return out if by else out.drop("_all")
+    if by:
+        return means.join(middle, keys)
+    both = middle.select(F.struct("unweighted_median", "weighted_median_proxy")).scalar()  # one row
+    return means.drop("_all").withColumn("_both", both).select("*", "_both.*").drop("_both")
 
 
 def metric_rows(subjects: DataFrame, best: DataFrame, market: DataFrame, tenant_first: DataFrame) -> DataFrame:
