@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import suffix_dedup
+from parcelwise.llm import decontaminate, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,9 +39,37 @@ from d left join n using (doc_id) left join first using (doc_id) left join kept
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digest(decontaminate.mark(documents(spark, sf_dir), items, ["doc_id"]))
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bp as (select item_id, w, least(len(w), 10) n, unnest(range(1, len(w) - least(len(w), 10) + 2)) p from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') k from bp),
+dp as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from d, (select distinct n from bw) where len(w) >= n),
+dw as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') k from dp),
+m as (select doc_id, item_id, p, n from dw join bw using (n, k)),
+h as (select doc_id, count(distinct q) c from (select doc_id, unnest(range(p, p + n)) q from m) group by all),
+i as (select doc_id, count(*) c, string_agg(item_id, ',' order by item_id) s
+  from (select distinct doc_id, item_id::varchar item_id from m) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(h.c, 0)::bigint n_hit, coalesce(i.c, 0)::bigint n_items,
+  sha256(coalesce(i.s, '')) items_sha256, coalesce(h.c, 0) > 0 contaminated
+from d left join h using (doc_id) left join i using (doc_id)
+"""
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_dedup": op1_suffix_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL}
+    return dict(SQL)

@@ -7,7 +7,10 @@ says that it keeps them; repeated rows are handled one by one; an empty table gi
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,26 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 2 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so that tasks can import them anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="parcelwise-"), "parcelwise.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``, one of our own only where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -42,6 +65,7 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     """(chunk, doc_id, text) of the rows with an id; ids are dealt evenly over the chunks by hash."""
+    ship(docs.sparkSession)
     return docs.filter(F.col("doc_id").isNotNull()).select(
         F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
@@ -168,3 +192,45 @@ def pieces(at: np.ndarray, most: int = BATCH_BYTES):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def annotate(docs: DataFrame, keep: list[str], extra: str, start) -> DataFrame:
+    """``keep`` columns of ``docs`` and the ``extra`` ones that a function of the whole texts makes, without a shuffle.
+
+    ``start()`` is called once per task and gives the function: (bytes, offsets) of up to BATCH_BYTES of texts (or
+    one longer text) -> one Arrow array per extra column. Extra columns replace kept ones of the same name.
+    """
+    ship(docs.sparkSession)
+    names = [x.strip().split(" ")[0] for x in top_level(extra)]
+    keep = [c for c in keep if c not in names]
+    source = docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("text__"))
+    kept = source.select(*[f"`{c}`" for c in keep]).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), extra])
+
+    def run(batches):
+        make = start()
+        for batch in batches:
+            data, at = packed(batch.column(batch.num_columns - 1))
+            for i, j in pieces(at):
+                made = make(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                old = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*old, *made], names=[*keep, *names])
+
+    return source.mapInArrow(run, schema)
+
+
+def top_level(ddl: str) -> list[str]:
+    """The columns of a DDL string; commas inside <> don't count."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def remainder(column: str, n: int):
+    """crc32 of the id as text, mod n; null without an id."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
