@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, suffix_dedup
+from parcelwise.llm import decontaminate, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,15 @@ from d left join h using (doc_id) left join i using (doc_id)
 """
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate}
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op9_quality": op9_quality}
 SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL}
 
 
