@@ -160,6 +160,30 @@ def repeated(table: pa.Table) -> pa.Table:
 
 #: A phrase pair: where it stands in its chunk, first and last string start before the trigger, document, bytes around it.
 PAIR = np.dtype([("pos", "<i8"), ("far", "u1"), ("near", "u1"), ("doc", "<i8"), ("around", "u1", (SIDE + LENGTH,))])
+CODEC = pa.Codec("zstd", compression_level=1)
+COLUMN = np.arange(SIDE + LENGTH)
+
+
+def inside(far: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of the bytes around a trigger belong to strings that it owns."""
+    return (COLUMN >= (SIDE - far.astype(int))[:, None]) & (COLUMN < (SIDE + LENGTH - near.astype(int))[:, None])
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """Pairs field by field, only the bytes inside, compressed; the plain size and the count come first."""
+    plain = b"".join([np.diff(rows["pos"], prepend=0).tobytes(), np.diff(rows["doc"], prepend=0).tobytes(), rows["far"].tobytes(), rows["near"].tobytes(),
+                      rows["around"][inside(rows["far"], rows["near"])].tobytes()])
+    return np.array([len(plain), len(rows)], "<i4").tobytes() + CODEC.compress(plain, asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    size, n = np.frombuffer(blob, "<i4", 2).tolist()
+    plain = CODEC.decompress(blob[8:], size, asbytes=True)
+    rows = np.zeros(n, PAIR)
+    rows["pos"], rows["doc"] = (np.cumsum(np.frombuffer(plain, "<i8", n, at)) for at in (0, 8 * n))
+    rows["far"], rows["near"] = np.frombuffer(plain, "u1", n, 16 * n), np.frombuffer(plain, "u1", n, 17 * n)
+    rows["around"][inside(rows["far"], rows["near"])] = np.frombuffer(plain, "u1", offset=18 * n)
+    return rows
 
 
 def intervals(starts: np.ndarray) -> np.ndarray:
@@ -195,9 +219,7 @@ def send_phrases(buckets: int):
         row["pos"], row["far"], row["near"], row["doc"] = pos, pos - first, pos - last, docs
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         around = sliding_window_view(padded, SIDE + LENGTH)[pos]
-        column = np.arange(SIDE + LENGTH)
-        outside = (column < (SIDE - row["far"].astype(int))[:, None]) | (column >= (SIDE + LENGTH - row["near"].astype(int))[:, None])
-        row["around"] = np.where(outside, np.uint8(0), around)
+        row["around"] = np.where(inside(row["far"], row["near"]), around, np.uint8(0))
         key = np.concatenate([row["around"], row["far"][:, None], row["near"][:, None]], 1)
         _, same = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_inverse=True)
         home = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
@@ -211,7 +233,8 @@ def send_phrases(buckets: int):
         order = np.argsort(to, kind="stable")
         row, to = row[order], to[order]
         cuts = cuts_of(to)
-        out = [parts(to[cuts[:-1]], chunk, sh.blobs(row, cuts)).add_column(0, "kind", pa.array(np.zeros(len(cuts) - 1), pa.int32()))]
+        sent = pa.array([pack(row[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        out = [parts(to[cuts[:-1]], chunk, sent).add_column(0, "kind", pa.array(np.zeros(len(cuts) - 1), pa.int32()))]
         if len(local):
             out.append(parts(np.array([chunk % buckets]), chunk, pa.array([local.tobytes()], pa.binary())).add_column(0, "kind", pa.array([1], pa.int32())))
         return pa.concat_tables(out)
@@ -256,16 +279,16 @@ def combine(table: pa.Table) -> pa.Table:
     out = [table.filter(pa.array(kind == 1)).select(["chunk", "data"])]
     pairs = table.filter(pa.array(kind == 0))
     if pairs.num_rows:
-        data, at = sh.packed(pairs.column("data"))
-        rows = data.view(PAIR)
-        chunk = np.repeat(pairs.column("chunk").to_numpy(), np.diff(at) // PAIR.itemsize)
+        got = [unpack(x) for x in pairs.column("data").to_pylist()]
+        rows = np.concatenate(got)
+        chunk = np.repeat(pairs.column("chunk").to_numpy(), [len(x) for x in got])
         if hits := first_homes(rows):
             who, start = np.concatenate(hits, 1)
             order = np.argsort(chunk[who], kind="stable")
             who, start = chunk[who][order], start[order]
             cuts = cuts_of(who)
-            got = [intervals(start[i:j]).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            out.append(pa.table({"chunk": pa.array(who[cuts[:-1]], pa.int32()), "data": pa.array(got, pa.binary())}))
+            back = [intervals(start[i:j]).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            out.append(pa.table({"chunk": pa.array(who[cuts[:-1]], pa.int32()), "data": pa.array(back, pa.binary())}))
     return pa.concat_tables(out)
 
 
