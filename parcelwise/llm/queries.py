@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, quality, suffix_dedup
+from parcelwise.llm import decontaminate, language, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +71,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op9_quality": op9_quality}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op9_quality": op9_quality,
+           "op10_language_id": op10_language_id}
 SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL}
 
 

@@ -156,7 +156,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """
     out = np.empty(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        step, i = 1 << 16, 0
+        step, i = 1 << 13, 0
         while i < len(starts):
             j = min(len(starts), i + step)
             lo, hi = starts[i], ends[j - 1]
@@ -175,7 +175,7 @@ _POWERS: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             up = np.full(size, POWER, np.uint64)
             up[0] = 1
