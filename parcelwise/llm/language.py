@@ -37,7 +37,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarra
         drawn = rows.filter((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) <= share * (1 << 30)))
         room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
         cuts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_EACH)]
-        for r in drawn.select(*cuts).limit(per_language).toArrow().to_pylist():
+        for r in drawn.orderBy("doc_id").limit(per_language).select(*cuts).toArrow().to_pylist():
             for text in r.values():
                 x.append(np.frombuffer(text.encode()[:WINDOW].ljust(WINDOW, b"\0"), np.uint8))
                 y.append(k)
