@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language, quality, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, language, pii, quality, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir), ["doc_id"]))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -79,7 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
            "op10_language_id": op10_language_id}
 SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL}
 
