@@ -296,7 +296,8 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans__", lambda s: s["base"])
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans__", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told("spans__").alias("spans"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language, pii, quality, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, language, near_dedup, pii, quality, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,23 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(near_dedup.group(documents(spark, sf_dir)))
+
+
+OP4_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') w from documents where doc_id is not null),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) k from w),
+n as (select doc_id, count(*) n from s group by all),
+x as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b using (k) where a.doc_id <> b.doc_id group by all),
+e as (select a, b from x join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * c >= 85 * (na.n + nb.n - c)),
+r as (select doc_id a, doc_id b from w union select r.a, e.b from r join e on r.b = e.a),
+m as (select a doc_id, min(b) c from r group by all)
+select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, c = doc_id kept from m left join n using (doc_id)
+"""
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir), ["doc_id"]))
 
@@ -83,9 +100,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
            "op10_language_id": op10_language_id}
-SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL}
 
 
 def queries() -> dict[str, Query]:

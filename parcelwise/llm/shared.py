@@ -185,13 +185,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def pieces(at: np.ndarray, most: int = BATCH_BYTES):
-    """(first row, last row) ranges of at most ``most`` bytes; a longer row is a range of its own."""
+def pieces(at: np.ndarray, most: int = BATCH_BYTES, rows: int = 8192):
+    """(first row, last row) ranges of at most ``most`` bytes and ``rows`` rows; a longer row is a range of its own."""
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = max(i + 1, min(int(np.searchsorted(at, at[i] + most, side="right")) - 1, i + rows, n))
+        yield i, j
+        i = j
 
 
 def annotate(docs: DataFrame, keep: list[str], extra: str, start) -> DataFrame:
@@ -204,7 +204,7 @@ def annotate(docs: DataFrame, keep: list[str], extra: str, start) -> DataFrame:
     names = [x.strip().split(" ")[0] for x in top_level(extra)]
     keep = [c for c in keep if c not in names]
     source = docs.select(*[f"`{c}`" for c in keep], F.col("text").cast("string").alias("text__"))
-    kept = source.select(*[f"`{c}`" for c in keep]).schema
+    kept = docs.select(*[f"`{c}`" for c in keep]).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), extra])
 
     def run(batches):
