@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language, near_dedup, pii, quality, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, language, lm, near_dedup, pii, quality, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(near_dedup.group(documents(spark, sf_dir)))
 
@@ -100,7 +104,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
            "op10_language_id": op10_language_id}
 SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL}
 
