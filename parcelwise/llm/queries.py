@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, fingerprint, language, lm, near_dedup, pii, quality, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, fingerprint, language, lm, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir), ["doc_id"]))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.drawn(documents(spark, sf_dir))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(fingerprint.compare(documents(spark, sf_dir)))
 
@@ -108,8 +112,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op7_fingerprint": op7_fingerprint, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-           "op10_language_id": op10_language_id}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_fingerprint": op7_fingerprint, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+           "op10_language_id": op10_language_id, "pipeline": pipeline}
 SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL}
 
 
