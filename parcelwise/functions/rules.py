@@ -127,8 +127,16 @@ def gross_net_reasons(tenant: Column, market: Column, utility: Column | None = N
     return when_list(*pairs)
 
 
-def basis_reasons(basis: Column, area_id: Column, sources: dict[str, str]) -> Column:
-    """Disclosures that come with a measure basis; ``sources`` names the basis texts of the caller's data."""
+# What each measure basis discloses.
+BASIS_TEXTS = {
+    "asking": "market geography is a named neighborhood rather than the exact development footprint",
+    "regulatory_market_benchmark": "market comparator is HUD SAFMR (regulatory gross-rent benchmark), not median asking rent",
+    "index": "market comparator is Zillow ZORI (typical observed market-rent index), not median asking rent and not bedroom-specific",
+}
+
+
+def basis_reasons(basis: Column, area_id: Column, sources: dict[str, str] = BASIS_TEXTS) -> Column:
+    """Disclosures that come with a measure basis, then the one for areas that are ZIP codes."""
     by_zip = F.startswith(F.coalesce(area_id, F.lit("")), F.lit("zcta:"))
     zip_text = F.concat(
         F.lit("market geography is ZIP/ZCTA "), F.split(area_id, ":").getItem(1),

@@ -13,10 +13,13 @@ class GateFailed(ValueError):
 
 
 def enforce(checks: DataFrame, sample: int = 20) -> None:
-    """Raise with a few failing rows; the only place where a check becomes an exception."""
-    failed = checks.where("not ok").limit(sample).collect()
+    """Raise with the number of failing rows and the first few of them; the only place where a check becomes an
+    exception. The failing rows themselves stay in ``checks`` for whoever writes them out."""
+    bad = checks.where("not ok")
+    failed = bad.limit(sample).collect()
     if failed:
-        raise GateFailed("; ".join(f"{r['check']}: {r['detail']}" for r in failed))
+        told = "; ".join(f"{r['check']}: {r['detail']}" for r in failed)
+        raise GateFailed(f"{bad.count()} failed: {told}")
 
 
 def columns_present(df: DataFrame, table: str, required: Sequence[str]) -> Column:
@@ -40,15 +43,19 @@ def duplicate_or_blank(df: DataFrame, key: str) -> DataFrame:
 
 
 def strict_join(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One-to-one inner join that takes only ``fields`` from the right, and the table of what breaks the rule."""
+    """One-to-one inner join that takes only ``fields`` from the right, and the table of what breaks the rule.
+
+    Blank keys are problems, not keys: they are joined with nothing and don't count as unmatched.
+    """
+    filled = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
     problems = (
         duplicate_or_blank(left, key).select(F.col("key").cast("string"), F.lit("left_duplicate_or_blank").alias("problem"))
         .unionByName(duplicate_or_blank(right, key).select(
             F.col("key").cast("string"), F.lit("right_duplicate_or_blank").alias("problem")))
-        .unionByName(left.select(key).join(right.select(key), key, "left_anti").select(
+        .unionByName(left.where(filled).select(key).distinct().join(right.select(key), key, "left_anti").select(
             F.col(key).cast("string").alias("key"), F.lit("left_unmatched").alias("problem")))
     )
-    return left.join(right.select(key, *fields), key), problems
+    return left.where(filled).join(right.where(filled).select(key, *fields), key), problems
 
 
 def completeness(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,7 +77,7 @@ def violations(df: DataFrame, key: str, contracts: Mapping[str, Column]) -> Data
 
 
 def cell_contracts() -> dict[str, Column]:
-    """Record rules of a survey observation."""
+    """Record rules of a survey observation, with the list ``artifact_ids`` of what it was made from."""
     available, value, reason = F.col("available"), F.col("value"), F.col("unavailable_reason")
     has_all = F.lit(True)
     for c in ("variance", "standard_error", "margin_of_error", "ci_lower", "ci_upper", "cv"):
@@ -81,6 +88,7 @@ def cell_contracts() -> dict[str, Column]:
         "unavailable_has_no_value": available | value.isNull(),
         "unavailable_has_reason": available | F.coalesce(reason != "", F.lit(False)),
         "reliability_agrees": available == (F.col("reliability") != "unavailable"),
+        "artifacts_are_unique": unique_list(F.col("artifact_ids")),
         "uncertainty_complete": ~(available & (F.col("replicates_used") > 0)) | has_all,
     }
 
@@ -98,6 +106,20 @@ def gap_contracts() -> dict[str, Column]:
     }
 
 
+def relation_breaks(df: DataFrame, total: Column, parts: Sequence[Column], tolerance: float, *others: Column) -> DataFrame:
+    """Rows whose parts do not add up to the total within the tolerance, or that break one of the other rules.
+
+    A missing part or total breaks the relation.
+    """
+    rest = parts[0]
+    for p in parts[1:]:
+        rest = rest + p
+    ok = F.coalesce(F.abs(total - rest) <= tolerance, F.lit(False))
+    for o in others:
+        ok = ok & F.coalesce(o, F.lit(False))
+    return df.where(~ok)
+
+
 def unique_list(c: Column) -> Column:
     """All entries of a list differ."""
     return F.size(F.array_distinct(c)) == F.size(c)

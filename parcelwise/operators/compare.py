@@ -36,9 +36,13 @@ def pair_by_area(
 
 def compare_pairs(
     pairs: DataFrame, *, contains: Column | None = None, extra_reasons: Column | None = None,
-    basis_texts: dict[str, str] | None = None, limits: rules.PeriodLimits = rules.PeriodLimits(),
+    basis_texts: dict[str, str] = rules.BASIS_TEXTS, limits: rules.PeriodLimits = rules.PeriodLimits(),
 ) -> DataFrame:
-    """Comparison columns for each pair; pairs with an invalid value are left out (see ``rejected_pairs``)."""
+    """Comparison columns for each pair; pairs with an invalid value are left out (see ``rejected_pairs``).
+
+    Pairs too far apart in time are not examined further: their reasons end with the period. A column ``t_utility``,
+    where there is one, names the tenant's utility basis.
+    """
     months = typed.months_apart(F.col("t_period"), F.col("m_period"))
     scope = ("t_scope", "t_bedroom", "m_scope", "m_bedroom")
     good = pairs.where(rules.wedge_inputs_ok(F.col("t_value"), F.col("m_value"))).select(
@@ -48,17 +52,20 @@ def compare_pairs(
         *[c.alias(n) for n, c in rules.wedge(F.col("t_value"), F.col("m_value")).items()],
     )
     good = good.withColumn("period_class", rules.period_class(F.col("months"), limits))
+    utility = F.col("t_utility") if "t_utility" in pairs.columns else None
+    none = F.array().cast("array<string>")
+    further = F.concat(
+        rules.gross_net_reasons(F.col("t_gross_net"), F.col("m_gross_net"), utility),
+        rules.basis_reasons(F.col("m_basis"), F.col("area_id"), basis_texts))
     reasons = F.concat(
         rules.scope_reasons(*map(F.col, scope)), rules.period_reasons(F.col("months"), limits),
-        rules.gross_net_reasons(F.col("t_gross_net"), F.col("m_gross_net")),
-        rules.basis_reasons(F.col("m_basis"), F.col("area_id"), basis_texts or {}),
-    )
+        F.when(F.col("period_class") == "too_far", none).otherwise(further))
     good = good.withColumn("quality", rules.quality_class(
         F.col("period_class"), F.col("scope_kind"), F.col("gross_net_ok"), F.col("m_basis"),
         contains if contains is not None else F.lit(None).cast("boolean")))
     mild = (F.col("quality") == "strong") & ~F.col("gross_net_ok")
     reasons = F.concat(reasons, F.when(mild, F.array(F.lit("one mild gross/net definition mismatch is disclosed")))
-                       .otherwise(F.array().cast("array<string>")))
+                       .otherwise(none))
     if extra_reasons is not None:
         reasons = add_reasons(reasons, extra_reasons)
     source = rules.market_source(F.col("m_basis"), F.col("m_id"), F.col("m_artifact"))

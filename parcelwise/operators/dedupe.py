@@ -152,14 +152,14 @@ def mark_observations(observations: DataFrame, transitions: DataFrame, key: str)
     return observations.join(hit, key, "left")
 
 
-def union_first(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    """Union by id; the row of the earliest source wins. Rows without an id are left out."""
+def union_first(sources: Sequence[DataFrame], key: str, order: str) -> DataFrame:
+    """Union by id; the earliest source wins, inside a source the smallest ``order``. Rows without an id are left out."""
     parts = [s.withColumn("_src", F.lit(i)) for i, s in enumerate(sources)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     out = out.where(F.col(key).isNotNull())
-    return first_per_key(out, [key], F.col("_src")).drop("_src")
+    return first_per_key(out, [key], F.col("_src"), F.col(order)).drop("_src")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

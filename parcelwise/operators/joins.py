@@ -11,43 +11,20 @@ from pyspark.sql.window import Window
 
 from parcelwise.session import ensure_checkpoint_dir
 
-HOT_KEYS = 1000  # at most this many keys can each hold more than 1/1000 of all rows
-HOT_ROWS = 10_000  # below this a key is never worth splitting
-SALTS = 256
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many rows per key to one row per key, whatever a key holds.
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` rows, so it is always small enough to broadcast."""
-    return (
-        df.groupBy(*keys).count().where(F.col("count") > min_rows)
-        .orderBy(F.desc("count")).limit(HOT_KEYS)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    )
-
-
-def join_per_key(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join many rows per key to one row per key.
-
-    Frequent keys are split over ``SALTS`` sub-keys: their rows are spread by a hash of the row and their
-    single partner is repeated once per sub-key. Adaptive execution cannot split these joins itself, because
-    the one-row-per-key side is usually an aggregate rather than a plain shuffle.
+    Every row gets a sub-key from a hash of its columns, as many as there are shuffle partitions. The existing
+    (key, sub-key) pairs get the key's one partner row, at most one pair per partition for the most frequent key, and
+    the rows are joined to those. So no key's rows meet in one task, without counting or listing keys. Rows without a
+    key match nothing; they are spread too.
     """
-    hot = F.broadcast(hot_keys(rows, keys, min_rows))
-    match = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    drop = [f"_hot_{k}" for k in keys] + ["_hot"]
-    # the map task's number spreads full copies of one row; it is the same again when a task is repeated
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
-    spread = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
-    lost = F.lit(False)  # rows without a key match nothing; they are spread too
-    for k in keys:
-        lost = lost | rows[k].isNull()
-    left = rows.join(hot, match, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | lost, spread).otherwise(0)).drop(*drop)
-    sub_keys = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.join(hot, match, "left").withColumn("_salt", F.explode(sub_keys)).drop(*drop)
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    pairs = salted.select(*keys, "_salt").distinct().join(per_key, list(keys))
+    return salted.join(pairs, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -111,12 +88,3 @@ def crosswalk(features: DataFrame, attributes: DataFrame, key: str, fields: Sequ
 def keep_areas(areas: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
     """Left join that keeps areas without a value and flags them."""
     return areas.join(values, key, "left").withColumn("missing", F.col(value).isNull())
-
-
-def attach_missing(df: DataFrame, lookup: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Fill only the fields that are null, from a lookup that is unique on ``key``."""
-    right = lookup.select(key, *[F.col(f).alias(f"_l_{f}") for f in fields])
-    out = df.join(right, key, "left")
-    for f in fields:
-        out = out.withColumn(f, F.coalesce(f, f"_l_{f}")) if f in df.columns else out.withColumn(f, F.col(f"_l_{f}"))
-    return out.drop(*[f"_l_{f}" for f in fields])

@@ -155,23 +155,24 @@ def unit_weight(c: Column) -> Column:
 def summary(rows: DataFrame, field: str, by: Sequence[str] = (), units: str = "units") -> DataFrame:
     """Count, plain median, unit-weighted mean and unit-weighted median proxy, by optional group.
 
+    Unit counts may be fractions (four decimals count); one that is missing or not positive weighs one.
+
     Both medians take the bucketed path, so a single global group is not collected into one task.
     """
     keys = list(by) or ["_all"]
     base = rows if by else rows.withColumn("_all", F.lit(0))
     base = base.where(F.col(field).isNotNull()).select(
-        *keys, F.col(field).cast("double").alias("_x"), unit_weight(F.col(units)).cast("bigint").alias("_u"))
+        *keys, F.col(field).cast("double").alias("_x"), unit_weight(F.col(units).cast("double")).cast("decimal(12,4)").alias("_u"))
     # weight number 0 is the unit count, number 1 counts every row once: both medians from one pass
-    sums = med.sum_by_value(base, keys, F.col("_x"), F.col("_u"), lambda i: F.lit(1.0), 1, med.WHOLE)
+    sums = med.sum_by_value(base, keys, F.col("_x"), F.col("_u"), lambda i: F.lit(1.0), 1, med.EXACT)
     middle = med.medians(sums, keys).groupBy(*keys).agg(
         F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias("unweighted_median"),
         F.max(F.when(F.col("_r") == 0, F.col("_first"))).alias("weighted_median_proxy"))
-    cents = F.col("_x").cast("decimal(24,8)")
+    exact = F.col("_x").cast("decimal(20,6)")
     means = base.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        (F.sum(cents * F.col("_u").cast("decimal(14,0)")).cast("double") / F.sum("_u").cast("double"))
-        .alias("weighted_mean"),
-        F.sum("_u").alias("total_units"))
+        F.try_divide(F.sum(exact * F.col("_u")).cast("double"), F.sum("_u").cast("double")).alias("weighted_mean"),
+        F.sum("_u").cast("double").alias("total_units"))
     if by:
         return means.join(middle, keys)
     both = middle.select(F.struct("unweighted_median", "weighted_median_proxy")).scalar()  # one row

@@ -124,9 +124,9 @@ def page_quarantine(blocks: DataFrame, records: DataFrame, page: str = "page_id"
     ).unionByName(records.where("reason is not null").select(page, "column_index", "key", "reason"))
 
 
-def vintage(pages: DataFrame, pattern: str, fmt: str, default: str, order: str = "page_id", first: int = 6) -> DataFrame:
-    """Date found in the first pages' prose, else the default. One row."""
-    early = pages.orderBy(order).limit(first)
+def vintage(pages: DataFrame, pattern: str, fmt: str, default: str, order: str = "page_id", first: int | None = None) -> DataFrame:
+    """Date found on the earliest page that has one, else the default. One row; ``first`` pages only when asked for."""
+    early = pages if first is None else pages.orderBy(order).limit(first)
     found = F.try_to_date(F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")), fmt)
     return early.agg(F.coalesce(F.min_by(found, F.when(found.isNotNull(), F.col(order))), F.lit(default).cast("date"))
                      .alias("vintage"))
@@ -138,7 +138,9 @@ class TableSpec:
 
     ``row`` is matched per line; its groups fill ``columns``. ``start`` must occur exactly once; the table ends
     at ``end``. ``scope`` must occur in between. ``keys`` are the expected values of the first column, each
-    exactly once; ``expected`` is the row count when keys are not listed.
+    exactly once; ``expected`` is the row count when keys are not listed. ``amounts`` are whole-number columns that
+    must not be negative or unreadable; in each row the first of ``relation`` must be the sum of its others, by
+    ``tolerance`` at most.
     """
 
     name: str
@@ -149,10 +151,16 @@ class TableSpec:
     scope: str | None = None
     keys: tuple[str, ...] = ()
     expected: int | None = None
+    amounts: tuple[str, ...] = ()
+    relation: tuple[str, ...] = ()
+    tolerance: int = 1
 
 
 def scoped_table(texts: DataFrame, spec: TableSpec, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows of one table out of many texts, and what is wrong with each text (empty when all is well)."""
+    """Rows of one table out of many texts, and what is wrong with each text (empty when all is well).
+
+    A text with any problem publishes no row at all.
+    """
     parts = F.split(F.col(text), re.escape(spec.start))
     body = F.split_part(F.get(parts, 1), F.lit(spec.end), F.lit(1))
     tagged = texts.select(
@@ -179,7 +187,22 @@ def scoped_table(texts: DataFrame, spec: TableSpec, doc: str = "doc_id", text: s
         wrong = accepted.join(have, doc, "left").where(F.coalesce("_n", F.lit(0)) != spec.expected).select(
             doc, F.lit(f"expected {spec.expected} rows").alias("problem"))
         problems = problems.unionByName(wrong)
-    return rows, problems
+    if spec.amounts or spec.relation:
+        number = lambda c: whole_number(F.col(c))
+        sound = F.lit(True)
+        for c in {*spec.amounts, *spec.relation}:
+            sound = sound & F.coalesce(number(c) >= 0, F.lit(False))
+        holds = F.lit(True)
+        if spec.relation:
+            rest = number(spec.relation[1])
+            for c in spec.relation[2:]:
+                rest = rest + number(c)
+            holds = F.coalesce(F.abs(number(spec.relation[0]) - rest) <= spec.tolerance, F.lit(False))
+        first = F.col(spec.columns[0])
+        broken = rows.select(doc, F.when(~sound, F.concat(F.lit("bad amount: "), first)).when(
+            ~holds, F.concat(F.lit("amounts do not add up: "), first)).alias("problem")).where("problem is not null")
+        problems = problems.unionByName(broken)
+    return rows.join(problems.select(doc).distinct(), doc, "left_anti"), problems
 
 
 def whole_number(c: Column) -> Column:
@@ -210,14 +233,24 @@ SCAN_RULES = {
 }
 
 
-def pattern_scan(texts: DataFrame, patterns: Mapping[str, str], doc: str = "doc_id", text: str = "text", cut: int = 60) -> DataFrame:
-    """Every match of every rule in every text, with a short excerpt. One scan, no join."""
+# Excerpt lengths that differ from the usual one.
+EXCERPTS = {"private_path": 80}
+
+
+def pattern_scan(texts: DataFrame, patterns: Mapping[str, str], doc: str = "doc_id", text: str = "text", cuts: Mapping[str, int] = EXCERPTS, cut: int = 60) -> DataFrame:
+    """Every match of every rule in every text, with an excerpt of the rule's length (``cut`` if not listed).
+
+    One scan, no join.
+    """
     per_rule = F.array(*[
         F.struct(F.lit(n).alias("rule"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("hits"))
         for n, p in patterns.items()])
     hits = texts.select(doc, F.inline(per_rule)).where(F.size("hits") > 0)
+    length = F.lit(cut)
+    for name, n in cuts.items():
+        length = F.when(F.col("rule") == name, n).otherwise(length)
     return hits.select(doc, "rule", F.posexplode("hits").alias("hit_no", "_h")).select(
-        doc, "rule", "hit_no", F.substring("_h", 1, cut).alias("excerpt"))
+        doc, "rule", "hit_no", F.left("_h", length).alias("excerpt"))
 
 
 # Causal wording, and the phrases that make a sentence harmless.

@@ -28,7 +28,8 @@ def tenant(spark, sf) -> DataFrame:
         F.when(k % 4 == 3, "bedroom_specific").when(k % 5 == 0, "studio_mix").otherwise("all_units").alias("t_scope"),
         F.when(k % 8 == 3, 2).when(k % 8 == 7, 3).alias("t_bedroom"),
         F.when(k % 3 == 0, "gross").when(k % 3 == 1, "net").alias("t_gross_net"),
-        F.concat(F.lit("art-"), (k % 7).cast("string")).alias("t_artifact"))
+        F.concat(F.lit("art-"), (k % 7).cast("string")).alias("t_artifact"),
+        F.when(k % 10 == 1, "tenant pays electric").alias("t_utility"))
 
 
 def area_id(c):
@@ -67,10 +68,6 @@ def market(spark, sf) -> DataFrame:
     return bench.unionByName(index).unionByName(asks)
 
 
-# fixed values of these queries: disclosure text of the listing source
-_BASIS_TEXTS = {"asking": "market geography is a named neighborhood"}
-
-
 def pairs(spark, sf) -> DataFrame:
     t, a, m = tenant(spark, sf), assignments(spark, sf), market(spark, sf)
     hud = compare.pair_by_area(t, a, m.where("m_basis = 'regulatory_market_benchmark'"), bedroom=2)
@@ -83,7 +80,7 @@ def pairs(spark, sf) -> DataFrame:
 def comparisons(spark, sf) -> DataFrame:
     contains = F.col("area_nation") % 2 == 0
     extra = F.when(F.col("subject_id") % 6 == 0, F.array(F.lit("curated pair")))
-    c = compare.compare_pairs(pairs(spark, sf), contains=contains, extra_reasons=extra, basis_texts=_BASIS_TEXTS)
+    c = compare.compare_pairs(pairs(spark, sf), contains=contains, extra_reasons=extra)
     return c.withColumn("market_bedroom", F.col("m_bedroom")).withColumn("market_scope", F.col("m_scope"))
 
 
@@ -168,13 +165,17 @@ def _(spark, sf):
         case period_class when 'representative_window' then 'periods differ materially but remain useful for scale'
           when 'context_only' then 'periods differ by more than 18 months (orientation only)'
           when 'too_far' then 'periods differ by more than 36 months — no defensible non-historical comparison' end,
+        case when period_class <> 'too_far' then concat_ws(' | ',
         case when t_gross_net is null then 'tenant gross/net definition is unknown' end,
         case when m_gross_net = 'unknown' then 'market gross/net definition is unknown' end,
         case when not gross_net_ok then 'gross/net mismatch (tenant=' || t_gross_net || ', market=' || m_gross_net || ')'
              when coalesce(t_gross_net, 'unknown') <> m_gross_net then
                'gross/net partially unknown (tenant=' || coalesce(t_gross_net, 'unknown') || ', market=' || m_gross_net || ') — not inferred' end,
-        case when m_basis = 'asking' then 'market geography is a named neighborhood' end,
-        case when m_basis <> 'asking' then 'market geography is ZIP/ZCTA ' || substr(area_id, 6) || ' rather than the exact development footprint' end,
+        case when gross_net_ok and subject_id % 10 = 1 then 'tenant utility basis: tenant pays electric' end,
+        case m_basis when 'asking' then 'market geography is a named neighborhood rather than the exact development footprint'
+          when 'index' then 'market comparator is Zillow ZORI (typical observed market-rent index), not median asking rent and not bedroom-specific'
+          else 'market comparator is HUD SAFMR (regulatory gross-rent benchmark), not median asking rent' end,
+        case when m_basis <> 'asking' then 'market geography is ZIP/ZCTA ' || substr(area_id, 6) || ' rather than the exact development footprint' end) end,
         case when quality = 'strong' and not gross_net_ok then 'one mild gross/net definition mismatch is disclosed' end,
         case when subject_id % 6 = 0 then 'curated pair' end) as reasons from comps) select * from r""")
 def _(spark, sf):
@@ -308,26 +309,31 @@ def _(spark, sf):
 def _summary_sql(by: str) -> str:
     keys = f"{by}, " if by else ""
     part = f"partition by {by} " if by else ""
-    return f"""with {_METRICS}, r as (select *, case when units > 0 then units else 1 end as u from metrics where monthly_wedge is not null),
+    return f"""with {_METRICS}, r as (select *, case when units > 0 then units * 0.37 else 1 end::decimal(12,4) as u from metrics where monthly_wedge is not null),
     c as (select *, sum(u) over ({part}order by monthly_wedge) as cum, sum(u) over ({part.strip()}) as tot from r)
     select {keys}count(*) as n, round(median(monthly_wedge), 4) as unweighted_median,
-           round(sum(monthly_wedge::decimal(24,8) * u)::double / sum(u)::double, 4) as weighted_mean,
-           round(min(monthly_wedge) filter (where cum * 2 >= tot), 4) as weighted_median_proxy, sum(u)::bigint as total_units
+           round(sum(monthly_wedge::decimal(20,6) * u)::double / sum(u)::double, 4) as weighted_mean,
+           round(min(monthly_wedge) filter (where cum * 2 >= tot), 4) as weighted_median_proxy, round(sum(u)::double, 4) as total_units
     from c {'group by ' + by if by else ''}"""
 
 
 def _summary(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("unweighted_median", "weighted_mean", "weighted_median_proxy")], "total_units")
+    return df.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("unweighted_median", "weighted_mean", "weighted_median_proxy", "total_units")])
+
+
+def shared_units(spark, sf) -> DataFrame:
+    """Metric rows whose unit counts are fractions."""
+    return metrics(spark, sf).withColumn("units", F.col("units") * F.lit(0.37))
 
 
 @R.add("q_summary", _summary_sql(""))
 def _(spark, sf):
-    return _summary(sel.summary(metrics(spark, sf), "monthly_wedge"))
+    return _summary(sel.summary(shared_units(spark, sf), "monthly_wedge"))
 
 
 @R.add("q_summary_by_region", _summary_sql("region"))
 def _(spark, sf):
-    return _summary(sel.summary(metrics(spark, sf), "monthly_wedge", ["region"]), "region")
+    return _summary(sel.summary(shared_units(spark, sf), "monthly_wedge", ["region"]), "region")
 
 
 @R.add("q_class_counts", f"""with {C}

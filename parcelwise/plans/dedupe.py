@@ -150,13 +150,14 @@ def _(spark, sf):
 
 
 @R.add("q_union_first", """
-    select o_orderkey, case when o_orderkey % 3 <> 0 then 0 else 1 end as source, o_totalprice + case when o_orderkey % 3 <> 0 then 0 else 1 end as value
-    from orders""")
+    select o_custkey as key, arg_min(o_orderkey, o_orderkey) filter (where o_orderkey % 3 <> 0) is null as late,
+           coalesce(min(o_orderkey) filter (where o_orderkey % 3 <> 0), min(o_orderkey)) as line from orders group by 1""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    a = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.lit(0).alias("source"), F.col("o_totalprice").alias("value"))
-    b = o.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", F.lit(1).alias("source"), (F.col("o_totalprice") + 1).alias("value"))
-    return dedupe.union_first([a, b], "o_orderkey")
+    # several orders of one customer in both sources
+    a = o.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("key"), F.lit(False).alias("late"), F.col("o_orderkey").alias("line"))
+    b = o.select(F.col("o_custkey").alias("key"), F.lit(True).alias("late"), F.col("o_orderkey").alias("line"))
+    return dedupe.union_first([a, b], "key", "line")
 
 
 @R.add("q_duplicate_review", "select p_name as key, count(*) as n from part group by 1 having count(*) > 1")

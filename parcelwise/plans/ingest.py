@@ -165,12 +165,14 @@ def _(spark, sf):
 
 @R.add("q_relation_gate", """
     select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity from lineitem
-    where not abs(l_extendedprice - l_extendedprice * l_discount - l_extendedprice * (1 - l_discount)) <= 1 or l_quantity > 49""")
+    where not abs(l_extendedprice - round(l_extendedprice * l_discount, 2) - (l_extendedprice * (1 - l_discount) + case when l_partkey % 10 = 0 then l_linenumber else 0 end)) <= 3
+       or l_quantity > 49""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     p, d = F.col("l_extendedprice"), F.col("l_discount")
-    ok = (F.abs(p - p * d - p * (1 - d)) <= 1) & (F.col("l_quantity") <= 49)
-    return li.where(~ok).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    # the net part of every tenth part number is off by the line number
+    net = p * (1 - d) + F.when(F.col("l_partkey") % 10 == 0, F.col("l_linenumber")).otherwise(0)
+    return checks.relation_breaks(li, p, [F.round(p * d, 2), net], 3, F.col("l_quantity") <= 49).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
 @R.add("q_usable_values", """

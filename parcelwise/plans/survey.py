@@ -129,9 +129,9 @@ def _(spark, sf):
 
 
 def cell_rows(spark, sf) -> DataFrame:
-    """Line items of open orders' status with their supplier's region; some values and weights are missing."""
+    """All line items with their supplier's region; some values and weights are missing."""
     li, s, n = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation"))
-    rows = li.where("l_linestatus = 'O'").join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
     return rows.select(
         "n_regionkey", "l_returnflag", F.year("l_shipdate").alias("yr"),
         F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice")).alias("v"),
@@ -161,8 +161,7 @@ _CELL_ROWS = f"""
              case when l_orderkey % 11 <> 0 then l_extendedprice end as v,
              case when l_returnflag = 'A' and l_orderkey % 50 = 0 then 0 else l_quantity end as w,
              l_quantity as q, l_orderkey as a, l_partkey as b
-      from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
-      where l_linestatus = 'O'),
+      from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
     tagged as (
       select *,
         unnest(list_filter(['all', case when n_regionkey > 0 then 'outer' end, 'r' || n_regionkey], lambda x: x is not null)) as geography_id
@@ -271,27 +270,34 @@ def _(spark, sf):
                     text("left_id").alias("left_caveats"), text("right_id").alias("right_caveats"))
 
 
+def with_artifacts(cells: DataFrame) -> DataFrame:
+    """Cells with the artifacts they were made from; every fifth count names one of them twice, an injected fault."""
+    second = F.when(F.col("eligible_n") % 5 == 0, "occupied").otherwise("all_units")
+    return cells.withColumn("artifact_ids", F.array(F.lit("occupied"), second))
+
+
 @R.add("q_cell_contracts", f"""with {_CELL_ROWS}, {_GAP_SQL}, broken as (
       -- every seventh value is taken away and the direction of falling gaps is turned, as injected faults
       select geography_id || ':' || population || ':' || cohort as id, available, case when eligible_n % 7 = 0 then null else value end as value,
              unavailable_reason, reliability, replicates_used, variance from cellsf)
     select id, 'available_has_value' as contract from broken where available and value is null
     union all select id, 'unavailable_has_no_value' from broken where not available and value is not null
+    union all select geography_id || ':' || population || ':' || cohort, 'artifacts_are_unique' from cellsf where eligible_n % 5 = 0
     union all select gap_id, 'direction_is_sign' from gaps where difference < 0""")
 def _(spark, sf):
     c = cell_frame(spark, sf).withColumn("id", F.concat_ws(":", "geography_id", "population", "cohort"))
-    c = c.withColumn("value", F.when(F.col("eligible_n") % 7 != 0, F.col("value")))
+    c = with_artifacts(c.withColumn("value", F.when(F.col("eligible_n") % 7 != 0, F.col("value"))))
     g = gap_frame(spark, sf).withColumn("id", F.col("gap_id"))
     g = g.withColumn("direction", F.when(F.col("difference") < 0, "positive").otherwise(F.col("direction")))
     return checks.violations(c, "id", checks.cell_contracts()).unionByName(checks.violations(g, "id", checks.gap_contracts()))
 
 
 @R.add("q_load_state", f"""with {_CELL_ROWS}
-    select count(*) as rows, count(*) filter (where available and eligible_n % 7 = 0) as broken,
-           case when count(*) filter (where available and eligible_n % 7 = 0) = 0 then 'ready' else 'error' end as status from cellsf""")
+    select count(*) as rows, count(*) filter (where available and eligible_n % 7 = 0 or eligible_n % 5 = 0) as broken,
+           case when count(*) filter (where available and eligible_n % 7 = 0 or eligible_n % 5 = 0) = 0 then 'ready' else 'error' end as status from cellsf""")
 def _(spark, sf):
     c = cell_frame(spark, sf).withColumn("value", F.when(F.col("eligible_n") % 7 != 0, F.col("value")))
-    return checks.load_state(c, checks.cell_contracts())
+    return checks.load_state(with_artifacts(c), checks.cell_contracts())
 
 
 # ---- groups and shares -------------------------------------------------------------------------------

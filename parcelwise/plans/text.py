@@ -110,28 +110,29 @@ def reports(spark, sf) -> DataFrame:
 SPEC = tx.TableSpec(
     name="benefit", start="Table 5: Benefit by Priority (2024)", end="Chart 1 illustrates",
     row=r"^\s*(1-URGENT|2-HIGH|3-MEDIUM|4-NOT SPECIFIED|5-LOW)\s+(\d+\.\d+)\s+\$([\d,]+)\s+\$([\d,]+)\s+\$([\d,]+)\s*$",
-    columns=("name", "years", "current", "frozen", "benefit"), scope="Excluding Other Benefits", keys=_KEYS)
+    columns=("name", "years", "current", "frozen", "benefit"), scope="Excluding Other Benefits", keys=_KEYS,
+    amounts=("current", "frozen", "benefit"), relation=("current", "frozen", "benefit"))
 
 _REPORTS = """
     cnt as (select c_nationkey as doc_id, o_orderpriority as name, count(*) as n from orders join customer on o_custkey = c_custkey
             where not (c_nationkey % 5 = 3 and o_orderpriority = '5-LOW') group by all),
-    doc as (select distinct doc_id from cnt)"""
+    doc as (select distinct doc_id from cnt),
+    failed as (select doc_id from doc where doc_id % 7 = 2 or doc_id % 6 = 1 or doc_id % 4 = 0 or (select count(*) from cnt where cnt.doc_id = doc.doc_id) < 5)"""
 
 
 @R.add("q_scoped_table", f"""with {_REPORTS}
-    select doc_id, name, n * 370 as current, n * 300 as frozen, n * 70 + case when doc_id % 4 = 0 then 5 else 0 end as benefit, doc_id % 4 <> 0 as relation_ok
-    from cnt where doc_id % 6 <> 1 and doc_id % 7 <> 2""")
+    select doc_id, name, n * 370 as current, n * 300 as frozen, n * 70 as benefit from cnt where doc_id not in (select doc_id from failed)""")
 def _(spark, sf):
     rows, _problems = tx.scoped_table(reports(spark, sf), SPEC)
-    out = rows.select("doc_id", "name", *[tx.whole_number(F.col(c)).alias(c) for c in ("current", "frozen", "benefit")])
-    return out.withColumn("relation_ok", F.abs(F.col("current") - F.col("frozen") - F.col("benefit")) <= 1)
+    return rows.select("doc_id", "name", *[tx.whole_number(F.col(c)).alias(c) for c in ("current", "frozen", "benefit")])
 
 
 @R.add("q_scoped_table_problems", f"""with {_REPORTS}, keys as (select unnest(['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW']) as name)
     select doc_id, 'start_marker_not_unique' as problem from doc where doc_id % 7 = 2
     union all select doc_id, 'missing_scope' from doc where doc_id % 7 <> 2 and doc_id % 6 = 1
     union all select doc_id, 'missing or duplicate row: ' || name from doc, keys where doc_id % 7 <> 2 and doc_id % 6 <> 1
-      and not exists (select 1 from cnt where cnt.doc_id = doc.doc_id and cnt.name = keys.name)""")
+      and not exists (select 1 from cnt where cnt.doc_id = doc.doc_id and cnt.name = keys.name)
+    union all select doc_id, 'amounts do not add up: ' || name from cnt where doc_id % 7 <> 2 and doc_id % 6 <> 1 and doc_id % 4 = 0""")
 def _(spark, sf):
     return tx.scoped_table(reports(spark, sf), SPEC)[1]
 
@@ -187,7 +188,7 @@ def ceiling_texts(spark, sf) -> DataFrame:
 @R.add("q_ceiling_rows", """
     select c_nationkey as doc_id, case when i = 1 then '1 or 2' else i::varchar end as family_size,
            case when i = 1 then 'SRO' when i = 2 then 'Studio' else (i - 2)::varchar end as bedrooms, n * i * 10 as old, n * i * 11 as new
-    from (select c_nationkey, count(*) as n from customer group by 1), range(1, 11) t(i) where not (c_nationkey % 9 = 0 and i = 10)""")
+    from (select c_nationkey, count(*) as n from customer group by 1), range(1, 11) t(i) where c_nationkey % 9 <> 0""")
 def _(spark, sf):
     rows, _problems = tx.scoped_table(ceiling_texts(spark, sf), CEILINGS)
     return rows.select("doc_id", "family_size", "bedrooms", tx.whole_number(F.col("old")).alias("old"), tx.whole_number(F.col("new")).alias("new"))
@@ -198,11 +199,11 @@ def _(spark, sf):
     return tx.scoped_table(ceiling_texts(spark, sf), CEILINGS)[1]
 
 
-@R.add("q_vintage", "select date '2026-01-01' + min(o_orderkey)::int + 2 as vintage from orders")
+@R.add("q_vintage", "select (date '2026-01-01' + (min(o_orderkey) filter (where o_orderkey % 500 = 302))::int)::date as vintage from orders")
 def _(spark, sf):
     k = F.col("o_orderkey")
     day = F.date_add(F.lit("2026-01-01").cast("date"), k.cast("int"))
-    body = F.when(k % 5 == 2, F.concat(F.lit("Data as of "), F.date_format(day, "yyyy-MM-dd"), F.lit("."))).otherwise("Preface")
+    body = F.when(k % 500 == 302, F.concat(F.lit("Data as of "), F.date_format(day, "yyyy-MM-dd"), F.lit("."))).otherwise("Preface")
     pages_ = table(spark, sf, "orders").select(k.alias("page_id"), body.alias("text"))
     return tx.vintage(pages_, r"as of (\d{4}-\d{2}-\d{2})", "yyyy-MM-dd", "2025-01-01")
 
@@ -213,7 +214,7 @@ def _(spark, sf):
 _RULES = {"token": r"token\s*=\s*\"[0-9a-f]{40}\"", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", **tx.SCAN_RULES}
 
 
-@R.add("q_pattern_scan", "select doc_id, rule, i - 1 as hit_no, left(hits[i], 60) as excerpt from (" + " union all ".join(
+@R.add("q_pattern_scan", "select doc_id, rule, i - 1 as hit_no, left(hits[i], case when rule = 'private_path' then 80 else 60 end) as excerpt from (" + " union all ".join(
     f"select doc_id, '{n}' as rule, regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}') as hits from documents" for n, p in _RULES.items())
     + ") t, lateral (select unnest(range(1, len(hits) + 1)) as i) u")
 def _(spark, sf):
@@ -252,11 +253,11 @@ _SUBJ = f"""
     subj_hits as (select query, row_number() over (partition by query order by score desc, name, subject_id) as rank, subject_id, name, score from hits where score > 0)"""
 
 
-def search_parts(spark, sf) -> DataFrame:
+def search_parts(spark, sf, limit: int = 12) -> DataFrame:
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("subject_id"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("key"), F.col("p_brand").alias("code"),
         F.col("p_type").alias("area"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("array<string>").alias("aliases"))
-    return tx.search_subjects(p, _QUERIES)
+    return tx.search_subjects(p, _QUERIES, limit)
 
 
 @R.add("q_search_subjects", f"with {_SUBJ} select * from subj_hits where rank <= 12")
@@ -285,7 +286,7 @@ _AREAS = f"""
       from a2 where score is not null))"""
 
 
-def search_regions(spark, sf, queries=_AREA_QUERIES) -> DataFrame:
+def search_regions(spark, sf, queries=_AREA_QUERIES, limit: int = 8) -> DataFrame:
     r, n, s, p = (table(spark, sf, t) for t in ("region", "nation", "supplier", "part"))
     e = F.lit("")
     rows = [r.select(F.lit("borough").alias("kind"), e.alias("code"), F.col("r_name").alias("name"), e.alias("parent")),
@@ -293,7 +294,7 @@ def search_regions(spark, sf, queries=_AREA_QUERIES) -> DataFrame:
             s.select(F.lit("zcta"), (F.col("s_suppkey") + 10000).cast("string"), e, e),
             p.select(F.lit("tract"), (F.col("p_partkey") + 1000000).cast("string"),
                      F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(""), "p_brand")]
-    return tx.search_areas(rows[0].union(rows[1]).union(rows[2]).union(rows[3]), queries)
+    return tx.search_areas(rows[0].union(rows[1]).union(rows[2]).union(rows[3]), queries, limit)
 
 
 @R.add("q_search_areas", f"with {_AREAS} select * from area_hits where rank <= 8")
@@ -303,9 +304,9 @@ def _(spark, sf):
 
 @R.add("q_search_all", f"""with {_SUBJ}, {_AREAS.replace(str(_AREA_QUERIES), str(_QUERIES))}
     select query, row_number() over (partition by query order by s, rank) as rank, id, label from (
-      select query, 0 as s, rank, subject_id::varchar as id, name as label from subj_hits where rank <= 12
-      union all select query, 1, rank, area_id, label from area_hits where rank <= 8) qualify rank <= 14""".replace(
+      select query, 0 as s, rank, subject_id::varchar as id, name as label from subj_hits where rank <= 14
+      union all select query, 1, rank, area_id, label from area_hits where rank <= 14) qualify rank <= 14""".replace(
     "row_number() over (partition by query order by s, rank) as rank, id", "row_number() over (partition by query order by s, r) as rank, id").replace(
     "0 as s, rank,", "0 as s, rank as r,"))
 def _(spark, sf):
-    return tx.search_all(search_parts(spark, sf), search_regions(spark, sf, _QUERIES))
+    return tx.search_all(search_parts(spark, sf, 14), search_regions(spark, sf, _QUERIES, 14))

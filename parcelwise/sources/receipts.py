@@ -13,8 +13,9 @@ def inventory(spark: SparkSession, folder: str, pattern: str | None = None) -> D
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    root = folder.rstrip("/") + "/"
-    path = F.substring_index(F.col("path"), root, -1)
+    # the part of the qualified path after the folder, cut once at the front
+    root = folder.rstrip("/").split("://")[-1].lstrip("/") + "/"
+    path = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
     return reader.load(folder).select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
 
 
