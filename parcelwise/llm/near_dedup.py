@@ -4,28 +4,33 @@
    the smallest in each of ``BINS`` bins, empty bins filled by optimal densification (each empty bin draws other bins by
    a hash of its own until it meets a filled one). Bands of ``ROWS`` bins are the bucket keys. No shuffle.
 2. Equal sets are one node, so copies cost one row each and no pairs.
-3. In each bucket with several nodes, edges go from a centre to the members that are not yet in its component: a star,
-   never all pairs. Edges are confirmed on the full sets, the confirmed ones joined to components. Then the centre leaves
-   the bucket, and twice as many centres are taken, until each bucket holds one component or has no members left. So
-   any two nodes of a bucket have been compared or are connected: no link between bucket mates is lost.
+3. In each bucket with several nodes, edges go from a centre, first the smallest id, to the members that are not yet in
+   its component: a star. Edges are confirmed on the full sets, the confirmed ones joined to components. Buckets that are
+   then one component are done. Of the others the centre leaves, and GROWTH times as many centres are taken, drawn by a
+   hash, until no members are left. So any two nodes of a bucket have been compared or are connected: no link between
+   bucket mates is lost, and only nodes that stay apart are compared again. Edges are never rows of their own: a centre
+   meets the members of a bucket block by block, one list for each chunk of documents.
 4. Components go back to the documents through the digests.
 
 The chance that two sets at the least similarity of 0.85 (0.8) share no bucket is (1 - 0.85^4)^32 = 6e-11 (5e-8).
-Hot buckets are met by pre-aggregation (smallest id) and joins that can be split; a centre's set is sent once to each
-chunk of documents that has members of it.
+Hot buckets are met by pre-aggregation and joins that can be split, without windows over a bucket; a centre's set is sent
+once to each chunk of documents that has members of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import shared as sh
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
+GROWTH = 8
+DRAW = 1 << 40
+MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int64())]))
 WORD_KEYS = sh.splitmix(64, 21) | np.uint64(1)
 DRAWS = (sh.splitmix(BINS * 64, 22) % np.uint64(BINS)).astype(np.int64).reshape(64, BINS)
 BAND_KEYS = sh.splitmix(BANDS, 23)
@@ -109,9 +114,9 @@ def confirm(size: int, percent: int):
             place: dict[int, list[int]] = {}
             for i, d in enumerate(sh.ids_of(table).tolist()):
                 place.setdefault(d, []).append(i)
-            for center, raw, members in zip(asked.column("center").to_pylist(), asked.column("shingles").to_pylist(), asked.column("members").to_pylist(), strict=True):
+            for center, label, raw, members in zip(*(asked.column(c).to_pylist() for c in ("center", "label", "shingles", "members")), strict=True):
                 ours = np.frombuffer(raw, np.uint64)
-                for m in members:
+                for m in {m["doc_id"] for m in members if m["label"] != label}:
                     for i in place.get(m, ()):
                         theirs = sets[edge[i] : edge[i + 1]]
                         spot = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
@@ -138,7 +143,7 @@ def fetch(size: int):
     """Chunk of documents and requests -> the set of each asked centre, for the chunk that asked."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        chunk, center, sets, members = [], [], [], []
+        chunk, center, labels, sets, members = [], [], [], [], []
         if table.num_rows and asked.num_rows:
             table = sh.ordered(table)
             wanted = pa.array(np.unique(asked.column("center").to_numpy()))
@@ -146,22 +151,31 @@ def fetch(size: int):
             data, at = sh.packed(table.column("text"))
             edge, all_sets = set_index(data, at, size)
             place = {d: i for i, d in enumerate(sh.ids_of(table).tolist())}
-            for to, c, m in zip(asked.column("to").to_pylist(), asked.column("center").to_pylist(), asked.column("members").to_pylist(), strict=True):
+            for to, c, label, m in zip(*(asked.column(x).to_pylist() for x in ("to", "center", "label", "members")), strict=True):
                 if c in place and edge[place[c] + 1] > edge[place[c]]:
                     chunk.append(to)
                     center.append(c)
+                    labels.append(label)
                     sets.append(all_sets[edge[place[c]] : edge[place[c] + 1]].tobytes())
                     members.append(m)
-        return pa.table({"chunk": pa.array(chunk, pa.int32()), "center": pa.array(center, pa.int64()), "shingles": pa.array(sets, pa.binary()), "members": pa.array(members, pa.list_(pa.int64()))})
+        return pa.table({"chunk": pa.array(chunk, pa.int32()), "center": pa.array(center, pa.int64()), "label": pa.array(labels, pa.int64()),
+                         "shingles": pa.array(sets, pa.binary()), "members": pa.array(members, MEMBERS)})
 
     return run
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, chunks: int, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (center, doc_id) whose full sets are similar enough. texts: (chunk, doc_id, text)."""
+def confirmed(texts: DataFrame, members: DataFrame, centers: DataFrame, chunks: int, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between centres (bucket, center, center_label) and members (bucket, doc_id, label) of other labels.
+
+    texts: (chunk, doc_id, text). The members of a bucket come as one list per chunk, so rows grow with the number of
+    centres and chunks, not of pairs.
+    """
     where = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    asked = pairs.groupBy(where("doc_id").alias("to"), "center").agg(F.collect_list("doc_id").alias("members")).withColumn("chunk", where("center"))
-    sets = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(fetch(size), "chunk int, center long, shingles binary, members array<long>")
+    blocks = members.groupBy("bucket", where("doc_id").alias("to")).agg(F.collect_list(F.struct("doc_id", "label")).alias("block"))
+    met = centers.join(blocks, "bucket").filter(F.exists("block", lambda m: m["label"] != F.col("center_label")))
+    asked = met.groupBy("to", "center", F.col("center_label").alias("label")).agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("members")).withColumn("chunk", where("center"))
+    sets = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
+        fetch(size), "chunk int, center long, label long, shingles binary, members array<struct<doc_id:long,label:long>>")
     return texts.groupBy("chunk").cogroup(sets.groupBy("chunk")).applyInArrow(confirm(size, percent), "a long, b long")
 
 
@@ -194,32 +208,32 @@ def group(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     nodes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
     first = full.join(nodes.select("node", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     rows = first.select("doc_id", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
-    members = sh.save(rows.join(several, "bucket").distinct(), "members")
+    several = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("bucket", "n")
+    # a draw from 0 to the size of the bucket: about k members of each bucket have one under k
+    draw = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(DRAW)) / F.lit(float(DRAW)) * F.col("n")
+    members = sh.save(rows.join(several, "bucket").select("bucket", "doc_id", draw.alias("draw")).distinct(), "members")
     ids = members.select("doc_id").distinct()
     touched = docs.join(ids, "doc_id", "left_semi")
     texts = sh.save(touched, "texts")
     chunks = sh.chunk_count(texts)
     texts = sh.chunked(texts, chunks)
     labels = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    taken, labels = 1, sh.save(labels, "labels")
+    high, labels = 0, sh.save(labels, "labels")
     while True:
-        named = members.join(labels, F.col("doc_id") == F.col("node")).select("bucket", "doc_id", "label")
-        mixed_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        named = sh.save(named.join(mixed_, "bucket"), "open")
+        named = members.join(labels, F.col("doc_id") == F.col("node")).select("bucket", "doc_id", "draw", "label")
+        seen = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("least"))
+        named = sh.save(named.join(seen.filter("low < high").select("bucket", "least"), "bucket"), "open")
         if not named.head(1):
             break
-        turn = Window.partitionBy("bucket").orderBy(F.xxhash64("doc_id") if taken > 1 else F.col("doc_id"), "doc_id")
-        centers = named.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= taken).select("bucket", F.col("doc_id").alias("center"), F.col("label").alias("center_label"))
-        centers = sh.save(centers, "centers")
-        pairs = named.join(centers, "bucket").filter("label <> center_label").select("center", "doc_id").distinct()
-        links = sh.save(confirmed(texts, pairs, chunks, words, percent), "confirmed")
+        chosen = F.col("draw") < high if high else F.col("doc_id") == F.col("least")
+        centers = named.filter(chosen).select("bucket", F.col("doc_id").alias("center"), F.col("label").alias("center_label"))
+        links = sh.save(confirmed(texts, named, centers, chunks, words, percent), "confirmed")
         name = lambda side: labels.select(F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label"))  # noqa: B023, E731
         edges = links.join(name("a"), F.col("a") == F.col("a_node")).join(name("b"), F.col("b") == F.col("b_node")).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
         moved = components(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
         labels = sh.save(labels.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-        members = named.select("bucket", "doc_id").join(centers.select("bucket", F.col("center").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        taken *= 2
+        members = named.filter(F.col("draw") >= high).select("bucket", "doc_id", "draw")
+        high = max(GROWTH, high * GROWTH)
     named = nodes.join(labels.withColumnRenamed("node", "key"), F.col("node") == F.col("key"), "left").select(
         F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("label", "node").alias("component"))
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") > 0)
