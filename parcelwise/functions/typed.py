@@ -130,10 +130,6 @@ def integers(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, ",", "").cast("bigint"))
 
 
-def month_start(c: Column) -> Column:
-    return F.trunc(c, "MM")
-
-
 def months_apart(a: Column, b: Column) -> Column:
     """Distance in calendar months; days of the month do not matter."""
     return F.abs((F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b))

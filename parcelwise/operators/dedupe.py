@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions.arrays import add_reasons
+from parcelwise.operators.ingest import distributions
 from parcelwise.operators.joins import first_per_key, join_per_key
 
 
@@ -96,11 +97,18 @@ def history(pooled: DataFrame, winners: DataFrame, subject: str = "subject_id",
     return join_per_key(pooled, won, [subject], "inner").where(~F.col(oid).eqNullSafe(F.col("selected_id")))
 
 
-def vintage_report(winners: DataFrame) -> DataFrame:
-    return winners.agg(
+def vintage_report(winners: DataFrame, older: DataFrame, newer: DataFrame, subject: str = "subject_id", period: str = "period") -> DataFrame:
+    """Rows (part, value, n): the counts of the resolution, the newer rows rejected for their confidence, and how often
+    each source and each period is current."""
+    counts = winners.agg(
         F.count("*").alias("current"), F.count_if(F.col("source") == "newer").alias("advanced"),
         F.count_if(F.col("source") == "older").alias("retained"), F.count_if("stale").alias("stale"),
-    )
+    ).unpivot([], ["current", "advanced", "retained", "stale"], "value", "n").select(F.lit("count").alias("part"), "value", "n")
+    rejected = newer.agg(F.count_if(F.col(subject).isNotNull() & ~confidence_ok(F.col("confidence"))).alias("n"))
+    candidates = older.agg(F.count_if(F.col(subject).isNotNull()).alias("n"))
+    spread = distributions(winners, ["source", period]).select(F.col("field").alias("part"), "value", "n")
+    return counts.unionByName(rejected.select(F.lit("count").alias("part"), F.lit("rejected").alias("value"), "n")).unionByName(
+        candidates.select(F.lit("count").alias("part"), F.lit("older_candidates").alias("value"), "n")).unionByName(spread)
 
 
 def merge_attributes(

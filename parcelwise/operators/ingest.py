@@ -82,10 +82,10 @@ def source_health(flagged: DataFrame) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Count per value; a missing value is counted as UNKNOWN."""
-    text = F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("UNKNOWN"))
-    return df.groupBy(text.alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit(column))
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count per column and value in one scan; a missing or empty value is counted as UNKNOWN."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "field", "value")
+    return long.groupBy("field", F.coalesce(F.nullif("value", F.lit("")), F.lit("UNKNOWN")).alias("value")).agg(F.count("*").alias("n"))
 
 
 def coverage(df: DataFrame, predicates: Mapping[str, Column]) -> DataFrame:

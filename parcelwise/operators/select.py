@@ -179,6 +179,20 @@ def summary(rows: DataFrame, field: str, by: Sequence[str] = (), units: str = "u
     return means.drop("_all").withColumn("_both", both).select("*", "_both.*").drop("_both")
 
 
+def index(comparisons: DataFrame, best: DataFrame, ranked_rows: DataFrame, field: str = "monthly_wedge") -> DataFrame:
+    """The composed index as rows (part, name, value): how many comparisons and best rows there are, both by class, the
+    summary of ``field`` over the ranked rows, and the first ten places of the ranking."""
+    row = lambda part, name, value: (F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    counts = comparisons.agg(F.count("*").alias("n")).select(*row("count", F.lit("comparisons"), F.col("n"))).unionByName(
+        best.agg(F.count("*").alias("n")).select(*row("count", F.lit("best"), F.col("n"))))
+    classes = class_counts(comparisons).select(*row("comparison_class", F.col("quality"), F.col("n"))).unionByName(
+        class_counts(best).select(*row("best_class", F.col("quality"), F.col("n"))))
+    s = summary(ranked_rows, field)
+    stats = s.unpivot([], [F.col(c).cast("double").alias(c) for c in s.columns], "name", "value").select(*row("summary", F.col("name"), F.col("value")))
+    top = ranked_rows.where("rank <= 10").select(*row("ranking", F.col("subject_id").cast("string"), F.col("rank")))
+    return counts.unionByName(classes).unionByName(stats).unionByName(top)
+
+
 def metric_rows(subjects: DataFrame, best: DataFrame, market: DataFrame, tenant_first: DataFrame) -> DataFrame:
     """One row per subject: best comparison, its market value and the first tenant value; all subjects stay."""
     b = best.select("subject_id", "comparison_id", "quality", "monthly_wedge", "annual_wedge", "pct_below",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("survey", "ingest", "dedupe", "compare", "areas", "series", "snapshot", "text", "spatial")
+MODULES = ("survey", "ingest", "dedupe", "compare", "areas", "series", "snapshot", "text", "spatial", "sources")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

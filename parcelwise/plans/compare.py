@@ -57,7 +57,7 @@ def market(spark, sf) -> DataFrame:
             area_id(n).alias("area_id"), n.alias("area_nation"), F.concat(F.lit(prefix), n.cast("string"), tail).alias("m_id"), period.alias("m_period"),
             value.alias("m_value"), F.lit(scope).alias("m_scope"),
             (bedroom if bedroom is not None else F.lit(None)).cast("int").alias("m_bedroom"), F.lit(gross).alias("m_gross_net"),
-            F.lit(basis).alias("m_basis"), F.lit(kind).alias("m_artifact"), F.lit(1).alias("seq"))
+            F.lit(basis).alias("m_basis"), F.lit(kind).alias("m_artifact"), F.lit(2).alias("seq"))
 
     mean = F.col("total").cast("double") / F.col("n").cast("double")
     bench = rows(base.where("l_linenumber <= 5"), mean, "hud-safmr:", "art-hud", F.col("l_linenumber") - 1, F.add_months(start, -2 * n),
@@ -70,6 +70,8 @@ def market(spark, sf) -> DataFrame:
 
 def pairs(spark, sf) -> DataFrame:
     t, a, m = tenant(spark, sf), assignments(spark, sf), market(spark, sf)
+    # every second area has an earlier listing that the later one replaces
+    m = m.unionByName(m.where("m_basis = 'index' and area_nation % 2 = 0").withColumn("m_value", F.lit(1.0)).withColumn("seq", F.lit(1)))
     hud = compare.pair_by_area(t, a, m.where("m_basis = 'regulatory_market_benchmark'"), bedroom=2)
     zori = compare.pair_by_area(t, a, m.where("m_basis = 'index'"), bedroom=None)
     rent = compare.pair_by_area(t, a, m.where("m_basis = 'asking'"), bedroom=1)
@@ -343,14 +345,23 @@ def _(spark, sf):
     return sel.class_counts(comparisons(spark, sf))
 
 
-@R.add("q_comparison_index", f"""with {C}
-    select (select count(*) from comps) as n_comparisons, (select count(*) from best) as n_with_best, (select count(*) from best where quality = 'strong') as best_strong,
-           (select count(*) from best where quality = 'exact') as best_exact, (select count(*) from best where quality = 'representative') as best_representative""")
+@R.add("q_comparison_index", f"""with {C}, cls as (select unnest(['exact','strong','representative','context_only','unavailable']) as q),
+    r as (select b.subject_id, monthly_wedge, case when s.units > 0 then s.units else 1 end as u,
+                 row_number() over (order by qr, -abs(monthly_wedge), -monthly_wedge, b.subject_id) as rank from best b left join subj s using (subject_id)),
+    c as (select *, sum(u) over (order by monthly_wedge) as cum, sum(u) over () as tot from r)
+    select 'count' as part, 'comparisons' as name, count(*)::double as value from comps union all select 'count', 'best', count(*) from best
+    union all select 'comparison_class', q, count(comparison_id) from cls left join comps on quality = q group by all
+    union all select 'best_class', q, count(comparison_id) from cls left join best on quality = q group by all
+    union all select 'summary', 'n', count(*) from r union all select 'summary', 'total_units', sum(u) from r
+    union all select 'summary', 'unweighted_median', round(median(monthly_wedge), 4) from r
+    union all select 'summary', 'weighted_mean', round(sum(monthly_wedge::decimal(20,6) * u)::double / sum(u), 4) from r
+    union all select 'summary', 'weighted_median_proxy', round(min(monthly_wedge) filter (where cum * 2 >= tot), 4) from c
+    union all select 'ranking', subject_id::varchar, rank from r where rank <= 10""")
 def _(spark, sf):
     c = comparisons(spark, sf)
     b = sel.best_per_subject(c)
-    counts = b.agg(F.count("*").alias("n_with_best"), *[F.count_if(F.col("quality") == q).alias(f"best_{q}") for q in ("strong", "exact", "representative")])
-    return counts.withColumn("n_comparisons", c.agg(F.count("*").alias("n")).scalar())
+    ranked_rows = sel.ranking(b.drop("units"), subjects(spark, sf))
+    return sel.index(c, b, ranked_rows).withColumn("value", F.round("value", 4))
 
 
 @R.add("q_ranking_guard", f"with {C} select comparison_id from ranked where qr <= 2 and not (subject_id % 3 = 0 or subject_id % 7 = 0)")

@@ -55,7 +55,7 @@ _POOL_SQL = """
                        coalesce(pool = 0 and period < date '2000-06-01', false) as stale, candidates from ranked where rn = 1)"""
 
 
-def pools(spark, sf) -> DataFrame:
+def sources(spark, sf) -> tuple[DataFrame, DataFrame]:
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     older = o.select(
         F.col("o_custkey").alias("subject_id"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("observation_id"),
@@ -65,7 +65,11 @@ def pools(spark, sf) -> DataFrame:
         F.col("o_custkey").alias("subject_id"), F.concat(F.lit("n:"), F.col("o_orderkey").cast("string")).alias("observation_id"),
         F.when(F.col("o_orderkey") % 23 != 0, F.trunc("o_orderdate", "MM")).alias("period"), "value", F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderkey") % 4 == 1, "LOW").when(F.col("o_orderkey") % 4 == 2, "medium").alias("confidence"))
-    return dedupe.pool_sources(older, newer)
+    return older, newer
+
+
+def pools(spark, sf) -> DataFrame:
+    return dedupe.pool_sources(*sources(spark, sf))
 
 
 @R.add("q_newest_resolution", f"with {_POOL_SQL} select * from winners")
@@ -81,10 +85,15 @@ def _(spark, sf):
 
 
 @R.add("q_vintage_report", f"""with {_POOL_SQL}
-    select count(*) as current, count(*) filter (where source = 'newer') as advanced, count(*) filter (where source = 'older') as retained,
-           count(*) filter (where stale) as stale from winners""")
+    select 'count' as part, 'current' as value, count(*) as n from winners union all select 'count', 'advanced', count(*) from winners where source = 'newer'
+    union all select 'count', 'retained', count(*) from winners where source = 'older' union all select 'count', 'stale', count(*) from winners where stale
+    union all select 'count', 'older_candidates', count(*) from older
+    union all select 'count', 'rejected', count(*) from orders where o_orderkey % 4 = 1 and o_orderkey in (select l_orderkey from lineitem)
+    union all select 'source', source, count(*) from winners group by all
+    union all select 'period', coalesce(period::varchar, 'UNKNOWN'), count(*) from winners group by all""")
 def _(spark, sf):
-    return dedupe.vintage_report(dedupe.newest(pools(spark, sf), "2000-06-01"))
+    older, newer = sources(spark, sf)
+    return dedupe.vintage_report(dedupe.newest(dedupe.pool_sources(older, newer), "2000-06-01"), older, newer)
 
 
 @R.add("q_current_vs_previous", f"""with {_POOL_SQL},

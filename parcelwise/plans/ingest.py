@@ -120,10 +120,7 @@ def _(spark, sf):
     union all select 'borough', coalesce(borough, 'UNKNOWN'), count(*) from f group by all
     union all select 'as_of', coalesce(strftime(as_of, '%Y-%m-%d'), 'UNKNOWN'), count(*) from f group by all""")
 def _(spark, sf):
-    df = flagged(spark, sf)
-    # one scan: each row is counted under its three fields
-    long = df.select("reason", "borough", F.col("as_of").cast("string").alias("as_of")).unpivot([], ["reason", "borough", "as_of"], "field", "value")
-    return long.groupBy("field", F.coalesce("value", F.lit("UNKNOWN")).alias("value")).agg(F.count("*").alias("n"))
+    return ingest.distributions(flagged(spark, sf), ["reason", "borough", "as_of"])
 
 
 @R.add("q_coverage", f"""with {_TYPED}

@@ -126,10 +126,13 @@ def _(spark, sf):
     return d.select("digest", snapshot.snapshot_id(F.lit("2024-05-01 12:00:00").cast("timestamp"), F.col("digest")).alias("snapshot_id"))
 
 
-@R.add("q_row_ids", """select n, count(*) as contents from (select count(*) as n from documents group by lang, source, text) group by 1""")
+@R.add("q_row_ids", """
+    select doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || case when doc_id % 10 = 0 then 'null' else '"' || lang || '"' end || ',"source":"' || source || '"}') as row_id
+    from documents""")
 def _(spark, sf):
-    ids = snapshot.row_ids(table(spark, sf, "documents"), ["text", "lang", "source"])
-    return ids.groupBy("row_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("contents"))
+    # every tenth document has no language; the names are given out of order
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("lang")).alias("lang"), "source")
+    return snapshot.row_ids(d, ["source", "doc_id", "lang"]).select("doc_id", "row_id")
 
 
 @R.add("q_review_union", """
@@ -141,14 +144,15 @@ def _(spark, sf):
     return snapshot.tagged_union({"orders": a, "customer": b})
 
 
-@R.add("q_file_inventory")
+@R.add("q_file_inventory", f"""with {_INV}
+    select 'documents' as source_id, path, sha256, byte_length, strftime(timestamp '2024-05-01 12:00:00', '%Y-%m-%d %H:%M:%S') as retrieved_at from man""")
 def _(spark, sf):
-    return receipts.inventory(spark, sf, "*.parquet")
+    files = receipts.receipts(inventories(spark, sf)[0], "documents", "2024-05-01 12:00:00")
+    return files.withColumn("retrieved_at", F.date_format("retrieved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@R.add("q_pin_gate")
+@R.add("q_pin_gate", f"""with {_INV}
+    select m.path, m.sha256 as expected, a.sha256 as actual, coalesce(m.sha256 = a.sha256, false) as ok from man m left join act a on m.path = a.path""")
 def _(spark, sf):
-    files = receipts.inventory(spark, sf, "*.parquet")
-    pins = table(spark, sf, "nation").select(F.concat(F.lower("n_name"), F.lit(".parquet")).alias("path"), F.sha2("n_name", 256).alias("sha256")).unionByName(
-        files.select("path", "sha256"))
+    pins, files = inventories(spark, sf)
     return receipts.pin_gate(files, pins)

@@ -99,6 +99,21 @@ def program_rows(
                        F.when(~F.coalesce(ok, F.lit(False)), "missing or suppressed code").alias("unavailable_reason"))
 
 
+def program_problems(rows: DataFrame, areas: Mapping[str, str], programs: Mapping[tuple[str, str], str], statistics: Sequence[str]) -> DataFrame:
+    """What keeps a program table from being whole: an area's program that occurs twice, or not at all."""
+    spark = rows.sparkSession
+    per = rows.where(F.col("statistic") == statistics[0]).groupBy("geography_id", "program_id").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([(g, p) for g in sorted({*areas.values()}) for p in sorted({*programs.values()})], "geography_id string, program_id string")
+    problem = F.when(F.col("n") > 1, "duplicate geographic program").when(F.col("n").isNull(), "missing geographic program")
+    return wanted.join(per, ["geography_id", "program_id"], "left").select("geography_id", "program_id", problem.alias("problem")).where("problem is not null")
+
+
+def metro_rows(df: DataFrame, state: str, metro: str, state_name: str = "State", metro_name: str = "Metro") -> DataFrame:
+    """Rows of a wide series table whose state is the one asked for and whose metro area contains the text."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return df.where((text(state_name) == state) & text(metro_name).contains(metro))
+
+
 def wide_market_series(df: DataFrame, area_types: Sequence[str], first: str = "2021-01") -> DataFrame:
     """Wide monthly listing table (areaName, areaType, YYYY-MM columns) to long rows; blank cells stay as null."""
     months = [c for c in df.columns if re.match(r"^\d{4}-\d{2}$", c) and c >= first]
