@@ -100,7 +100,7 @@ def cell_estimates(
                          F.when(usable, v).alias("_v"), w.alias("_full"))
     for d in names:
         tagged = tagged.where(F.size(d) > 0)
-    # rows are repeated per cell and reduced to (cell, value) in the same map task, before the shuffle
+    # rows keep their lists of cells until they are reduced to buckets of values
     usable_rows = tagged.where("_v is not null")
     counts = tagged.groupBy(*names, F.col("_v").isNotNull().alias("_u")).agg(
         F.count("*").alias("_n"),
@@ -109,17 +109,17 @@ def cell_estimates(
     )
     for d in names:
         counts = counts.withColumn(d, F.explode(d))
-    sums = med.sum_by_value(
-        usable_rows, names, F.col("_v"), F.col("_full"), replicates, reps.count if reps else 0, kind, explode=names)
+    ready = med.weighted_rows(
+        usable_rows, F.col("_v"), F.col("_full"), replicates, reps.count if reps else 0, kind, explode=names)
     totals = counts.groupBy(*names).agg(
         F.sum("_n").alias("eligible_n"), F.sum(F.when(F.col("_u"), F.col("_n")).otherwise(0)).alias("usable_n"),
         F.sum("_bad_w").alias("invalid_weight_n"), F.sum("_sw").cast("double").alias("eligible_weight"),
         F.sum(F.when(F.col("_u"), F.col("_sw")).otherwise(0)).cast("double").alias("usable_weight"),
     )
     if reps:
-        est = med.uncertainty_from_sums(sums, names, reps.count, reps.multiplier, reps.critical)
+        est = med.uncertainty(ready, names, reps.count, reps.multiplier, reps.critical)
     else:
-        est = med.medians(sums, names).select(*names, F.col("_m").alias("point"))
+        est = med.medians(ready, names).select(*names, F.col("_m").alias("point"))
         est = est.select(*names, "point", F.lit(0).alias("replicates_used"),
                          *[F.lit(None).cast("double").alias(c) for c in med.UNCERTAINTY])
     cells = skeleton(rows, {d: list(m) for d, m in dims.items()})
@@ -256,8 +256,8 @@ def benchmark_medians(
     usable = rows.where((finite(F.col(value)) > 0) & (finite(F.col(weight)) > 0))
     tagged = usable.select(
         F.array_compact(F.array(F.lit(everyone), category)).alias("name"), F.col(value), F.col(weight))
-    sums = med.sum_by_value(tagged, ["name"], finite(F.col(value)), F.col(weight), kind=kind, explode=["name"])
-    return med.medians(sums, ["name"]).select("name", F.bround("_m", 0).alias("computed"))
+    ready = med.weighted_rows(tagged, finite(F.col(value)), F.col(weight), kind=kind, explode=["name"])
+    return med.medians(ready, ["name"]).select("name", F.bround("_m", 0).alias("computed"))
 
 
 def observations(cells: DataFrame, names: Sequence[str], vintage: str, source_id: str) -> DataFrame:

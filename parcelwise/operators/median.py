@@ -2,10 +2,12 @@
 
 A group may hold a third of all rows, so no step puts a group into one task:
 
-1. rows are reduced to one row per (group, value) with all weights summed side by side;
-2. those are reduced to one row per (group, value bucket); running weights over the few buckets find the
-   bucket that holds the middle of the weight;
-3. only the rows of that bucket are put in order.
+1. rows are reduced to one row per (group, value bucket) with all weights summed side by side, before any group list is
+   taken apart; running weights over the few buckets find the bucket that holds the middle of the weight;
+2. a second scan keeps only the rows of those buckets, under a hundredth of spread-out values, and sums their weights
+   per exact value;
+3. such a bucket is split evenly once more over its own range, so that a group whose values lie close together, or near
+   zero, is spread as well; only the rows of the middle part are put in order.
 
 Buckets are a fixed function of the value (log scale, about 0.4 percent wide), so they need no statistics
 and come out the same in every branch of the plan.
@@ -14,6 +16,7 @@ and come out the same in every branch of the plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from parcelwise.functions.typed import finite
 
 EXACT = "decimal(20,8)"  # survey weights with eight decimals; ties at half the weight stay exact
 WHOLE = "bigint"  # whole-number weights: long sums, faster
+PARTS = 1024  # even parts of a middle bucket
 STEPS = 256  # buckets per factor e
 BLOCK = 16  # weights summed side by side in one row; more weights make more rows, not wider generated code
 
@@ -54,90 +58,130 @@ def numbered(replicates: Column | Weights) -> Weights:
     return (lambda i: F.get(replicates, i - 1)) if isinstance(replicates, Column) else replicates
 
 
-def sum_by_value(
-    rows: DataFrame, by: Sequence[str], value: Column, weight: Column, replicates: Column | Weights | None = None,
+@dataclass(frozen=True)
+class Weighted:
+    """Rows with a value ``_v`` and numbered weights: 0 is the full-sample weight, the replicates follow.
+
+    Group columns named in ``explode`` hold lists of groups; a row counts in each of them.
+    """
+
+    rows: DataFrame
+    weight: Column
+    replicates: Column | Weights | None = None
+    n_replicates: int = 0
+    kind: str = EXACT
+    explode: tuple[str, ...] = ()
+
+    def at(self, k: Column) -> Column:
+        if not self.n_replicates:
+            return self.weight
+        return F.when(k == 0, self.weight).otherwise(numbered(self.replicates)(k))
+
+
+def weighted_rows(
+    rows: DataFrame, value: Column, weight: Column, replicates: Column | Weights | None = None,
     n_replicates: int = 0, kind: str = EXACT, explode: Sequence[str] = (),
-) -> DataFrame:
-    """One row per (group, value, weight block): summed weights ``_w0..`` and ``_bad``, the invalid rows.
+) -> Weighted:
+    """Rows ready for ``medians``; ``value`` must not be null."""
+    return Weighted(rows.withColumn("_v", value).withColumn("_k", value_bucket(F.col("_v"))), weight, replicates,
+                    n_replicates, kind, tuple(explode))
 
-    Weight number 0 is the full-sample weight, the replicates follow. A row is invalid when one of its
-    replicate weights is missing, not finite or negative. Group columns named in ``explode`` hold lists of
-    groups; the row counts in each of them. The code per weight is kept short: a generated method over 8 kB is
+
+def sum_by_bucket(w: Weighted, by: Sequence[str]) -> DataFrame:
+    """One row per (group, weight block, bucket): summed weights ``_w0..``, ``_bad``, the invalid rows, and the range.
+
+    A row is invalid when one of its replicate weights is missing, not finite or negative. Lists of groups are
+    part of the key until the rows are reduced. The code per weight is kept short: a generated method over 8 kB is
     never compiled by the JVM and runs ten times slower.
     """
-    n = n_replicates + 1
+    n = w.n_replicates + 1
     width = block_width(n)
     blocks = -(-n // width)
-    slim = rows.withColumn("_v", value)
-    for d in explode:
-        slim = slim.withColumn(d, F.explode(d))
-    slim = slim.withColumn("_blk", F.explode(F.lit(list(range(blocks)))) if blocks > 1 else F.lit(0))
+    slim = w.rows.withColumn("_blk", F.explode(F.lit(list(range(blocks)))) if blocks > 1 else F.lit(0))
     cells = []
     for i in range(width):
         k = F.col("_blk") * width + i if blocks > 1 else F.lit(i)
-        if n_replicates == 0:
-            x = weight
-        else:
-            x = numbered(replicates)(k)
-            if i == 0:
-                x = F.when(k == 0, weight).otherwise(x)
-            if (blocks - 1) * width + i >= n:  # the last block may be shorter
-                x = F.when(k < n, x).otherwise(0)
+        x = w.weight if n == 1 else numbered(w.replicates)(k)
+        if i == 0 and n > 1:
+            x = F.when(k == 0, w.weight).otherwise(x)
+        if n > 1 and (blocks - 1) * width + i >= n:  # the last block may be shorter
+            x = F.when(k < n, x).otherwise(0)
         cells.append(x.try_cast("double").alias(f"_x{i}"))
-    slim = slim.select(*by, "_blk", "_v", *cells)
+    slim = slim.select(*by, "_blk", "_k", "_v", *cells)
     xs = [F.col(f"_x{i}") for i in range(width)]
     bad = F.lit(False)
-    if n_replicates:
+    if w.n_replicates:
         # a missing, NaN or infinite weight shows in the total
         total = xs[0]
         for x in xs[1:]:
             total = total + x
         low = F.least(*xs) if width > 1 else xs[0]
         bad = F.coalesce(~((total < float("inf")) & (low >= 0)), F.lit(True))
-    return slim.groupBy(*by, "_blk", "_v").agg(
-        *[F.sum(usable_weight(x, kind)).alias(f"_w{i}") for i, x in enumerate(xs)], F.count_if(bad).alias("_bad")
-    )
+    ws = [f"_w{i}" for i in range(width)]
+    out = slim.groupBy(*by, "_blk", "_k").agg(
+        *[F.sum(usable_weight(x, w.kind)).alias(name) for x, name in zip(xs, ws, strict=True)],
+        F.count_if(bad).alias("_bad"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if not w.explode:
+        return out
+    for d in w.explode:
+        out = out.withColumn(d, F.explode(d))
+    return out.groupBy(*by, "_blk", "_k").agg(
+        *[F.sum(x).alias(x) for x in ws], F.sum("_bad").alias("_bad"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
+def same_groups(by: Sequence[str], prefix: str) -> Column:
+    """Groups match null-safe: a missing group is a group."""
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
 
 
-def medians(sums: DataFrame, by: Sequence[str], steps: int = STEPS) -> DataFrame:
-    """Weighted median per group and weight number, from ``sum_by_value`` output without null values.
+def medians(w: Weighted, by: Sequence[str]) -> DataFrame:
+    """Weighted median per group and weight number.
 
     ``_m`` is the median (the mean of this and the next value when the running weight hits exactly half),
     ``_first`` the first value that reaches half. Other columns: ``by``, ``_r`` (weight number), ``_bad``.
     """
     by = list(by)
-    ws = [c for c in sums.columns if c.startswith("_w")]
-    bucketed = sums.withColumn("_k", value_bucket(F.col("_v"), steps))
-    buckets = (
-        bucketed.groupBy(*by, "_blk", "_k")
-        .agg(*[F.sum(w).alias(w) for w in ws], F.sum("_bad").alias("_bad"))
-        .select(*by, "_blk", "_k", "_bad", F.posexplode(F.array(*ws)).alias("_i", "_w"))
-    )
+    buckets = sum_by_bucket(w, by)
+    ws = [c for c in buckets.columns if c.startswith("_w")]
+    buckets = buckets.select(*by, "_blk", "_k", "_bad", "_lo", "_hi", F.posexplode(F.array(*ws)).alias("_i", "_w")).select(
+        *by, (F.col("_blk") * len(ws) + F.col("_i")).alias("_r"), "_k", "_bad", "_lo", "_hi", "_w")
     # one order for all windows of a step, so that each step sorts once
     first, last = Window.unboundedPreceding, Window.unboundedFollowing
-    by_bucket = Window.partitionBy(*by, "_blk", "_i").orderBy("_k")
+    by_bucket = Window.partitionBy(*by, "_r").orderBy("_k")
     whole = by_bucket.rowsBetween(first, last)
+    reaches = "_w > 0 and _cum * 2 >= _total and _before * 2 <= _total"
     middle = (
         buckets.withColumn("_cum", F.sum("_w").over(by_bucket.rowsBetween(first, Window.currentRow)))
         .withColumn("_total", F.sum("_w").over(whole)).withColumn("_bad", F.sum("_bad").over(whole))
-        .withColumn("_before", F.col("_cum") - F.col("_w"))
-        .where("_w > 0 and _cum * 2 >= _total and _before * 2 <= _total")
-        .select(*by, "_blk", "_k", "_i", "_bad", "_total", "_before")
+        .withColumn("_before", F.col("_cum") - F.col("_w")).where(reaches)
     )
-    # "_bad" is kept here too: with the same columns in the same order Spark runs the shared sums once and
-    # reuses their shuffle
-    rows = bucketed.select(*by, "_blk", "_k", "_v", F.array(*ws).alias("_ws"), F.col("_bad").alias("_row_bad"))
-    # groups match null-safe: a missing group is a group, and no filter appears in only one branch
-    m = middle.select(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_blk").alias("_m_blk"), F.col("_k").alias("_m_k"),
-                      "_i", "_bad", "_total", "_before")
-    same = (F.col("_blk") == F.col("_m_blk")) & (F.col("_k") == F.col("_m_k"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
-    inner = (
-        rows.join(m, same).withColumn("_w", F.get("_ws", F.col("_i"))).where("_w > 0")
-        .select(*by, "_blk", "_i", "_v", "_w", "_bad", "_row_bad", "_total", "_before")
+    # one row per group and middle bucket with the weight numbers that need it, at most all of them
+    wanted = middle.groupBy(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_k").alias("_m_k")).agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list(F.struct("_r", "_total", "_before", "_bad")).alias("_need"))
+    rows = w.rows
+    for d in w.explode:
+        rows = rows.withColumn(d, F.explode(d))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)))
+    met = rows.join(wanted, same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k"))).select(
+        "*", F.coalesce(part, F.lit(0)).cast("int").alias("_p"), F.explode("_need").alias("_n")).select("*", F.col("_n._r").alias("_r"))
+    # with the same columns in the same order Spark runs these shared sums once and reuses their shuffle
+    values = met.groupBy(*by, "_r", "_k", "_p", "_v").agg(
+        F.sum(usable_weight(w.at(F.col("_r")), w.kind)).alias("_w"), F.max("_n._total").alias("_total"), F.max("_n._before").alias("_start"),
+        F.max("_n._bad").alias("_bad")).where("_w > 0")
+    by_part = Window.partitionBy(*by, "_r").orderBy("_k", "_p")
+    parts = (
+        values.groupBy(*by, "_r", "_k", "_p").agg(F.sum("_w").alias("_w"), F.max("_total").alias("_total"), F.max("_start").alias("_start"), F.max("_bad").alias("_bad"))
+        .withColumn("_cum", F.min("_start").over(by_part.rowsBetween(first, last)) + F.sum("_w").over(by_part.rowsBetween(first, Window.currentRow)))
+        .withColumn("_before", F.col("_cum") - F.col("_w")).where(reaches)
+        .select(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_r").alias("_m_r"), F.col("_k").alias("_m_k"), F.col("_p").alias("_m_p"), "_before")
     )
-    by_value = Window.partitionBy(*by, "_blk", "_i").orderBy("_v")
+    same = same_groups(by, "_m_") & (
+        F.col("_r") == F.col("_m_r")) & (F.col("_k") == F.col("_m_k")) & (F.col("_p") == F.col("_m_p"))
+    inner = values.join(parts, same).select(*by, "_r", "_v", "_w", "_bad", "_total", "_before")
+    by_value = Window.partitionBy(*by, "_r").orderBy("_v")
     inner = (
         inner.withColumn("_cum", F.min("_before").over(by_value.rowsBetween(first, last)) + F.sum("_w").over(
             by_value.rowsBetween(first, Window.currentRow)))
@@ -146,9 +190,8 @@ def medians(sums: DataFrame, by: Sequence[str], steps: int = STEPS) -> DataFrame
     )
     tie = (F.col("_cum") * 2 == F.col("_total")) & F.col("_next").isNotNull()
     at = F.when(tie, (F.col("_v") + F.col("_next")) / 2).otherwise(F.col("_v"))
-    return inner.groupBy(*by, "_blk", "_i").agg(
-        F.min_by(at, "_v").alias("_m"), F.min("_v").alias("_first"), F.greatest(F.max("_bad"), F.max("_row_bad")).alias("_bad")).select(
-        *by, (F.col("_blk") * len(ws) + F.col("_i")).alias("_r"), "_m", "_first", "_bad")
+    return inner.groupBy(*by, "_r").agg(
+        F.min_by(at, "_v").alias("_m"), F.min("_v").alias("_first"), F.max("_bad").alias("_bad"))
 
 
 def weighted_median(
@@ -158,7 +201,7 @@ def weighted_median(
     """Weighted median per group; groups without a usable row do not appear."""
     by, rows, drop = _grouped(rows, by)
     v = finite(F.col(value))
-    out = medians(sum_by_value(rows.where(v.isNotNull()), by, v, F.col(weight), kind=kind), by)
+    out = medians(weighted_rows(rows.where(v.isNotNull()), v, F.col(weight), kind=kind), by)
     return out.select(*by, F.col("_m" if midpoint else "_first").alias(name)).drop(*drop)
 
 
@@ -202,17 +245,16 @@ def median_uncertainty(
     """
     by, rows, drop = _grouped(rows, by)
     usable = rows.where((finite(F.col(value)) > 0) & (finite(F.col(weight)) > 0))
-    sums = sum_by_value(
-        usable, by, finite(F.col(value)), F.col(weight), replicates, n_replicates, kind)
-    return uncertainty_from_sums(sums, by, n_replicates, multiplier, critical).drop(*drop)
+    ready = weighted_rows(usable, finite(F.col(value)), F.col(weight), replicates, n_replicates, kind)
+    return uncertainty(ready, by, n_replicates, multiplier, critical).drop(*drop)
 
 
-def uncertainty_from_sums(
-    sums: DataFrame, by: Sequence[str], n_replicates: int, multiplier: float, critical: float
+def uncertainty(
+    w: Weighted, by: Sequence[str], n_replicates: int, multiplier: float, critical: float
 ) -> DataFrame:
     if multiplier <= 0 or critical <= 0:
         raise ValueError("multiplier and critical value must be positive")
-    meds = medians(sums, by).where(F.col("_r") <= n_replicates)
+    meds = medians(w, by).where(F.col("_r") <= n_replicates)
     # at most n_replicates + 1 entries per group
     packed = meds.groupBy(*by).agg(
         F.max(F.when(F.col("_r") == 0, F.col("_m"))).alias("point"),

@@ -164,8 +164,8 @@ def summary(rows: DataFrame, field: str, by: Sequence[str] = (), units: str = "u
     base = base.where(F.col(field).isNotNull()).select(
         *keys, F.col(field).cast("double").alias("_x"), unit_weight(F.col(units).cast("double")).cast("decimal(12,4)").alias("_u"))
     # weight number 0 is the unit count, number 1 counts every row once: both medians from one pass
-    sums = med.sum_by_value(base, keys, F.col("_x"), F.col("_u"), lambda i: F.lit(1.0), 1, med.EXACT)
-    middle = med.medians(sums, keys).groupBy(*keys).agg(
+    ready = med.weighted_rows(base, F.col("_x"), F.col("_u"), lambda i: F.lit(1.0), 1, med.EXACT)
+    middle = med.medians(ready, keys).groupBy(*keys).agg(
         F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias("unweighted_median"),
         F.max(F.when(F.col("_r") == 0, F.col("_first"))).alias("weighted_median_proxy"))
     exact = F.col("_x").cast("decimal(20,6)")

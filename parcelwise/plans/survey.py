@@ -77,6 +77,19 @@ def _(spark, sf):
     return med.weighted_median(li, ["l_shipmode_key"], "l_extendedprice", "w")
 
 
+# Values that all fall into one bucket (a band of a tenth of a percent) or next to zero.
+_CLOSE = """select 'band' as what, 1000 + l_extendedprice / 131072 as v, l_quantity::bigint as w from lineitem
+         union all select 'tiny', l_extendedprice / 67108864, l_quantity::bigint from lineitem"""
+
+
+@R.add("q_weighted_median_close", median_sql(_CLOSE, "what").replace("as m\n", "as median\n"))
+def _(spark, sf):
+    li, x = table(spark, sf, "lineitem"), F.col("l_extendedprice")
+    band = li.select(F.lit("band").alias("what"), (x / 131072 + 1000).alias("v"), "l_quantity")
+    tiny = li.select(F.lit("tiny").alias("what"), (x / 67108864).alias("v"), "l_quantity")
+    return med.weighted_median(band.unionByName(tiny), ["what"], "v", "l_quantity", kind=med.WHOLE)
+
+
 @R.add("q_unweighted_median", """
     select 'line' as what, median(l_extendedprice) as median from lineitem
     union all select 'order', median(o_totalprice) from orders""")
