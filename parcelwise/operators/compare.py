@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,17 @@ def observation_rows(wide: DataFrame, area: str, bedrooms: dict[int, str], value
 
 
 def pair_by_area(
-    subject_obs: DataFrame, assignments: DataFrame, market: DataFrame, *, bedroom: int | None
+    subject_obs: DataFrame, assignments: DataFrame, market: DataFrame, wanted: Mapping[str, int | None]
 ) -> DataFrame:
-    """Subject -> its assigned area -> the area's market observation for one bedroom count or all units."""
-    if bedroom is None:
-        chosen = market.where((F.col("m_scope") == "all_units") & F.col("m_bedroom").isNull())
-    else:
-        chosen = market.where(F.col("m_bedroom") == bedroom)
-    chosen = first_per_key(chosen, ["area_id"], F.desc("seq")).drop("seq")
+    """Subject -> its assigned area -> the area's market observations, one for each measure basis that is wanted.
+
+    ``wanted`` maps a basis to the bedroom count to take, None for all units. All bases come from one join.
+    """
+    hit = F.lit(False)
+    for basis, bedroom in wanted.items():
+        units = (F.col("m_scope") == "all_units") & F.col("m_bedroom").isNull() if bedroom is None else F.col("m_bedroom") == bedroom
+        hit = hit | ((F.col("m_basis") == basis) & units)
+    chosen = first_per_key(market.where(hit), ["area_id", "m_basis"], F.desc("seq")).drop("seq")
     return subject_obs.join(assignments.select("subject_id", "area_id"), "subject_id").join(chosen, "area_id")
 
 

@@ -72,10 +72,7 @@ def pairs(spark, sf) -> DataFrame:
     t, a, m = tenant(spark, sf), assignments(spark, sf), market(spark, sf)
     # every second area has an earlier listing that the later one replaces
     m = m.unionByName(m.where("m_basis = 'index' and area_nation % 2 = 0").withColumn("m_value", F.lit(1.0)).withColumn("seq", F.lit(1)))
-    hud = compare.pair_by_area(t, a, m.where("m_basis = 'regulatory_market_benchmark'"), bedroom=2)
-    zori = compare.pair_by_area(t, a, m.where("m_basis = 'index'"), bedroom=None)
-    rent = compare.pair_by_area(t, a, m.where("m_basis = 'asking'"), bedroom=1)
-    out = hud.unionByName(zori).unionByName(rent)
+    out = compare.pair_by_area(t, a, m, {"regulatory_market_benchmark": 2, "index": None, "asking": 1})
     return out.withColumn("comparison_id", F.concat(F.col("subject_id").cast("string"), F.lit("__"), F.col("m_id")))
 
 
