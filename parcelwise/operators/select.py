@@ -193,6 +193,16 @@ def index(comparisons: DataFrame, best: DataFrame, ranked_rows: DataFrame, field
     return counts.unionByName(classes).unionByName(stats).unionByName(top)
 
 
+def enrich(features: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Features (feature, subject_id) with their subject's class, values, market source and stale flag; features whose
+    subject is unknown stay, without a comparison and not stale."""
+    m = metrics.select("subject_id", "has_comparison", "class_ordinal", "tenant_value", "market_value", "market_source", "stale")
+    no = F.lit(False)
+    return features.join(m, "subject_id", "left").select(
+        "feature", "subject_id", F.coalesce("has_comparison", no).alias("has_comparison"), F.coalesce("class_ordinal", F.lit(-1)).alias("class_ordinal"),
+        "tenant_value", "market_value", "market_source", F.coalesce("stale", no).alias("stale"))
+
+
 def metric_rows(subjects: DataFrame, best: DataFrame, market: DataFrame, tenant_first: DataFrame) -> DataFrame:
     """One row per subject: best comparison, its market value and the first tenant value; all subjects stay."""
     b = best.select("subject_id", "comparison_id", "quality", "monthly_wedge", "annual_wedge", "pct_below",

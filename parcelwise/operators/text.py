@@ -279,9 +279,16 @@ def wording_problems(
     return out.where(s.rlike(pattern) & ~excused).withColumn("sentence", typed.strip(s))
 
 
-def with_queries(df: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Each row once per query text (a short argument list)."""
-    return df.withColumn("query", F.explode(F.lit(list(queries))))
+def query_hits(df: DataFrame, queries: Sequence[str], score) -> DataFrame:
+    """A row for each query that a row of ``df`` answers, with ``query`` and ``score``.
+
+    The queries are a short list that travels with the plan; they are scored inside the row, and only hits become rows.
+    ``score`` maps a query (normalised text q, digits, stripped text raw) to a number, null where it is no hit.
+    """
+    asked = F.array(*[F.struct(F.lit(x).alias("query"), typed.search_text(F.lit(x)).alias("q"), F.regexp_replace(F.lit(x), r"\D", "").alias("digits"),
+                               typed.strip(F.lit(x)).alias("raw")) for x in queries])
+    scored = F.transform(asked, lambda s: F.struct(s["query"].alias("query"), score(s["q"], s["digits"], s["raw"]).alias("score")))
+    return df.select("*", F.explode(F.filter(scored, lambda h: h["score"] > 0)).alias("_hit")).select("*", "_hit.query", "_hit.score").drop("_hit")
 
 
 def search_subjects(subjects: DataFrame, queries: Sequence[str], limit: int = 12) -> DataFrame:
@@ -292,20 +299,23 @@ def search_subjects(subjects: DataFrame, queries: Sequence[str], limit: int = 12
         norm(F.coalesce("name", F.lit(""))).alias("_n"),
         norm(F.concat_ws(" ", "name", "key", "code", "area", "program", F.col("subject_id").cast("string"),
                          F.coalesce("aliases", F.array().cast("array<string>")))).alias("_hay"))
-    df = with_queries(base, queries).withColumn("_q", norm(F.col("query"))).where("_q != ''")
-    q, n = F.col("_q"), F.col("_n")
-    key_hit = (F.col("key") != "") & ((F.col("key") == typed.strip(F.col("query"))) | (norm(F.col("key")) == q))
-    score = (
-        F.when(n == q, 100).when(F.startswith(n, q), 80).when(F.contains(n, q), 50).otherwise(0)
-        + F.when(key_hit, 90).otherwise(0)
-        + F.when((F.col("code") != "") & F.contains(norm(F.col("code")), q), 40).otherwise(0)
-        + F.when(F.contains(norm(F.col("area")), q), 10).otherwise(0)
-    )
-    score = F.when((score == 0) & F.contains(F.col("_hay"), q), 5).otherwise(score)
-    # a row counts only when the query occurs in its text, or equals its key
-    seen = F.contains(F.col("_hay"), q) | F.startswith(n, q) | key_hit
-    hits = df.where(seen).withColumn("score", score).where("score > 0")
-    return top_per_key(hits, ["query"], limit, F.desc("score"), F.col("name"), F.col("subject_id")).select(
+    base = base.select("*", *[norm(F.col(c)).alias(f"_{c}") for c in ("key", "code", "area")])
+    n = F.col("_n")
+
+    def score(q: Column, digits: Column, raw: Column) -> Column:
+        key_hit = (F.col("key") != "") & ((F.col("key") == raw) | (F.col("_key") == q))
+        points = (
+            F.when(n == q, 100).when(F.startswith(n, q), 80).when(F.contains(n, q), 50).otherwise(0)
+            + F.when(key_hit, 90).otherwise(0)
+            + F.when((F.col("code") != "") & F.contains(F.col("_code"), q), 40).otherwise(0)
+            + F.when(F.contains(F.col("_area"), q), 10).otherwise(0)
+        )
+        points = F.when((points == 0) & F.contains(F.col("_hay"), q), 5).otherwise(points)
+        # a row counts only when the query occurs in its text, or equals its key
+        seen = F.contains(F.col("_hay"), q) | F.startswith(n, q) | key_hit
+        return F.when((q != "") & seen, points)
+
+    return top_per_key(query_hits(base, queries, score), ["query"], limit, F.desc("score"), F.col("name"), F.col("subject_id")).select(
         "query", "rank", "subject_id", "name", "score")
 
 
@@ -319,26 +329,25 @@ def search_areas(areas: DataFrame, queries: Sequence[str], limit: int = 8) -> Da
         "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("code", "name", "parent")],
         norm(F.coalesce("name", F.lit(""))).alias("_n"), norm(F.coalesce("code", F.lit(""))).alias("_c"),
         norm(F.concat_ws(" ", "code", "name", "parent")).alias("_hay"))
-    df = with_queries(base, queries).withColumn("_q", norm(F.col("query"))).where(F.length("_q") >= 2)
-    df = df.withColumn("_digits", F.regexp_replace("query", r"\D", "")).withColumn("_raw", typed.strip(F.col("query")))
-    q, n, digits, raw = F.col("_q"), F.col("_n"), F.col("_digits"), F.col("_raw")
-    kind = F.col("kind")
-    score = (
-        F.when((kind == "borough") & (F.contains(n, q) | F.contains(q, n)), F.when(n == q, 90).otherwise(40))
-        .when((kind == "zcta") & (F.length(digits) >= 3) & F.contains(F.col("code"), digits),
-              F.when(F.col("code") == digits, 95).otherwise(70))
-        .when((kind == "nta") & F.contains(F.col("_hay"), q),
-              F.when(n == q, 85).when(F.startswith(n, q), 65).when(F.col("_c") == q, 80).otherwise(30))
-        .when((kind == "tract") & (F.length(q) >= 4) & (F.contains(F.col("_hay"), q) | F.contains(F.col("code"), raw)),
-              F.when(F.col("code") == raw, 88).otherwise(35))
-    )
+    n, kind, code = F.col("_n"), F.col("kind"), F.col("code")
+
+    def score(q: Column, digits: Column, raw: Column) -> Column:
+        points = (
+            F.when((kind == "borough") & (F.contains(n, q) | F.contains(q, n)), F.when(n == q, 90).otherwise(40))
+            .when((kind == "zcta") & (F.length(digits) >= 3) & F.contains(code, digits), F.when(code == digits, 95).otherwise(70))
+            .when((kind == "nta") & F.contains(F.col("_hay"), q),
+                  F.when(n == q, 85).when(F.startswith(n, q), 65).when(F.col("_c") == q, 80).otherwise(30))
+            .when((kind == "tract") & (F.length(q) >= 4) & (F.contains(F.col("_hay"), q) | F.contains(code, raw)),
+                  F.when(code == raw, 88).otherwise(35))
+        )
+        return F.when(F.length(q) >= 2, points)
+
     ident = F.concat(kind, F.lit(":"), F.when(kind == "borough", F.col("name")).otherwise(F.col("code")))
     label = (
         F.when(kind == "zcta", F.concat(F.lit("ZIP/ZCTA "), F.col("code")))
         .when((kind == "tract") & (F.col("name") != ""), F.concat(F.lit("Tract "), F.col("name")))
         .when(F.col("name") != "", F.col("name")).otherwise(F.col("code")))
-    hits = df.withColumn("score", score).where("score is not null").select(
-        "query", ident.alias("area_id"), "kind", label.alias("label"), "score")
+    hits = query_hits(base, queries, score).select("query", ident.alias("area_id"), "kind", label.alias("label"), "score")
     once = first_per_key(hits, ["query", "area_id"], F.desc("score"), F.col("label"))
     return top_per_key(once, ["query"], limit, F.desc("score"), F.col("label"), F.col("area_id")).select(
         "query", "rank", "area_id", "kind", "label", "score")

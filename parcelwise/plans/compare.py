@@ -277,13 +277,14 @@ def _(spark, sf):
 
 
 @R.add("q_feature_enrichment", f"""with {_METRICS}
-    select p.feature, p.subject_id, coalesce(has_comparison, false) as has_comparison, coalesce(class_ordinal, -1) as class_ordinal, tenant_value
+    select p.feature, p.subject_id, coalesce(has_comparison, false) as has_comparison, coalesce(class_ordinal, -1) as class_ordinal, tenant_value,
+           round(market_value, 6) as market_value, market_source, coalesce(p.subject_id % 4 = 0 and tenant_value is not null, false) as stale
     from (select s_suppkey as feature, s_suppkey * 7 as subject_id from supplier) p left join metrics using (subject_id)""")
 def _(spark, sf):
     f = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("feature"), (F.col("s_suppkey") * 7).alias("subject_id"))
-    m = metrics(spark, sf).select("subject_id", "has_comparison", "class_ordinal", "tenant_value")
-    return f.join(m, "subject_id", "left").select("feature", "subject_id", F.coalesce("has_comparison", F.lit(False)).alias("has_comparison"),
-                                                  F.coalesce("class_ordinal", F.lit(-1)).alias("class_ordinal"), "tenant_value")
+    # every fourth subject's value is from before the newest vintage
+    m = metrics(spark, sf).withColumn("stale", (F.col("subject_id") % 4 == 0) & F.col("tenant_value").isNotNull())
+    return sel.enrich(f, m).withColumn("market_value", F.round("market_value", 6))
 
 
 @R.add("q_sorts", f"""with {_METRICS}, m as (select * from metrics where has_comparison)

@@ -289,6 +289,18 @@ def with_artifacts(cells: DataFrame) -> DataFrame:
     return cells.withColumn("artifact_ids", F.array(F.lit("occupied"), second))
 
 
+@R.add("q_gap_mismatches", f"""with {_CELL_ROWS}, {_GAP_SQL}
+    select gap_id, case when (lp = 'returned') <> (rp = 'returned') then 'statistic' else '' end as mismatched,
+           case when (lp = 'returned') = (rp = 'returned') then difference end as difference
+    from (select gaps.*, lp, rp from gaps join gap_rules on gaps.kind = gap_rules.kind and left_population = lp and left_cohort = lc)""")
+def _(spark, sf):
+    # one population is measured by another statistic, so its pairs with others carry no difference
+    obs = cel.observations(cell_frame(spark, sf), ["geography_id", "population", "cohort"], "2000", "survey")
+    obs = obs.withColumn("statistic", F.when(F.col("population") == "returned", "weighted_mean").otherwise(F.col("statistic")))
+    wanted = gaps.gap_rules(["wide", "returned", "kept"], ("kept", "returned"), ("recent", "incumbent"))
+    return gaps.gap_pairs(obs, wanted).select("gap_id", F.array_join("mismatched", " ").alias("mismatched"), "difference")
+
+
 @R.add("q_cell_contracts", f"""with {_CELL_ROWS}, {_GAP_SQL}, broken as (
       -- every seventh value is taken away and the direction of falling gaps is turned, as injected faults
       select geography_id || ':' || population || ':' || cohort as id, available, case when eligible_n % 7 = 0 then null else value end as value,
@@ -356,9 +368,13 @@ _LABELLED = """
       from labelled0)"""
 
 
-@R.add("q_protection_labels", f"with {_LABELLED} select grp, regime, assisted, voucher, count(*) as n from labelled group by all")
+@R.add("q_protection_labels", f"""with {_LABELLED}
+    select grp, regime, assisted, voucher, count(*) as n, concat_ws(' | ', case when eligible and assisted = 'not_applicable' then 'renter_assistance_not_applicable' end,
+        case when eligible and assisted = 'no' and voucher = 'yes' then 'voucher_conflicts_with_no_assistance' end,
+        case when eligible and regime = 'public_housing' and voucher = 'yes' then 'public_housing_voucher_overlap_requires_review' end) as issues
+    from labelled group by all""")
 def _(spark, sf):
-    return labelled_orders(spark, sf).groupBy("grp", "regime", "assisted", "voucher").agg(F.count("*").alias("n"))
+    return labelled_orders(spark, sf).groupBy("grp", "regime", "assisted", "voucher", F.array_join("issues", " | ").alias("issues")).agg(F.count("*").alias("n"))
 
 
 def group_cells(spark, sf) -> DataFrame:
