@@ -1,7 +1,7 @@
-"""Point in polygon and area assignment over a grid.
+"""Point in polygon, overlap areas and area assignment over a grid.
 
-Points and polygon boxes meet on a grid cell (an equi-join), then the ray-crossing test runs inside the row on
-the polygon's nested rings, so edges are never shuffled.
+Boxes meet on grid cells as ids (an equi-join); the rings are fetched for the pairs that met, and the tests run inside
+the row on the nested rings, so edges are never rows.
 """
 
 from __future__ import annotations
@@ -50,53 +50,100 @@ def box(polygons: DataFrame) -> DataFrame:
         F.array_max(ys).alias("y_max"))
 
 
-def on_grid(polygons: DataFrame, size: float) -> DataFrame:
-    """Polygons repeated for the grid cells of their bounding box."""
+BOX = ("x_min", "x_max", "y_min", "y_max")
+
+
+def on_grid(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """Key and box of each polygon, repeated for the grid cells of the box; the rings stay behind."""
     return (
-        box(polygons)
+        box(polygons.select(key, "parts")).drop("parts").where("x_min is not null")
         .withColumn("_cx", F.explode(F.sequence(_cell(F.col("x_min"), size), _cell(F.col("x_max"), size))))
         .withColumn("_cy", F.explode(F.sequence(_cell(F.col("y_min"), size), _cell(F.col("y_max"), size))))
-        .drop("x_min", "x_max", "y_min", "y_max")
     )
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """(point, area) pairs where the area contains the point. ``points``: x, y and any id columns."""
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, key: str = "area_id") -> DataFrame:
+    """(point, area) pairs where the area contains the point. ``points``: x, y and any id columns; ``key`` is unique
+    among the polygons."""
     p = points.withColumn("_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
-    hit = p.join(on_grid(polygons, size), ["_cx", "_cy"]).where(polygon_contains(F.col("parts"), F.col("x"), F.col("y")))
-    return hit.drop("_cx", "_cy", "parts")
+    met = p.join(on_grid(polygons, key, size), ["_cx", "_cy"]).where(
+        F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))).drop("_cx", "_cy", *BOX)
+    return met.join(polygons, key).where(polygon_contains(F.col("parts"), F.col("x"), F.col("y"))).drop("parts")
 
 
-def in_bounds(x: Column, y: Column, west: float, east: float, south: float, north: float) -> Column:
-    return (x > west) & (x < east) & (y > south) & (y < north)
+def signed_edges(parts: Column) -> Column:
+    """Edges (x1, y1, x2, y2 with x1 < x2, sign) of all rings. A polygon is the sum of the areas under its edges, each
+    times its sign: against the direction of the edge, turned for clockwise rings and again for holes."""
+    def of_ring(ring: Column, hole: Column) -> Column:
+        before = lambda i: F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
+        twice = F.aggregate(F.transform(ring, lambda p, i: before(i)[0] * p[1] - p[0] * before(i)[1]), F.lit(0.0), lambda a, x: a + x)
+        turn = F.signum(twice) * F.when(hole, -1.0).otherwise(1.0)
+
+        def edge(p: Column, i: Column) -> Column:
+            q = before(i)
+            right = p[0] > q[0]
+            side = lambda k, first: F.when(right == F.lit(first), q[k]).otherwise(p[k])
+            return F.struct(side(0, True).alias("x1"), side(1, True).alias("y1"), side(0, False).alias("x2"), side(1, False).alias("y2"),
+                            (-F.signum(p[0] - q[0]) * turn).alias("sign"))
+
+        return F.filter(F.transform(ring, edge), lambda e: e["sign"] != 0)
+
+    return F.flatten(F.transform(parts, lambda rings: F.flatten(F.transform(rings, lambda ring, i: of_ring(ring, i > 0)))))
+
+
+def polygon_area(edges: Column) -> Column:
+    return F.aggregate(edges, F.lit(0.0), lambda a, e: a + e["sign"] * (e["x2"] - e["x1"]) * (e["y1"] + e["y2"]) / 2)
 
 
-def sample_points(subjects: DataFrame, n: int = 8) -> DataFrame:
-    """Centres of an n x n grid over each subject's box that lie inside the subject's own polygon."""
-    b = box(subjects)
-    steps = F.lit(list(range(n)))
-    grid = b.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-    grid = grid.withColumn("x", F.col("x_min") + (F.col("_i") + 0.5) * (F.col("x_max") - F.col("x_min")) / n)
-    grid = grid.withColumn("y", F.col("y_min") + (F.col("_j") + 0.5) * (F.col("y_max") - F.col("y_min")) / n)
-    return grid.where(polygon_contains(F.col("parts"), F.col("x"), F.col("y"))).select("subject_id", "x", "y")
+def overlap_area(left: Column, right: Column) -> Column:
+    """Area that two polygons share, exactly, from their signed edges: the shared part of the areas under two edges is
+    the area under the lower of two straight lines."""
+    def under(e: Column, g: Column) -> Column:
+        a, b = F.greatest(e["x1"], g["x1"]), F.least(e["x2"], g["x2"])
+        at = lambda s, x: s["y1"] + (s["y2"] - s["y1"]) * (x - s["x1"]) / (s["x2"] - s["x1"])
+        ea, eb, ga, gb = at(e, a), at(e, b), at(g, a), at(g, b)
+        da, db = ea - ga, eb - gb
+        t = da / (da - db)
+        c, yc = a + t * (b - a), ea + t * (eb - ea)
+        low_a, low_b = F.least(ea, ga), F.least(eb, gb)
+        area = F.when(da * db < 0, (low_a + yc) / 2 * (c - a) + (yc + low_b) / 2 * (b - c)).otherwise((low_a + low_b) / 2 * (b - a))
+        return F.when(a < b, e["sign"] * g["sign"] * area).otherwise(0.0)
+
+    return F.aggregate(left, F.lit(0.0), lambda total, e: total + F.aggregate(right, F.lit(0.0), lambda sub, g: sub + under(e, g)))
+
+
+def overlaps(subjects: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """(subject_id, area_id, area_order, share): the share of each subject's own polygon that lies in an area.
+
+    Boxes meet in the first cell that both have, so a pair comes once.
+    """
+    mine = on_grid(subjects, "subject_id", size).withColumnsRenamed({c: f"s_{c}" for c in BOX})
+    met = mine.join(on_grid(polygons, "area_id", size), ["_cx", "_cy"])
+    for axis in "xy":
+        first = F.greatest(_cell(F.col(f"s_{axis}_min"), size), _cell(F.col(f"{axis}_min"), size))
+        met = met.where((F.col(f"_c{axis}") == first) & (F.col(f"s_{axis}_min") < F.col(f"{axis}_max")) & (F.col(f"{axis}_min") < F.col(f"s_{axis}_max")))
+    pairs = met.select("subject_id", "area_id")
+    pairs = pairs.join(subjects.select("subject_id", signed_edges(F.col("parts")).alias("_s")), "subject_id")
+    pairs = pairs.join(polygons.select("area_id", "area_order", signed_edges(F.col("parts")).alias("_a")), "area_id")
+    share = F.try_divide(overlap_area(F.col("_s"), F.col("_a")), polygon_area(F.col("_s")))
+    return pairs.select("subject_id", "area_id", "area_order", F.bround(share, 9).alias("share")).where("share > 0")
+
+
+def in_bounds(x: Column, y: Column, west: float, east: float, south: float, north: float) -> Column:
+    return (x > west) & (x < east) & (y > south) & (y < north)
 
 
-def assign(subjects: DataFrame, polygons: DataFrame, size: float, samples: int = 8) -> DataFrame:
+def assign(subjects: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     """Area of each subject: the one with its point, else the largest overlap share, else unassigned.
 
-    ``subjects``: subject_id, x, y (its point) and ``parts`` (its own polygon, may be null). The overlap share
-    is the share of the subject's sample points in the area, an approximation of the area share.
+    ``subjects``: subject_id, x, y (its point) and ``parts`` (its own polygon, may be null).
     """
     inside = points_in_polygons(subjects.select("subject_id", "x", "y"), polygons, size)
     by_point = first_per_key(inside, ["subject_id"], F.col("area_order")).select(
         "subject_id", "area_id", F.lit("representative_point").alias("method"), F.lit(1.0).alias("share"))
     rest = subjects.where("parts is not null").join(by_point.select("subject_id"), "subject_id", "left_anti")
-    pts = sample_points(rest.select("subject_id", "parts"), samples)
-    totals = pts.groupBy("subject_id").agg(F.count("*").alias("_n"))
-    counts = points_in_polygons(pts, polygons, size).groupBy("subject_id", "area_id", "area_order").agg(
-        F.count("*").alias("_k"))
-    best = first_per_key(counts, ["subject_id"], F.desc("_k"), F.col("area_order")).join(totals, "subject_id").select(
-        "subject_id", "area_id", F.lit("dominant_overlap").alias("method"), (F.col("_k") / F.col("_n")).alias("share"))
+    best = first_per_key(overlaps(rest, polygons, size), ["subject_id"], F.desc("share"), F.col("area_order")).select(
+        "subject_id", "area_id", F.lit("dominant_overlap").alias("method"), "share")
     found = by_point.unionByName(best)
     out = subjects.select("subject_id").join(found, "subject_id", "left")
     strong = (F.col("share") >= 0.5) | (F.col("method") == "representative_point")

@@ -71,9 +71,20 @@ def shaped_subjects(spark, sf) -> DataFrame:
 @R.add("q_assign_area", f"""with {_SHAPES},
     sup as (select s_suppkey as s, (s_suppkey * 53 % 6600) / 100 + 0.003 as px, (s_suppkey * 71 % 5600) / 100 + 0.003 as py from supplier),
     direct as (select s, min(a) as a from ({_inside('sup', 's, px, py')}) group by 1),
-    smp as (select s, i, j, px - 1 + (i + 0.5) * 6 / 8 as px, py - 3 + (j + 0.5) * 6 / 8 as py from sup, range(8) t(i), range(8) u(j)
-            where s % 4 <> 0 and s not in (select s from direct)),
-    overlap as (select s, a, count(*) / 64 as share from ({_inside('smp', 's, i, j, px, py')}) group by 1, 2 qualify row_number() over (partition by s order by count(*) desc, a) = 1)
+    turned as (select *, sum(q[1] * p[2] - p[1] * q[2]) over (partition by a, part, ring) as twice from edges),
+    ae as (select a, least(p[1], q[1]) as x1, greatest(p[1], q[1]) as x2, case when q[1] < p[1] then q[2] else p[2] end as y1, case when q[1] < p[1] then p[2] else q[2] end as y2,
+                  -sign(p[1] - q[1]) * sign(twice) * case when ring > 0 then -1 else 1 end as sg from turned where p[1] <> q[1]),
+    se as (select s, px - 1 as x1, px + 5 as x2, py + d as y, sign(d) as sg from sup, (select unnest([-3.0, 3.0]::double[]) as d)
+           where s % 4 <> 0 and s not in (select s from direct)),
+    lines as (select s, a, se.sg * ae.sg as sg, greatest(se.x1, ae.x1) as l, least(se.x2, ae.x2) as r, y, y1 + (y2 - y1) * (greatest(se.x1, ae.x1) - ae.x1) / (ae.x2 - ae.x1) as gl,
+                     y1 + (y2 - y1) * (least(se.x2, ae.x2) - ae.x1) / (ae.x2 - ae.x1) as gr from se, ae where greatest(se.x1, ae.x1) < least(se.x2, ae.x2)),
+    overlap as (select s, a, round_even(sum(sg * case when (y - gl) * (y - gr) < 0
+             then (least(y, gl) + y) / 2 * (r - l) * (y - gl) / (gr - gl) + (y + least(y, gr)) / 2 * (r - l) * (1 - (y - gl) / (gr - gl))
+             else (least(y, gl) + least(y, gr)) / 2 * (r - l) end) / 36, 9) as share
+      from lines group by 1, 2 having round_even(sum(sg * case when (y - gl) * (y - gr) < 0
+             then (least(y, gl) + y) / 2 * (r - l) * (y - gl) / (gr - gl) + (y + least(y, gr)) / 2 * (r - l) * (1 - (y - gl) / (gr - gl))
+             else (least(y, gl) + least(y, gr)) / 2 * (r - l) end) / 36, 9) > 0
+      qualify row_number() over (partition by s order by share desc, a) = 1)
     select sup.s as subject_id, coalesce(d.a, o.a) as area_id,
       case when d.a is not null then 'representative_point' when o.a is not null then 'dominant_overlap' else 'unassigned' end as method,
       round_even(case when d.a is not null then 1 else coalesce(o.share, 0) end, 4) as share,

@@ -202,3 +202,16 @@ def test_gates(spark):
     bad = problems.select(F.col("problem").alias("check"), F.lit(False).alias("ok"), F.col("key").alias("detail"))
     with pytest.raises(checks.GateFailed):
         checks.enforce(bad)
+
+
+def test_overlap_shares(spark):
+    square = lambda x, y, w: [[x, y], [x + w, y], [x + w, y + w], [x, y + w]]
+    areas = [(1, 1, [[square(0.0, 0.0, 10.0), square(2.0, 2.0, 4.0)[::-1]]]), (2, 2, [[[[10.0, 0.0], [20.0, 0.0], [10.0, 10.0]]]]),
+             (3, 3, [[square(-50.0, 0.0, 1.0)], [square(30.0, 30.0, 2.0)[::-1]]])]
+    mine = [(1, [[square(4.0, 4.0, 8.0)]]), (2, [[[[10.0, 0.0], [20.0, 10.0], [10.0, 10.0]]]]), (3, [[square(31.0, 29.0, 2.0)]])]
+    shape = "array<array<array<array<double>>>>"
+    got = spatial.overlaps(spark.createDataFrame(mine, f"subject_id int, parts {shape}"),
+                           spark.createDataFrame(areas, f"area_id int, area_order int, parts {shape}"), 5.0)
+    # 6 x 6 less the 2 x 2 of the hole; a strip two wide of mean height five; half of the other triangle; a corner
+    assert {(r["subject_id"], r["area_id"]): round(r["share"], 6) for r in got.collect()} == {
+        (1, 1): 32 / 64, (1, 2): 10 / 64, (2, 2): 0.5, (3, 3): 0.25}
