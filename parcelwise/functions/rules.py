@@ -43,6 +43,7 @@ def period_class(months: Column, limits: PeriodLimits = PeriodLimits()) -> Colum
     )
 
 
+# The sentences of the reasons in this and the next functions.
 def period_reasons(months: Column, limits: PeriodLimits = PeriodLimits()) -> Column:
     kind = period_class(months, limits)
     return when_list(

@@ -73,6 +73,7 @@ def skeleton(df: DataFrame, dims: Mapping[str, Sequence[str]]) -> DataFrame:
     return out.drop("_")
 
 
+# The sentences of the caveats.
 def cell_caveats(n: Column, cv: Column, q: Quality) -> Column:
     return when_list(
         (n < q.small_sample, F.concat(F.lit("Small sample: "), n.cast("string"), F.lit(" rent responses."))),
