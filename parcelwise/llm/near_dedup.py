@@ -29,6 +29,7 @@ from parcelwise.llm import shared as sh
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 GROWTH = 8
+CHUNK = 4 << 20
 DRAW = 1 << 40
 MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int64())]))
 WORD_KEYS = sh.splitmix(64, 21) | np.uint64(1)
@@ -102,29 +103,60 @@ def sketch(size: int):
     return make
 
 
+def lists(column, *fields: str):
+    """Offsets and flat numpy fields of a column of struct lists."""
+    arr = pa.concat_arrays([c for c in column.chunks]) if column.num_chunks else pa.array([], MEMBERS)
+    flat = arr.flatten()
+    size = pa.compute.fill_null(pa.compute.list_value_length(arr), 0).to_numpy()
+    return np.append(0, np.cumsum(size)), *(flat.field(f).to_numpy() for f in fields)
+
+
 def confirm(size: int, percent: int):
-    """Chunk of documents, sets of centres with the members to hold against them -> confirmed links."""
+    """Chunk of documents; sets of centres and blocks of centres and members that met -> confirmed links.
+
+    Each centre is held once against the members it met in any block, if their labels differ and their sizes allow it.
+    """
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not table.num_rows or not asked.num_rows:
+            return none
+        table = sh.ordered(table)
+        data, at = sh.packed(table.column("text"))
+        edge, sets = set_index(data, at, size)
+        ids, count = sh.ids_of(table), np.diff(edge)
+        kind = asked.column("kind").to_numpy()
+        told, met = asked.filter(pa.array(kind == 0)), asked.filter(pa.array(kind == 1))
+        label = np.full(len(ids), -1, np.int64)
+        cc, center, center_label = lists(met.column("centers"), "doc_id", "label")
+        mm, member, member_label = lists(met.column("members"), "doc_id", "label")
+        first, last = np.searchsorted(ids, member, "left"), np.searchsorted(ids, member, "right")
+        label[first[first < last]] = member_label[first < last]
+        again = np.flatnonzero(ids[1:] == ids[:-1]) + 1
+        for i in again:
+            label[i] = label[i - 1]
+        against: dict[int, list] = {}
+        for r in range(met.num_rows):
+            rows = np.unique(np.concatenate([np.arange(i, j) for i, j in zip(first[mm[r] : mm[r + 1]], last[mm[r] : mm[r + 1]], strict=True)] or [first[:0]]))
+            for c in center[cc[r] : cc[r + 1]].tolist():
+                against.setdefault(c, []).append(rows)
+        labels = dict(zip(center.tolist(), center_label.tolist(), strict=True))
         a, b = [], []
-        if table.num_rows and asked.num_rows:
-            table = sh.ordered(table)
-            data, at = sh.packed(table.column("text"))
-            edge, sets = set_index(data, at, size)
-            place: dict[int, list[int]] = {}
-            for i, d in enumerate(sh.ids_of(table).tolist()):
-                place.setdefault(d, []).append(i)
-            for center, label, raw, members in zip(*(asked.column(c).to_pylist() for c in ("center", "label", "shingles", "members")), strict=True):
-                ours = np.frombuffer(raw, np.uint64)
-                for m in {m["doc_id"] for m in members if m["label"] != label}:
-                    for i in place.get(m, ()):
-                        theirs = sets[edge[i] : edge[i + 1]]
-                        spot = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
-                        both = int((ours[spot] == theirs).sum())
-                        if 100 * both >= percent * (len(ours) + len(theirs) - both) and both:
-                            a.append(center)
-                            b.append(m)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for c, raw in zip(told.column("center").to_pylist(), told.column("shingles").to_pylist(), strict=True):
+            ours = np.frombuffer(raw, np.uint64)
+            rows = np.unique(np.concatenate(against.get(c) or [first[:0]]))
+            fits = 100 * np.minimum(count[rows], len(ours)) >= percent * np.maximum(count[rows], len(ours))
+            rows = rows[fits & (label[rows] != labels.get(c)) & (count[rows] > 0)]
+            if not rows.size:
+                continue
+            n = count[rows]
+            theirs = sets[np.repeat(edge[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            spot = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
+            both = np.add.reduceat((ours[spot] == theirs).astype(np.int64), np.cumsum(n) - n)
+            found = rows[100 * both >= percent * (len(ours) + n - both)]
+            a.append(np.full(len(found), c))
+            b.append(ids[found])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))}) if a else none
 
     return run
 
@@ -140,42 +172,47 @@ def set_index(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def fetch(size: int):
-    """Chunk of documents and requests -> the set of each asked centre, for the chunk that asked."""
+    """Chunk of documents and blocks of its centres -> each centre's set, once for each chunk that it meets, and the blocks."""
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        chunk, center, labels, sets, members = [], [], [], [], []
-        if table.num_rows and asked.num_rows:
-            table = sh.ordered(table)
-            wanted = pa.array(np.unique(asked.column("center").to_numpy()))
-            table = table.filter(pa.compute.is_in(table.column("doc_id"), wanted))
-            data, at = sh.packed(table.column("text"))
-            edge, all_sets = set_index(data, at, size)
-            place = {d: i for i, d in enumerate(sh.ids_of(table).tolist())}
-            for to, c, label, m in zip(*(asked.column(x).to_pylist() for x in ("to", "center", "label", "members")), strict=True):
-                if c in place and edge[place[c] + 1] > edge[place[c]]:
-                    chunk.append(to)
-                    center.append(c)
-                    labels.append(label)
-                    sets.append(all_sets[edge[place[c]] : edge[place[c] + 1]].tobytes())
-                    members.append(m)
-        return pa.table({"chunk": pa.array(chunk, pa.int32()), "center": pa.array(center, pa.int64()), "label": pa.array(labels, pa.int64()),
-                         "shingles": pa.array(sets, pa.binary()), "members": pa.array(members, MEMBERS)})
+        n = asked.num_rows if table.num_rows else 0
+        asked = asked.slice(0, n)
+        cuts, centers = lists(asked.column("centers"), "doc_id")
+        to = np.repeat(asked.column("to").to_numpy(), np.diff(cuts))
+        wanted = np.unique(np.stack([to.astype(np.int64), centers], 1), axis=0) if len(to) else np.zeros((0, 2), np.int64)
+        table = sh.ordered(table)
+        table = table.filter(pa.compute.is_in(table.column("doc_id"), pa.array(np.unique(wanted[:, 1]))))
+        data, at = sh.packed(table.column("text"))
+        edge, sets = set_index(data, at, size)
+        ids = sh.ids_of(table)
+        place = np.searchsorted(ids, wanted[:, 1])
+        raw = [sets[edge[i] : edge[i + 1]].tobytes() for i in place]
+        m, full = len(wanted), [i for i, x in enumerate(raw) if x]
+        rows = pa.table({
+            "chunk": pa.array(wanted[:, 0], pa.int32()), "kind": pa.array(np.zeros(m), pa.int32()), "center": pa.array(wanted[:, 1]), "shingles": pa.array(raw, pa.binary()),
+            "centers": pa.nulls(m, MEMBERS), "members": pa.nulls(m, MEMBERS)}).take(pa.array(full, pa.int64()))
+        blocks = pa.table({
+            "chunk": asked.column("to"), "kind": pa.array(np.ones(n), pa.int32()), "center": pa.nulls(n, pa.int64()), "shingles": pa.nulls(n, pa.binary()),
+            "centers": asked.column("centers").cast(MEMBERS), "members": asked.column("members").cast(MEMBERS)})
+        return pa.concat_tables([rows, blocks])
 
     return run
 
 
 def confirmed(texts: DataFrame, members: DataFrame, centers: DataFrame, chunks: int, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between centres (bucket, center, center_label) and members (bucket, doc_id, label) of other labels.
+    """Links (a, b) between centres and members (both: bucket, doc_id, label) of other labels.
 
-    texts: (chunk, doc_id, text). The members of a bucket come as one list per chunk, so rows grow with the number of
-    centres and chunks, not of pairs.
+    texts: (chunk, doc_id, text). Centres and members of a bucket meet as blocks, a list for each chunk, so neither
+    rows nor what is sent grow with the number of pairs.
     """
-    where = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
-    blocks = members.groupBy("bucket", where("doc_id").alias("to")).agg(F.collect_list(F.struct("doc_id", "label")).alias("block"))
-    met = centers.join(blocks, "bucket").filter(F.exists("block", lambda m: m["label"] != F.col("center_label")))
-    asked = met.groupBy("to", "center", F.col("center_label").alias("label")).agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("members")).withColumn("chunk", where("center"))
+    where = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    listed = lambda df, chunk, name: df.groupBy("bucket", where.alias(chunk)).agg(F.collect_list(F.struct("doc_id", "label")).alias(name))
+    met = listed(centers, "chunk", "centers").join(listed(members, "to", "members"), "bucket")
+    labels = F.array_union(F.transform("centers", lambda x: x["label"]), F.transform("members", lambda x: x["label"]))
+    asked = met.filter(F.size(labels) > 1).select("chunk", "to", "centers", "members")
+    pairs = "array<struct<doc_id:long,label:long>>"
     sets = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
-        fetch(size), "chunk int, center long, label long, shingles binary, members array<struct<doc_id:long,label:long>>")
+        fetch(size), f"chunk int, kind int, center long, shingles binary, centers {pairs}, members {pairs}")
     return texts.groupBy("chunk").cogroup(sets.groupBy("chunk")).applyInArrow(confirm(size, percent), "a long, b long")
 
 
@@ -215,7 +252,7 @@ def group(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     ids = members.select("doc_id").distinct()
     touched = docs.join(ids, "doc_id", "left_semi")
     texts = sh.save(touched, "texts")
-    chunks = sh.chunk_count(texts)
+    chunks = sh.chunk_count(texts, CHUNK)
     texts = sh.chunked(texts, chunks)
     labels = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
     high, labels = 0, sh.save(labels, "labels")
@@ -226,7 +263,7 @@ def group(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
         if not named.head(1):
             break
         chosen = F.col("draw") < high if high else F.col("doc_id") == F.col("least")
-        centers = named.filter(chosen).select("bucket", F.col("doc_id").alias("center"), F.col("label").alias("center_label"))
+        centers = named.filter(chosen)
         links = sh.save(confirmed(texts, named, centers, chunks, words, percent), "confirmed")
         name = lambda side: labels.select(F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label"))  # noqa: B023, E731
         edges = links.join(name("a"), F.col("a") == F.col("a_node")).join(name("b"), F.col("b") == F.col("b_node")).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
