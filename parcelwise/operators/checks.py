@@ -76,8 +76,9 @@ def violations(df: DataFrame, key: str, contracts: Mapping[str, Column]) -> Data
     return df.select(F.col(key), F.inline(tests)).where("not ok").drop("ok")
 
 
-def cell_contracts() -> dict[str, Column]:
-    """Record rules of a survey observation, with the list ``artifact_ids`` of what it was made from."""
+def cell_contracts(artifacts: str | None = None) -> dict[str, Column]:
+    """Record rules of a survey observation; ``artifacts`` names the list of what it was made from, if there is one."""
+    unique = {"artifacts_are_unique": unique_list(F.col(artifacts))} if artifacts else {}
     available, value, reason = F.col("available"), F.col("value"), F.col("unavailable_reason")
     has_all = F.lit(True)
     for c in ("variance", "standard_error", "margin_of_error", "ci_lower", "ci_upper", "cv"):
@@ -88,8 +89,8 @@ def cell_contracts() -> dict[str, Column]:
         "unavailable_has_no_value": available | value.isNull(),
         "unavailable_has_reason": available | F.coalesce(reason != "", F.lit(False)),
         "reliability_agrees": available == (F.col("reliability") != "unavailable"),
-        "artifacts_are_unique": unique_list(F.col("artifact_ids")),
         "uncertainty_complete": ~(available & (F.col("replicates_used") > 0)) | has_all,
+        **unique,
     }
 
 

@@ -314,7 +314,7 @@ def _(spark, sf):
     c = with_artifacts(c.withColumn("value", F.when(F.col("eligible_n") % 7 != 0, F.col("value"))))
     g = gap_frame(spark, sf).withColumn("id", F.col("gap_id"))
     g = g.withColumn("direction", F.when(F.col("difference") < 0, "positive").otherwise(F.col("direction")))
-    return checks.violations(c, "id", checks.cell_contracts()).unionByName(checks.violations(g, "id", checks.gap_contracts()))
+    return checks.violations(c, "id", checks.cell_contracts("artifact_ids")).unionByName(checks.violations(g, "id", checks.gap_contracts()))
 
 
 @R.add("q_load_state", f"""with {_CELL_ROWS}
@@ -322,7 +322,7 @@ def _(spark, sf):
            case when count(*) filter (where available and eligible_n % 7 = 0 or eligible_n % 5 = 0) = 0 then 'ready' else 'error' end as status from cellsf""")
 def _(spark, sf):
     c = cell_frame(spark, sf).withColumn("value", F.when(F.col("eligible_n") % 7 != 0, F.col("value")))
-    return checks.load_state(with_artifacts(c), checks.cell_contracts())
+    return checks.load_state(with_artifacts(c), checks.cell_contracts("artifact_ids"))
 
 
 # ---- groups and shares -------------------------------------------------------------------------------
