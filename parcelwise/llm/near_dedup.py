@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def lists(column, *fields: str):
     """Offsets and flat numpy fields of a column of struct lists."""
     arr = pa.concat_arrays([c for c in column.chunks]) if column.num_chunks else pa.array([], MEMBERS)
     flat = arr.flatten()
-    size = pa.compute.fill_null(pa.compute.list_value_length(arr), 0).to_numpy()
+    size = pc.fill_null(pc.list_value_length(arr), 0).to_numpy()
     return np.append(0, np.cumsum(size)), *(flat.field(f).to_numpy() for f in fields)
 
 
@@ -181,7 +182,7 @@ def fetch(size: int):
         to = np.repeat(asked.column("to").to_numpy(), np.diff(cuts))
         wanted = np.unique(np.stack([to.astype(np.int64), centers], 1), axis=0) if len(to) else np.zeros((0, 2), np.int64)
         table = sh.ordered(table)
-        table = table.filter(pa.compute.is_in(table.column("doc_id"), pa.array(np.unique(wanted[:, 1]))))
+        table = table.filter(pc.is_in(table.column("doc_id"), pa.array(np.unique(wanted[:, 1]))))
         data, at = sh.packed(table.column("text"))
         edge, sets = set_index(data, at, size)
         ids = sh.ids_of(table)
