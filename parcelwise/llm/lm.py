@@ -2,16 +2,19 @@
 
 1. Word counts of the whole training corpus: each chunk of documents sends its distinct words (64-bit hashes) with their
    counts, dealt by hash; groups add them up and send each chunk the counts of its words back, in its own order.
-2. The ``SHORT`` most frequent words, the end of a text and "any other word" are the classes of the net. The last
-   ``CONTEXT`` words, each hashed to an input vector and weighted by its place, predict a vector whose products with the
-   class vectors are the scores. Each task trains on all training tokens of its partition against shared noise draws;
-   the weights are averaged by token count.
-3. Each chunk is scored with batched matrix products: log-probabilities normalised over all classes, times the add-one
-   share of a word among the other words where the class is "other". That is a proper distribution over all words.
+2. Words are classes on two levels. The ``SHORT`` most frequent words and the end of a text are classes of the first
+   level; so are groups of slots. Slots are the second level: the next most frequent words have one each, all further
+   words share hashed ones. Both kinds grow with the square root of the counted words (``layout``), and so do the
+   input vectors that words are hashed to. The last ``CONTEXT`` words, weighted by their places, predict a vector;
+   its products with class vectors, and within a group with slot vectors, are the scores. Each task trains both levels
+   on all training tokens of its partition against noise draws; the weights are averaged by token count.
+3. Each chunk is scored with batched matrix products: p(class | context) p(slot | group, context), each normalised
+   exactly, times the add-one share of a word in its slot where that is hashed. That is a proper distribution over all words.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -24,15 +27,17 @@ from parcelwise.llm.suffix_dedup import CODEC, cuts_of, parts
 
 CHUNK = 4 << 20
 SHORT = 254
-INPUTS = 4096
+LEAST = 4096
+GROWTH = 16
 SIZE = 16
 CONTEXT = 4
 NOISE = 32
+SLOT_NOISE = 4
 BATCH = 1024
 ROUND = 8192
 RATE = 0.15
-GROUPS = 64
-COUNTED = "kind int, chunk int, bucket int, data binary, tokens long, types long, top array<struct<hash:long,n:long>>"
+PIECE = 1 << 16
+COUNTED = "kind int, chunk int, bucket int, data binary, tokens long, types long"
 
 
 def is_held(doc_id: int, folds: int, held: int) -> bool:
@@ -93,125 +98,241 @@ def add_counts(table: pa.Table) -> pa.Table:
     total = np.bincount(which, counts, minlength=len(uniq)).astype(np.int64)
     cuts = np.append(0, np.cumsum(sizes))
     back = [shrink(total[which[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    top = np.argsort(-total, kind="stable")[:SHORT]
-    n = len(back)
-    told = pa.array([None] * n + [[{"hash": int(h), "n": int(c)} for h, c in zip(uniq[top].view(np.int64), total[top], strict=True) if c]],
-                    pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])))
+    n, seen = len(back), total > 0
+    told = uniq[seen].tobytes() + shrink(total[seen])
     same = [*table.column("chunk").to_pylist(), -1], [*table.column("bucket").to_pylist(), -1]
     return pa.table({
         "kind": pa.array([0] * n + [1], pa.int32()), "chunk": pa.array(same[0], pa.int32()), "bucket": pa.array(same[1], pa.int32()),
-        "data": pa.array([*back, None], pa.binary()), "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()),
-        "types": pa.array([0] * n + [int((total > 0).sum())], pa.int64()), "top": told,
+        "data": pa.array([*back, told], pa.binary()), "tokens": pa.array([0] * n + [int(total.sum())], pa.int64()),
+        "types": pa.array([0] * n + [int(seen.sum())], pa.int64()),
     })
 
 
-def fresh(classes: np.ndarray, seed: int = 3) -> dict:
-    """Untrained weights whose scores are the logs of the class shares."""
+def corpus_words(data: bytes, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the training words of one group."""
+    return np.frombuffer(data, np.uint64, types), grow(data[8 * types :])
+
+
+def leading(most: int):
+    """The ``most`` most frequent words of each group."""
+
+    def run(batches):
+        for batch in batches:
+            for data, types in zip(batch.column("data").to_pylist(), batch.column("types").to_pylist(), strict=True):
+                hashes, n = corpus_words(data, types)
+                top = np.lexsort([hashes.view(np.int64), -n])[:most]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(n[top])], ["hash", "n"])
+
+    return run
+
+
+def layout(types: int) -> dict:
+    """How many slots words have of their own and how many are hashed, groups of slots, slots a group, and input vectors."""
+    half = max(64, GROWTH * math.isqrt(types))
+    groups = math.isqrt(2 * half)
+    return {"own": half, "hashed": half, "groups": groups, "wide": -(-2 * half // groups), "inputs": max(LEAST, 1 << (GROWTH * math.isqrt(types)).bit_length())}
+
+
+def slot_of(shape: dict, hashes: np.ndarray) -> np.ndarray:
+    """SHORT words: 0, 1, ..; slots of words: from len(short) on; hashed slots: after all of these."""
+    code = shape["short"] + shape["own"] + ((hashes >> np.uint64(40)) % np.uint64(shape["hashed"])).astype(np.int64)
+    if len(shape["known"]):
+        k = np.minimum(np.searchsorted(shape["known"], hashes), len(shape["known"]) - 1)
+        code = np.where(shape["known"][k] == hashes, shape["rank"][k], code)
+    return code
+
+
+def slot_sums(shape: dict):
+    """Tokens and types of the words that share each hashed slot."""
+
+    def run(batches):
+        for batch in batches:
+            for data, types in zip(batch.column("data").to_pylist(), batch.column("types").to_pylist(), strict=True):
+                hashes, n = corpus_words(data, types)
+                code = slot_of(shape, hashes) - shape["short"] - shape["own"]
+                shared = code >= 0
+                slots, which = np.unique(code[shared], return_inverse=True)
+                sums = [np.bincount(which, w, minlength=len(slots)).astype(np.int64) for w in (n[shared], np.ones(shared.sum()))]
+                yield pa.RecordBatch.from_arrays([pa.array(slots), *map(pa.array, sums)], ["slot", "tokens", "types"])
+
+    return run
+
+
+def shares(shape: dict, top: np.ndarray, slots: np.ndarray, ends: int) -> dict:
+    """Shares of the classes of the first level, and within each group of its slots (0: no such slot)."""
+    place = position(shape, np.arange(len(slots)))
+    table = np.zeros(shape["groups"] * shape["wide"])
+    table[place] = slots + 1.0
+    table = table.reshape(shape["groups"], shape["wide"])
+    classes = np.concatenate([top + 1.0, [ends + 1.0], table.sum(1)])
+    return shape | {"classes": classes / classes.sum(), "slots": (table / table.sum(1, keepdims=True)).ravel()}
+
+
+def position(shape: dict, slot: np.ndarray) -> np.ndarray:
+    """Where a slot stands in the table of groups; neighbours in frequency go to different groups."""
+    return slot % shape["groups"] * shape["wide"] + slot // shape["groups"]
+
+
+def fresh(shape: dict, seed: int = 3) -> dict:
+    """Untrained weights whose scores are the logs of the shares."""
     rng = np.random.default_rng(seed)
-    return {"in": (rng.normal(size=(INPUTS + 1, SIZE)) * 0.3).astype(np.float32), "out": (rng.normal(size=(len(classes), SIZE)) * 0.1).astype(np.float32),
-            "place": np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32), "bias": np.log(classes).astype(np.float32)}
+    classes, slots = shape["classes"], shape["slots"]
+    return {"in": (rng.normal(size=(shape["inputs"] + 1, SIZE)) * 0.3).astype(np.float32), "out": (rng.normal(size=(len(classes), SIZE)) * 0.1).astype(np.float32),
+            "place": np.full((CONTEXT, SIZE), 1 / CONTEXT, np.float32), "bias": np.log(classes).astype(np.float32),
+            "slot": (rng.normal(size=(len(slots), SIZE)) * 0.1).astype(np.float32), "slot_bias": np.log(np.maximum(slots, 1e-30)).astype(np.float32)}
 
 
-def encode(short: np.ndarray, order: np.ndarray, hashes: np.ndarray, row: np.ndarray, n: int):
-    """Classes (0 other, then words, last the end), input slots of the context (INPUTS: before the start), row and place of
-    each token, ends of texts included."""
+def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int):
+    """Classes (words, the end, groups), places in the table of slots (-1: none), input vectors of the context (the last one:
+    before the start), row and place of each token, ends of texts included."""
     words = np.bincount(row, minlength=n)
     size = words + 1
     first = np.cumsum(size) - size
     place = np.arange(len(row)) + row
-    cls = np.full(len(row) + n, len(short) + 1, np.int64)
-    if len(short):
-        k = np.minimum(np.searchsorted(short, hashes), len(short) - 1)
-        cls[place] = np.where(short[k] == hashes, order[k] + 1, 0)
-    else:
-        cls[place] = 0
-    slot = np.full(len(cls), INPUTS, np.int64)
-    slot[place] = (hashes % np.uint64(INPUTS)).astype(np.int64)
+    code = slot_of(shape, hashes)
+    rest = code - shape["short"]
+    cls, at = np.full(len(row) + n, shape["short"], np.int64), np.full(len(row) + n, -1, np.int64)
+    cls[place] = np.where(rest < 0, code, shape["short"] + 1 + rest % shape["groups"])
+    at[place] = np.where(rest < 0, -1, position(shape, rest))
+    start = shape["inputs"]
+    given = np.full(len(cls), start, np.int64)
+    given[place] = (hashes % np.uint64(start)).astype(np.int64)
     doc = np.repeat(np.arange(n), size)
     offset = np.arange(len(cls)) - first[doc]
-    padded = np.concatenate([np.full(CONTEXT, INPUTS), slot])
-    context = np.stack([np.where(offset > j, padded[CONTEXT - 1 - j : len(slot) + CONTEXT - 1 - j], INPUTS) for j in range(CONTEXT)], 1)
-    return cls, context, doc, place
+    padded = np.concatenate([np.full(CONTEXT, start), given])
+    context = np.stack([np.where(offset > j, padded[CONTEXT - 1 - j : len(given) + CONTEXT - 1 - j], start) for j in range(CONTEXT)], 1)
+    return cls, at, context, doc, place
 
 
-def train_step(p: dict, speed: dict, cls: np.ndarray, context: np.ndarray, noise: np.ndarray, log_share: np.ndarray) -> None:
-    """One noise-contrastive step; the noise draws are shared by the batch."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
+def rows_of(index: np.ndarray, parts_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of an index and the sums of their gradients."""
+    rows, which = np.unique(index.ravel(), return_inverse=True)
+    width = parts_.shape[-1]
+    return rows, np.bincount((which.reshape(-1, 1) * width + np.arange(width)).ravel(), parts_.ravel(), minlength=len(rows) * width).reshape(len(rows), width)
+
+
+def train_step(p: dict, speed: dict, cls: np.ndarray, at: np.ndarray, context: np.ndarray, noise: np.ndarray, slot_noise: np.ndarray, log_share: np.ndarray, log_slot: np.ndarray) -> None:
+    """One noise-contrastive step on both levels. The noise classes are shared by the batch; ``slot_noise`` has draws from
+    its own group for each token with a slot."""
     n = len(cls)
     vectors = p["in"][context]
     q = (vectors * p["place"]).sum(1)
     log_k = np.float32(np.log(len(noise)))
     target = p["out"][cls]
-    d_true = 1 / (1 + np.exp(np.clip(-((q * target).sum(1) + p["bias"][cls] - log_share[cls] - log_k), -30, 30))) - 1
-    d_noise = 1 / (1 + np.exp(np.clip(-(q @ p["out"][noise].T + p["bias"][noise] - log_share[noise] - log_k), -30, 30)))
+    d_true = sigmoid((q * target).sum(1) + p["bias"][cls] - log_share[cls] - log_k) - 1
+    d_noise = sigmoid(q @ p["out"][noise].T + p["bias"][noise] - log_share[noise] - log_k)
     dq = d_true[:, None] * target + d_noise @ p["out"][noise]
     classes = len(p["bias"])
     one_hot = np.bincount((cls[:, None] * SIZE + np.arange(SIZE)).ravel(), (d_true[:, None] * q).ravel(), minlength=classes * SIZE).reshape(classes, SIZE)
     np.add.at(one_hot, noise, d_noise.T @ q)
     bias = np.bincount(cls, d_true, minlength=classes) + np.bincount(noise, d_noise.sum(0), minlength=classes)
-    d_in = (dq[:, None, :] * p["place"]).ravel()
-    grads = {
-        "out": one_hot, "bias": bias, "place": (vectors * dq[:, None, :]).sum(0),
-        "in": np.bincount((context[:, :, None] * SIZE + np.arange(SIZE)).ravel(), d_in, minlength=(INPUTS + 1) * SIZE).reshape(INPUTS + 1, SIZE),
-    }
-    for k, g in grads.items():
+    grads = {"out": (slice(None), one_hot), "bias": (slice(None), bias)}
+    own = np.flatnonzero(at >= 0)
+    if len(own):
+        slots = np.concatenate([at[own, None], slot_noise], 1)
+        there = p["slot"][slots]
+        d = sigmoid(np.einsum("nks,ns->nk", there, q[own]) + p["slot_bias"][slots] - log_slot[slots] - np.float32(np.log(SLOT_NOISE)))
+        d[:, 0] -= 1
+        dq[own] += np.einsum("nk,nks->ns", d, there)
+        rows, sums = rows_of(slots, np.concatenate([d[:, :, None] * q[own, None, :], d[:, :, None]], 2))
+        grads |= {"slot": (rows, sums[:, :SIZE]), "slot_bias": (rows, sums[:, SIZE])}
+    grads |= {"place": (slice(None), (vectors * dq[:, None, :]).sum(0)), "in": rows_of(context, dq[:, None, :] * p["place"])}
+    for k, (rows, g) in grads.items():
         g = (g / n).astype(np.float32)
-        speed[k] += g * g
-        p[k] -= RATE * g / (np.sqrt(speed[k]) + 1e-4)
+        speed[k][rows] += g * g
+        p[k][rows] -= RATE * g / (np.sqrt(speed[k][rows]) + 1e-4)
 
 
-def trainer(short: np.ndarray, order: np.ndarray, classes: np.ndarray):
+def draw_slots(shape: dict, ends: np.ndarray, at: np.ndarray, rng) -> np.ndarray:
+    """SLOT_NOISE draws by share from the group of each slot; ``ends``: running sums of the shares over the whole table."""
+    group = at[at >= 0] // shape["wide"]
+    drawn = np.searchsorted(ends, group[:, None] + rng.random((len(group), SLOT_NOISE)), side="right")
+    return np.clip(drawn, (group * shape["wide"])[:, None], (group * shape["wide"] + shape["filled"][group] - 1)[:, None])
+
+
+def trainer(shape: dict):
     def run(batches):
-        p, rng, total = fresh(classes), np.random.default_rng(4), 0
+        p, rng, total = fresh(shape), np.random.default_rng(4), 0
         speed = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-        log_share = np.log(classes).astype(np.float32)
+        log_share, log_slot = p["bias"].copy(), p["slot_bias"].copy()
+        ends = np.cumsum(shape["slots"])
         for batch in batches:
             data, at = sh.packed(batch.column("text"))
             for i, j in sh.pieces(at):
                 hashes, row = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                cls, context, _, _ = encode(short, order, hashes, row, j - i)
+                cls, slot, context, _, _ = encode(shape, hashes, row, j - i)
                 for a in range(0, len(cls), BATCH):
-                    train_step(p, speed, cls[a : a + BATCH], context[a : a + BATCH], rng.choice(len(classes), NOISE, p=classes), log_share)
+                    part = slice(a, a + BATCH)
+                    noise = rng.choice(len(shape["classes"]), NOISE, p=shape["classes"])
+                    train_step(p, speed, cls[part], slot[part], context[part], noise, draw_slots(shape, ends, slot[part], rng), log_share, log_slot)
                 total += len(cls)
-        flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float64) * total
-        yield pa.RecordBatch.from_arrays([pa.array([np.append(flat, total).tobytes()], pa.binary()), pa.array([int(rng.integers(1 << 30)) if total else -1], pa.int64())], ["sums", "seed"])
+        if total:
+            flat = np.concatenate([p[k].ravel() for k in sorted(p)])
+            cut = range(0, len(flat), PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int64()), pa.array([flat[a : a + PIECE].tobytes() for a in cut], pa.binary()), pa.array([total] * len(cut), pa.int64())], ["piece", "weights", "total"])
 
     return run
 
 
-def added(table: pa.Table) -> pa.Table:
-    total = 0
-    for x in table.column("sums"):
-        total = total + np.frombuffer(x.as_buffer(), float)
-    return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+def averaged(table: pa.Table) -> pa.Table:
+    """The mean of one piece of the weights over the tasks, by token count."""
+    totals = table.column("total").to_numpy()
+    mean = sum(np.frombuffer(w.as_buffer(), np.float32) * (n / totals.sum()) for w, n in zip(table.column("weights"), totals, strict=True))
+    return pa.table({"piece": table.column("piece")[:1], "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, top: list, total: int, ends: int) -> dict:
-    """The net from all texts of ``docs``; ``top``: (hash, count) of the short list, ``total``: all tokens."""
-    hashes = np.array([h for h, _ in top], np.int64).view(np.uint64)
+def train(docs: DataFrame, counted: DataFrame, types: int, ends: int, buckets: int) -> dict:
+    """The net from all texts of ``docs``; ``counted``: words and counts by group."""
+    shape = layout(types)
+    most = SHORT + shape["own"]
+    words = counted.filter("kind = 1").select("data", "types")
+    lead = words.mapInArrow(leading(2 * most // buckets + SHORT), "hash long, n long").orderBy(F.desc("n"), "hash").limit(most).collect()
+    hashes, counts = np.array([r.hash for r in lead], np.int64).view(np.uint64), np.array([r.n for r in lead], np.int64)
     order = np.argsort(hashes)
-    counts = np.array([total - ends - sum(c for _, c in top), *(c for _, c in top), ends], float) + 1
-    classes = counts / counts.sum()
-    short = hashes[order]
-    weights = docs.select("text").mapInArrow(trainer(short, order, classes), "sums binary, seed long")
-    sums = weights.groupBy(F.pmod(F.xxhash64("sums"), F.lit(GROUPS)).alias("to")).applyInArrow(lambda t: added(t), "sums binary").collect()
-    total_ = sum(np.frombuffer(r[0], float) for r in sums) if sums else np.zeros(1)
-    p, at = fresh(classes), 0
-    if total_[-1] > 0:
+    shape |= {"short": min(SHORT, len(lead)), "own": max(0, len(lead) - SHORT), "known": hashes[order], "rank": order}
+    slots, kinds = np.zeros(shape["own"] + shape["hashed"], np.int64), np.zeros(shape["hashed"], np.int64)
+    slots[: shape["own"]] = counts[shape["short"] :]
+    for r in words.mapInArrow(slot_sums(shape), "slot long, tokens long, types long").groupBy("slot").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():
+        slots[shape["own"] + r.slot], kinds[r.slot] = r.tokens, r.types
+    shape = shares(shape, counts[: shape["short"]], slots, ends)
+    shape["filled"] = (shape["slots"].reshape(shape["groups"], shape["wide"]) > 0).sum(1)
+    pieces = docs.select("text").mapInArrow(trainer(shape), "piece long, weights binary, total long")
+    got = sorted(pieces.groupBy("piece").applyInArrow(lambda t: averaged(t), "piece long, weights binary").collect())
+    p, at = fresh(shape), 0
+    if got:
+        flat = np.frombuffer(b"".join(r.weights for r in got), np.float32)
         for k in sorted(p):
-            p[k] = (total_[at : at + p[k].size] / total_[-1]).astype(np.float32).reshape(p[k].shape)
+            p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
             at += p[k].size
-    return {"net": p, "short": short, "order": order}
+    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-np.inf))
+    return {"net": p, "shape": shape, "shared": slots[shape["own"] :] + kinds + 1}
+
+
+def normalised(s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of each row at one column."""
+    top = s.max(1)
+    return s[np.arange(len(s)), own] - top - np.log(np.exp(s - top[:, None]).sum(1))
 
 
-def log_probabilities(p: dict, cls: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Normalised log10 probability of each class after its context."""
-    out = np.empty(len(cls))
+def log_probabilities(p: dict, shape: dict, cls: np.ndarray, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Normalised log10 probability of each class after its context, and of the slot in its group."""
+    out, q = np.empty(len(cls)), np.empty((len(cls), SIZE), np.float32)
     for a in range(0, len(cls), ROUND):
-        q = (p["in"][context[a : a + ROUND]] * p["place"]).sum(1)
-        s = q @ p["out"].T + p["bias"]
-        own = s[np.arange(len(s)), cls[a : a + ROUND]]
-        top = s.max(1)
-        out[a : a + ROUND] = own - top - np.log(np.exp(s - top[:, None]).sum(1))
+        part = slice(a, a + ROUND)
+        q[part] = (p["in"][context[part]] * p["place"]).sum(1)
+        out[part] = normalised(q[part] @ p["out"].T + p["bias"], cls[part])
+    own = np.flatnonzero(at >= 0)
+    own = own[np.argsort(cls[own], kind="stable")]
+    cuts = cuts_of(cls[own])
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        for a in range(i, j, ROUND):
+            rows = own[a : min(j, a + ROUND)]
+            low = at[rows[0]] // shape["wide"] * shape["wide"]
+            out[rows] += normalised(q[rows] @ p["slot"][low : low + shape["wide"]].T + p["slot_bias"][low : low + shape["wide"]], at[rows] - low)
     return out / np.log(10)
 
 
@@ -238,10 +359,12 @@ def scorer(model: dict, facts: dict, buckets: int, folds: int, held: int):
         while a < n:
             b = max(a + 1, int(np.searchsorted(np.cumsum(size), (np.cumsum(size)[a - 1] if a else 0) + 200_000)))
             lo, hi = np.searchsorted(row, [a, b])
-            cls, context, doc, at = encode(model["short"], model["order"], hashes[lo:hi], row[lo:hi] - a, b - a)
-            log = log_probabilities(model["net"], cls, context)
-            other = cls[at] == 0
-            log[at[other]] += np.log10((c[lo:hi][other] + 1.0) / (facts["other_tokens"] + facts["other_types"] + 1.0))
+            shape = model["shape"]
+            cls, at, context, doc, place_ = encode(shape, hashes[lo:hi], row[lo:hi] - a, b - a)
+            log = log_probabilities(model["net"], shape, cls, at, context)
+            shared = slot_of(shape, hashes[lo:hi]) - shape["short"] - shape["own"]
+            other = shared >= 0
+            log[place_[other]] += np.log10((c[lo:hi][other] + 1.0) / model["shared"][shared[other]])
             score[a:b] = np.bincount(doc, log, minlength=b - a)
             a = b
         return pa.table({
@@ -265,11 +388,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = CHU
     sent = parts_.groupBy("chunk").applyInArrow(send_counts(chunks, folds, held), "bucket int, chunk int, data binary, n long")
     counted = sh.save(sent.groupBy("bucket").applyInArrow(add_counts, COUNTED), "counts")
     told = counted.filter("kind = 1").agg(F.sum("tokens"), F.sum("types")).first()
-    top = [(r[0], r[1]) for r in counted.filter("kind = 1").select(F.explode("top").alias("t")).select("t.hash", "t.n").orderBy(F.desc("n"), "hash").limit(SHORT).collect()]
     training = docs.filter(sh.remainder("doc_id", folds) != held)
     ends = training.count()
-    facts = {"ends": ends, "tokens": (told[0] or 0) + ends, "types": (told[1] or 0) + (ends > 0), "other_tokens": (told[0] or 0) - sum(c for _, c in top), "other_types": (told[1] or 0) - len(top)}
-    model = train(training, top, facts["tokens"], ends)
+    facts = {"ends": ends, "tokens": (told[0] or 0) + ends, "types": (told[1] or 0) + (ends > 0)}
+    model = train(training, counted, told[1] or 0, ends, chunks)
     back = counted.filter("kind = 0").select("chunk", "bucket", "data")
     return parts_.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
         scorer(model, facts, chunks, folds, held), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

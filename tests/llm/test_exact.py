@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,32 @@ def test_fingerprints(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [(r.edited, r.near_edited, r.near_next) for r in fingerprint.compare(one).collect()] == [("a a", 0.0, 1.0)]
     assert fingerprint.compare(df.limit(0)).count() == 0
+
+
+def test_contexts_of_rare_words(spark):
+    """Words beyond the most frequent ones have probabilities that follow their context."""
+    rng = random.Random(11)
+    filler = [f"f{i}" for i in range(lm.SHORT + 10)]
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(2)]
+    text = lambda k: " ".join(rng.choice(topics[k if k < 2 else rng.randrange(2)]) for _ in range(60))
+    docs = [(i, text(i % 2)) for i in range(1000)] + [(i, " ".join(filler * 8)) for i in range(1000, 1200)]
+    pure = [i for i in range(1000) if brute.held(i, 7, 2)]
+    mixed = [i for i in range(2000, 3000) if brute.held(i, 7, 2)]
+    docs += [(i, text(2)) for i in mixed]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(frame(spark, docs)).collect()}
+    mean = lambda ids: sum(got[i] for i in ids) / len(ids)
+    assert mean(pure) > mean(mixed) + 0.1
+
+
+def test_language_model_adds_up():
+    rng = np.random.default_rng(2)
+    shape = lm.layout(5000)
+    shape |= {"short": 9, "own": 700, "known": np.zeros(0, np.uint64), "rank": np.zeros(0, np.int64)}
+    shape = lm.shares(shape, np.arange(9), rng.integers(0, 50, 700 + shape["hashed"]), 3)
+    p = lm.fresh(shape)
+    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-np.inf))
+    slots = np.flatnonzero(shape["slots"] > 0)
+    cls = np.concatenate([np.arange(10), 10 + slots // shape["wide"]])
+    at = np.concatenate([np.full(10, -1), slots])
+    context = np.tile(rng.integers(0, shape["inputs"], lm.CONTEXT), (len(cls), 1))
+    assert math.isclose((10 ** lm.log_probabilities(p, shape, cls, at, context)).sum(), 1, rel_tol=1e-4)
