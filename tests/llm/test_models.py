@@ -127,6 +127,21 @@ def test_mixing(spark, corpus):
     assert mixing.drawn(docs.limit(0)).count() == 0
 
 
+def test_rare_cells(spark, corpus):
+    """A rare source is kept whole and takes nothing from the others; a budget is met and the targets with it."""
+    docs, _ = corpus
+    docs = docs.where("doc_id < 700")
+    one = docs.where("doc_id = 3").withColumns({"doc_id": F.lit(7000).cast("long"), "source": F.lit("rare"), "text": F.lit("the thing of and " * 3)})
+    kept = lambda rows: sum(r.n_tokens * r.probability for r in rows) / sum(r.n_tokens for r in rows)
+    before, after = mixing.drawn(docs).collect(), mixing.drawn(docs.unionByName(one)).collect()
+    assert abs(kept(after) - kept(before)) < 0.01 and {r.doc_id: r.probability for r in after}[7000] == 1
+    target = {"lang": spark.createDataFrame([("en", 2.0), ("de", 1.0), ("fr", 1.0)], "value string, share double")}
+    assert math.isclose(kept(mixing.drawn(docs, target, 0.5).collect()), 0.5, abs_tol=1e-6)
+    told = {(r.dimension, r.value): r for r in mixing.report(docs.unionByName(one), target, 0.5).collect()}
+    assert math.isclose(told["lang", "en"].share, 0.5, abs_tol=1e-3) and told["source", "rare"].kept == 1
+    assert told["source", "rare"].share < told["source", "rare"].target
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, labels = corpus
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
