@@ -1,6 +1,8 @@
 """Operator 7: Order MinHash fingerprints, by column expressions only.
 
-The k-mers of a text are its runs of ``K`` words between spaces, each with the number of equal ones before it. All are
+The k-mers of a text are its runs of ``K`` units, each with the number of equal ones before it. A unit is a word between
+single white-space characters; a word of more than ``LONG`` bytes (``SHORT_LONG`` in a text of fewer than ``FEW`` words) gives
+one unit of ``GRAM`` code points for each of its code points instead, so a text without spaces has k-mers too. All are
 hashed once; the hash deals them to ``BINS`` bins. In each bin the ``PICK`` smallest are selected and put in the order in
 which they stand in the text, and that tuple is hashed: one entry of the fingerprint. Moving, repeating or replacing parts
 of a text changes selections or their order; likeness is the share of bins with equal entries.
@@ -22,6 +24,18 @@ BITS = 6
 PICK = 2
 PLACE = 28
 DIGITS = 3
+LONG = 12
+SHORT_LONG = 4
+FEW = 4
+GRAM = 3
+BLANK = r"[\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def units(words: str) -> Column:
+    """Words, and instead of long ones the runs of code points that start in them; the cost is linear in the length."""
+    cut = f"if(octet_length(w) > if(size({words}) < {FEW}, {SHORT_LONG}, {LONG}), split(w, ''), array(w))"
+    later = ", ".join(f"get(u, i + {j})" for j in range(1, GRAM))
+    return F.expr(f"flatten(transform(transform({words}, w -> {cut}), u -> if(size(u) > 1, transform(u, (c, i) -> concat_ws('', c, {later})), u)))")
 
 
 def runs(words: str) -> Column:
@@ -62,7 +76,8 @@ def entries(chosen: str) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the entries of the fingerprint of a text column; each step is a column, so it is computed once."""
-    df = df.withColumn("fp_words__", F.split(text, " ", -1))
+    df = df.withColumn("fp_words__", F.split(text, BLANK, -1))
+    df = df.withColumn("fp_words__", units("fp_words__"))
     df = df.withColumn("fp_runs__", runs("fp_words__")).drop("fp_words__")
     df = df.withColumn("fp_numbered__", numbered("fp_runs__")).drop("fp_runs__")
     df = df.withColumn("fp_picked__", picked("fp_numbered__")).drop("fp_numbered__")

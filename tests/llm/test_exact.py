@@ -168,6 +168,17 @@ def test_fingerprints(spark):
     assert fingerprint.compare(df.limit(0)).count() == 0
 
 
+def test_fingerprints_without_spaces(spark):
+    """Two thirds of an edited text are unchanged, whatever parts its words."""
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(n))
+    lines = lambda sep: sep.join(f"w{rng.randint(0, 9999)}" for _ in range(300))
+    docs = [(1, han(900)), (2, han(900)), (3, lines("\n")), (4, lines("\t")), (5, "".join(rng.choice("abcdef0123456789") for _ in range(900)))]
+    for r in fingerprint.compare(frame(spark, docs)).collect():
+        # documents 2 and 4 are filled up from a text of their kind
+        assert (0.1 if r.doc_id in (2, 4) else 0) < r.near_edited < 1 and len(r.fingerprint) > 200
+
+
 def test_contexts_of_rare_words(spark):
     """Words beyond the most frequent ones have probabilities that follow their context."""
     rng = random.Random(11)
