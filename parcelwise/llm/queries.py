@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, fingerprint, language, lm, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, fingerprint, infill, language, lm, mixing, near_dedup, pii, quality, resample, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +112,56 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: CRC-32 of each distinct word byte by byte, with the byte table made from the polynomial.
+OP11_SQL = rf"""
+with recursive bit as (select i, 0 k, i::bigint c from range(256) r(i)
+  union all select i, k + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bit where k < 8),
+crc as (select i, c from bit where k = 8),
+d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where doc_id is not null),
+f as (select doc_id, unnest(w) w from d),
+g as (select unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w from benchmark),
+v as (select w, hex(encode(w)) h from (select w from f union select w from g)),
+run as (select w, h, 0 p, 4294967295::bigint c from v
+  union all select w, h, p + 1, xor(crc.c, run.c >> 8) from run join crc on crc.i = xor(run.c % 256, ('0x' || substr(h, 2 * p + 1, 2))::bigint)
+  where p < length(h) // 2),
+b as (select w, xor(c, 4294967295) % 10000 b from run where p = length(h) // 2),
+s as (select b, count(*) s from f join b using (w) group by all),
+t as (select b, count(*) t from g join b using (w) group by all),
+n as (select (select coalesce(sum(s), 0) from s) sn, (select coalesce(sum(t), 0) from t) tn),
+gain as (select distinct b, floor(1000 * ln((coalesce(t, 0) + 1)::double * (sn + 10000) / ((coalesce(s, 0) + 1)::double * (tn + 10000)))) g
+  from b left join s using (b) left join t using (b), n),
+m as (select doc_id, floor(sum(g) / count(*))::bigint weight from f join b using (w) join gain using (b) group by all),
+x as (select d.doc_id, len(w)::bigint n_features, coalesce(weight, 0) weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296))))::bigint score
+  from d left join m using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () c from x where n_features >= 20)
+select x.doc_id, n_features, weight, score, case when rank <= c * 10 // 100 then rank end::bigint rank from x left join r using (doc_id)
+"""
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(documents(spark, sf_dir), ["doc_id"]))
+
+
+OP13_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x, sha256('42:' || doc_id::varchar) h from documents),
+u as (select *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') w,
+  [('0x' || substr(h, 8 * i + 1, 8))::bigint for i in range(4)] d from t),
+k as (select *, len(w) n, least(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) a, greatest(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) b,
+  case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or d[3] is null or d[3] % 100 >= 50 then 'plain'
+    when d[4] % 100 < 80 then 'spm' else 'psm' end form from u),
+c as (select *, array_to_string(w[1:a], '') p, array_to_string(w[a + 1:b], '') m, array_to_string(w[b + 1:], '') s from k)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(p) end::bigint prefix_chars,
+  case when form <> 'plain' then length(m) end::bigint middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else x end) output_sha256,
+  sha256(x) restored_sha256 from c
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,8 +169,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_fingerprint": op7_fingerprint, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-           "op10_language_id": op10_language_id, "pipeline": pipeline}
-SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL}
+           "op10_language_id": op10_language_id, "op11_resample": op11_resample, "op13_infill": op13_infill, "pipeline": pipeline}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL, "op11_resample": OP11_SQL, "op13_infill": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
