@@ -24,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import shared as sh
@@ -150,25 +150,17 @@ def noise(seed: int):
 # ---- radix sort --------------------------------------------------------------------------------------
 
 
-def digits(low: tuple[int, int], high: tuple[int, int]) -> list[tuple[int, int]]:
-    """(column, shift) of each digit that can differ, last digit of the last key first; keys count up from their least."""
-    out = []
-    for column in (1, 0):
-        width = (high[column] - low[column]).bit_length()
-        out += [(column, shift) for shift in range(0, width, DIGIT)]
-    return out
-
-
-def digit_of(a, b, low: tuple[int, int], place: tuple[int, int]):
-    """The digit of a row as a column expression; ``a`` and ``b`` are the parts of the key. Wide ranges wrap in 64 bits."""
-    column, shift = place
-    value = f"({(a, b)[column]} + {-low[column]}L)" if low[column] else (a, b)[column]
-    return F.expr(f"cast(shiftrightunsigned({value}, {shift}) & {(1 << DIGIT) - 1}L as int)")
+def digits(name: str, low: int, high: int) -> list[Column]:
+    """The digits of a key column that can differ, last first. Keys count up from their least; a range of 63 bits or more,
+    where that could overflow, is taken as it is with the sign bit turned."""
+    width = (high - low).bit_length()
+    value = f"({name} - ({low}L))" if width < 63 else f"({name} ^ shiftleft(1L, 63))"
+    return [F.expr(f"cast(shiftrightunsigned({value}, {shift}) & {(1 << DIGIT) - 1}L as int)") for shift in range(0, width, DIGIT)]
 
 
-def placed(rows: DataFrame, low: tuple[int, int], place: tuple[int, int], label: str) -> DataFrame:
+def placed(rows: DataFrame, digit: Column, label: str) -> DataFrame:
     """One stable counting-sort pass: ``block__`` and ``at__`` (position in the block) are those of the next order."""
-    rows = rows.withColumn("digit__", digit_of("key_a__", "key_b__", low, place))
+    rows = rows.withColumn("digit__", digit)
     counts = rows.groupBy("digit__", "block__").agg(F.count("*").alias("n__"))
     upto = Window.rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("first__", F.coalesce(F.sum("n__").over(upto.partitionBy("digit__").orderBy("block__")), F.lit(0)))
@@ -200,14 +192,14 @@ def radix_ranks(rows: DataFrame, first: str, second: str) -> DataFrame:
     spans = rows.agg(F.min(first), F.max(first), F.min(second), F.max(second)).first()
     if spans[0] is None:
         return rows.withColumn("rank", F.lit(None).cast("long"))
-    low, high = (spans[0], spans[2]), (spans[1], spans[3])
     part = F.monotonically_increasing_id()
     # The order of the saved rows; blocks of it hold ROWS rows at most.
     rows = rows.withColumns({"key_a__": F.col(first), "key_b__": F.col(second), "at__": part})
     rows = sh.save(rows, "radix-rows").withColumn("block__", F.floor(F.col("at__") / ROWS).cast("long")).withColumn("at__", F.pmod("at__", F.lit(ROWS)))
-    places = digits(low, high) or [(1, 0)]
-    for i, place in enumerate(places):
-        rows = placed(rows, low, place, f"radix-{i}")
+    # at least one pass: it also packs the blocks
+    passes = digits("key_b__", spans[2], spans[3]) + digits("key_a__", spans[0], spans[1]) or [F.lit(0)]
+    for i, digit in enumerate(passes):
+        rows = placed(rows, digit, f"radix-{i}")
     return rows.withColumn("rank", F.col("block__") * ROWS + F.col("at__") + 1).drop("block__", "at__", "key_a__", "key_b__")
 
 
