@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +27,19 @@ from parcelwise.llm import shared as sh
 from parcelwise.llm.suffix_dedup import CODEC, cuts_of, parts
 
 CHUNK = 4 << 20
-SHORT = 254
+#: A group of words gets the words of so many chunks' worth of text, whatever the size of the corpus.
+CHUNKS_A_BUCKET = 8
+SHORT = 30
 LEAST = 4096
 GROWTH = 16
 SIZE = 16
 CONTEXT = 4
-NOISE = 32
-SLOT_NOISE = 4
-BATCH = 1024
-ROUND = 8192
-RATE = 0.15
+NOISE = 48
+SLOT_NOISE = 16
+BATCH = 2048
+ROUND = 512
+MEET = 64
+RATE = 0.2
 PIECE = 1 << 16
 COUNTED = "kind int, chunk int, bucket int, data binary, tokens long, types long"
 
@@ -114,14 +118,16 @@ def corpus_words(data: bytes, types: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def leading(most: int):
-    """The ``most`` most frequent words of each group."""
+    """The ``most`` most frequent words of each group; ``more`` marks the last one of a group that has further words."""
 
     def run(batches):
         for batch in batches:
             for data, types in zip(batch.column("data").to_pylist(), batch.column("types").to_pylist(), strict=True):
                 hashes, n = corpus_words(data, types)
                 top = np.lexsort([hashes.view(np.int64), -n])[:most]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(n[top])], ["hash", "n"])
+                more = np.zeros(len(top), bool)
+                more[-1:] = len(n) > most
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(n[top]), pa.array(more)], ["hash", "n", "more"])
 
     return run
 
@@ -183,8 +189,8 @@ def fresh(shape: dict, seed: int = 3) -> dict:
 
 
 def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int):
-    """Classes (words, the end, groups), places in the table of slots (-1: none), input vectors of the context (the last one:
-    before the start), row and place of each token, ends of texts included."""
+    """Classes (words, the end, groups), places in the table of slots (-1: none), input vector, offset in the text, row and
+    place of each token, ends of texts included. The last input vector stands for what is before the start."""
     words = np.bincount(row, minlength=n)
     size = words + 1
     first = np.cumsum(size) - size
@@ -194,64 +200,126 @@ def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int):
     cls, at = np.full(len(row) + n, shape["short"], np.int64), np.full(len(row) + n, -1, np.int64)
     cls[place] = np.where(rest < 0, code, shape["short"] + 1 + rest % shape["groups"])
     at[place] = np.where(rest < 0, -1, position(shape, rest))
-    start = shape["inputs"]
-    given = np.full(len(cls), start, np.int64)
-    given[place] = (hashes % np.uint64(start)).astype(np.int64)
+    given = np.full(len(cls), shape["inputs"], np.int64)
+    given[place] = (hashes % np.uint64(shape["inputs"])).astype(np.int64)
     doc = np.repeat(np.arange(n), size)
-    offset = np.arange(len(cls)) - first[doc]
-    padded = np.concatenate([np.full(CONTEXT, start), given])
-    context = np.stack([np.where(offset > j, padded[CONTEXT - 1 - j : len(given) + CONTEXT - 1 - j], start) for j in range(CONTEXT)], 1)
-    return cls, at, context, doc, place
+    return cls, at, given, np.arange(len(cls)) - first[doc], doc, place
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+def predicted(p: dict, given: np.ndarray, early: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the inputs, and the vector that the CONTEXT inputs before each token predict. ``given`` begins CONTEXT
+    tokens before the first one to predict; ``early[j]``: tokens whose j-th last input is before the start of their text."""
+    vectors = p["in"][given]
+    n = len(given) - CONTEXT
+    q = np.zeros((n, SIZE), np.float32)
+    for j in range(CONTEXT):
+        term = vectors[CONTEXT - 1 - j : CONTEXT - 1 - j + n] * p["place"][j]
+        term[early[j]] = p["in"][-1] * p["place"][j]
+        q += term
+    return vectors, q
 
 
-def rows_of(index: np.ndarray, parts_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of an index and the sums of their gradients."""
-    rows, which = np.unique(index.ravel(), return_inverse=True)
-    width = parts_.shape[-1]
-    return rows, np.bincount((which.reshape(-1, 1) * width + np.arange(width)).ravel(), parts_.ravel(), minlength=len(rows) * width).reshape(len(rows), width)
+def window(given: np.ndarray, offset: np.ndarray, a: int, b: int, start: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Inputs and early tokens of the tokens a to b."""
+    lead = given[max(0, a - CONTEXT) : b]
+    lead = np.concatenate([np.full(max(0, CONTEXT - a), start), lead])
+    return lead, [np.flatnonzero(offset[a:b] <= j) for j in range(CONTEXT)]
 
 
-def train_step(p: dict, speed: dict, cls: np.ndarray, at: np.ndarray, context: np.ndarray, noise: np.ndarray, slot_noise: np.ndarray, log_share: np.ndarray, log_slot: np.ndarray) -> None:
-    """One noise-contrastive step on both levels. The noise classes are shared by the batch; ``slot_noise`` has draws from
-    its own group for each token with a slot."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.negative(x, out=x)
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def rows_of(index: np.ndarray, parts_: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of an index below ``size`` and the sums of their gradients, by one sort."""
+    order = np.argsort(index.astype(np.uint16 if size <= 1 << 16 else np.int32), kind="stable")
+    index = index[order]
+    first = np.concatenate([[True], index[1:] != index[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(first) - 1
+    rows, width = index[first], parts_.shape[1]
+    return rows, np.bincount((which[:, None] * width + np.arange(width)).ravel(), parts_.ravel(), minlength=len(rows) * width).astype(np.float32).reshape(-1, width)
+
+
+def with_bias(d: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Gradients of vectors and, as a last column, of their bias."""
+    out = np.empty((len(q), SIZE + 1), np.float32)
+    np.multiply(q, d[:, None], out=out[:, :SIZE])
+    out[:, SIZE] = d
+    return out
+
+
+def train_step(p: dict, speed: dict, lead: np.ndarray, early: list[np.ndarray], cls: np.ndarray, at: np.ndarray, noise: np.ndarray, draw, log_share: np.ndarray, log_slot: np.ndarray, wide: int) -> None:
+    """One noise-contrastive step on both levels. The noise classes are shared by the batch, the noise slots by the tokens
+    of a group: ``draw(groups)`` gives SLOT_NOISE of each."""
     n = len(cls)
-    vectors = p["in"][context]
-    q = (vectors * p["place"]).sum(1)
+    vectors, q = predicted(p, lead, early)
     log_k = np.float32(np.log(len(noise)))
-    target = p["out"][cls]
-    d_true = sigmoid((q * target).sum(1) + p["bias"][cls] - log_share[cls] - log_k) - 1
-    d_noise = sigmoid(q @ p["out"][noise].T + p["bias"][noise] - log_share[noise] - log_k)
-    dq = d_true[:, None] * target + d_noise @ p["out"][noise]
-    classes = len(p["bias"])
-    one_hot = np.bincount((cls[:, None] * SIZE + np.arange(SIZE)).ravel(), (d_true[:, None] * q).ravel(), minlength=classes * SIZE).reshape(classes, SIZE)
-    np.add.at(one_hot, noise, d_noise.T @ q)
-    bias = np.bincount(cls, d_true, minlength=classes) + np.bincount(noise, d_noise.sum(0), minlength=classes)
-    grads = {"out": (slice(None), one_hot), "bias": (slice(None), bias)}
+    target, against = p["out"][cls], p["out"][noise]
+    shift = p["bias"] - log_share - log_k
+    d_true = sigmoid(np.einsum("ns,ns->n", q, target) + shift[cls]) - 1
+    d_noise = sigmoid(q @ against.T + shift[noise])
+    dq = d_true[:, None] * target + d_noise @ against
+    rows, sums = rows_of(cls, with_bias(d_true, q), len(shift))
+    out = np.zeros((len(shift), SIZE + 1), np.float32)
+    out[rows] = sums
+    np.add.at(out, noise, np.concatenate([d_noise.T @ q, d_noise.sum(0)[:, None]], 1))
+    grads = {"out": (slice(None), out[:, :SIZE]), "bias": (slice(None), out[:, SIZE])}
     own = np.flatnonzero(at >= 0)
     if len(own):
-        slots = np.concatenate([at[own, None], slot_noise], 1)
-        there = p["slot"][slots]
-        d = sigmoid(np.einsum("nks,ns->nk", there, q[own]) + p["slot_bias"][slots] - log_slot[slots] - np.float32(np.log(SLOT_NOISE)))
-        d[:, 0] -= 1
-        dq[own] += np.einsum("nk,nks->ns", d, there)
-        rows, sums = rows_of(slots, np.concatenate([d[:, :, None] * q[own, None, :], d[:, :, None]], 2))
+        group = at[own] // wide
+        order = np.argsort(group.astype(np.uint16 if len(p["slot"]) // wide <= 1 << 16 else np.int32), kind="stable")
+        own, group = own[order], group[order]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        member = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
+        drawn = draw(group[first])
+        slot_k = np.float32(np.log(SLOT_NOISE))
+        q_own, there, other = q[own], p["slot"][at[own]], p["slot"][drawn]
+        d = sigmoid(np.einsum("ns,ns->n", q_own, there) + p["slot_bias"][at[own]] - log_slot[at[own]] - slot_k) - 1
+        ranges = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
+        e = (p["slot_bias"][drawn] - log_slot[drawn] - slot_k)[member]
+        for k, (i, j) in enumerate(ranges):
+            e[i:j] += q_own[i:j] @ other[k].T
+        e = sigmoid(e)
+        back, noisy = d[:, None] * there, np.empty((len(first), SLOT_NOISE, SIZE + 1), np.float32)
+        noisy[:, :, SIZE] = np.add.reduceat(e, first, axis=0)
+        for k, (i, j) in enumerate(ranges):
+            back[i:j] += e[i:j] @ other[k]
+            noisy[k, :, :SIZE] = e[i:j].T @ q_own[i:j]
+        dq[own] += back
+        noisy = noisy.reshape(-1, SIZE + 1)
+        rows, sums = rows_of(np.concatenate([at[own], drawn.ravel()]), np.concatenate([with_bias(d, q_own), noisy]), len(p["slot"]))
         grads |= {"slot": (rows, sums[:, :SIZE]), "slot_bias": (rows, sums[:, SIZE])}
-    grads |= {"place": (slice(None), (vectors * dq[:, None, :]).sum(0)), "in": rows_of(context, dq[:, None, :] * p["place"])}
+    place, back, start = np.zeros((CONTEXT, SIZE), np.float32), np.zeros_like(vectors), np.zeros(SIZE, np.float32)
+    for j in range(CONTEXT):
+        part = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n)
+        place[j] = np.einsum("ns,ns->s", vectors[part], dq) + ((p["in"][-1] - vectors[part][early[j]]) * dq[early[j]]).sum(0)
+        term = dq * p["place"][j]
+        start += term[early[j]].sum(0)
+        term[early[j]] = 0
+        back[part] += term
+    rows, sums = rows_of(np.append(lead, len(p["in"]) - 1), np.concatenate([back, start[None]]), len(p["in"]))
+    grads |= {"place": (slice(None), place), "in": (rows, sums)}
     for k, (rows, g) in grads.items():
-        g = (g / n).astype(np.float32)
-        speed[k][rows] += g * g
-        p[k][rows] -= RATE * g / (np.sqrt(speed[k][rows]) + 1e-4)
+        g = g / np.float32(n)
+        pace = speed[k][rows] + g * g
+        speed[k][rows] = pace
+        p[k][rows] -= np.float32(RATE) * g / (np.sqrt(pace) + np.float32(1e-4))
+
+
+def drawing(shape: dict, rng):
+    """SLOT_NOISE draws by share from each of some groups."""
+    ends, wide, filled = np.cumsum(shape["slots"]), shape["wide"], shape["filled"]
 
+    def draw(groups: np.ndarray) -> np.ndarray:
+        drawn = np.searchsorted(ends, groups[:, None] + rng.random((len(groups), SLOT_NOISE)), side="right")
+        return np.clip(drawn, (groups * wide)[:, None], (groups * wide + filled[groups] - 1)[:, None])
 
-def draw_slots(shape: dict, ends: np.ndarray, at: np.ndarray, rng) -> np.ndarray:
-    """SLOT_NOISE draws by share from the group of each slot; ``ends``: running sums of the shares over the whole table."""
-    group = at[at >= 0] // shape["wide"]
-    drawn = np.searchsorted(ends, group[:, None] + rng.random((len(group), SLOT_NOISE)), side="right")
-    return np.clip(drawn, (group * shape["wide"])[:, None], (group * shape["wide"] + shape["filled"][group] - 1)[:, None])
+    return draw
 
 
 def trainer(shape: dict):
@@ -259,30 +327,53 @@ def trainer(shape: dict):
         p, rng, total = fresh(shape), np.random.default_rng(4), 0
         speed = {k: np.full_like(v, 1e-6) for k, v in p.items()}
         log_share, log_slot = p["bias"].copy(), p["slot_bias"].copy()
-        ends = np.cumsum(shape["slots"])
+        upto, draw = np.cumsum(shape["classes"]), drawing(shape, rng)
         for batch in batches:
             data, at = sh.packed(batch.column("text"))
             for i, j in sh.pieces(at):
                 hashes, row = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                cls, slot, context, _, _ = encode(shape, hashes, row, j - i)
+                cls, slot, given, offset, _, _ = encode(shape, hashes, row, j - i)
                 for a in range(0, len(cls), BATCH):
-                    part = slice(a, a + BATCH)
-                    noise = rng.choice(len(shape["classes"]), NOISE, p=shape["classes"])
-                    train_step(p, speed, cls[part], slot[part], context[part], noise, draw_slots(shape, ends, slot[part], rng), log_share, log_slot)
+                    b = min(a + BATCH, len(cls))
+                    noise = np.minimum(np.searchsorted(upto, rng.random(NOISE), side="right"), len(upto) - 1)
+                    train_step(p, speed, *window(given, offset, a, b, shape["inputs"]), cls[a:b], slot[a:b], noise, draw, log_share, log_slot, shape["wide"])
                 total += len(cls)
         if total:
+            task = TaskContext.get().partitionId() if TaskContext.get() else 0
             flat = np.concatenate([p[k].ravel() for k in sorted(p)])
             cut = range(0, len(flat), PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int64()), pa.array([flat[a : a + PIECE].tobytes() for a in cut], pa.binary()), pa.array([total] * len(cut), pa.int64())], ["piece", "weights", "total"])
+            columns = [pa.array(range(len(cut)), pa.int64()), pa.array([task] * len(cut), pa.int64()), pa.array([flat[a : a + PIECE].tobytes() for a in cut], pa.binary()), pa.array([total] * len(cut), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "task", "weights", "total"])
 
     return run
 
 
 def averaged(table: pa.Table) -> pa.Table:
-    """The mean of one piece of the weights over the tasks, by token count."""
+    """The mean of one piece of the weights over some tasks, by token count."""
     totals = table.column("total").to_numpy()
     mean = sum(np.frombuffer(w.as_buffer(), np.float32) * (n / totals.sum()) for w, n in zip(table.column("weights"), totals, strict=True))
-    return pa.table({"piece": table.column("piece")[:1], "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"piece": table.column("piece")[:1], "task": pa.array([table.column("task")[0].as_py() // MEET], pa.int64()),
+                     "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary()), "total": pa.array([int(totals.sum())], pa.int64())})
+
+
+def mean_weights(pieces: DataFrame, tasks: int) -> list:
+    """Averages in levels: at most MEET copies of a piece meet in a group, however many tasks trained."""
+    while True:
+        pieces = pieces.groupBy("piece", F.floor(F.col("task") / MEET)).applyInArrow(lambda t: averaged(t), "piece long, task long, weights binary, total long")
+        if tasks <= MEET:
+            return sorted((r.piece, r.weights) for r in pieces.collect())
+        tasks = -(-tasks // MEET)
+
+
+def leading_words(words: DataFrame, most: int, buckets: int) -> list:
+    """The ``most`` most frequent words of the corpus, ties by hash. Each group sends its first ones; where the last one a
+    group sent still belongs to the result and the group has more, all send four times as many."""
+    send = 2 * most // buckets + SHORT
+    while True:
+        lead = words.mapInArrow(leading(send), "hash long, n long, more boolean").orderBy(F.desc("n"), "hash").limit(most).collect()
+        if not any(r.more for r in lead):
+            return lead
+        send *= 4
 
 
 def train(docs: DataFrame, counted: DataFrame, types: int, ends: int, buckets: int) -> dict:
@@ -290,7 +381,7 @@ def train(docs: DataFrame, counted: DataFrame, types: int, ends: int, buckets: i
     shape = layout(types)
     most = SHORT + shape["own"]
     words = counted.filter("kind = 1").select("data", "types")
-    lead = words.mapInArrow(leading(2 * most // buckets + SHORT), "hash long, n long").orderBy(F.desc("n"), "hash").limit(most).collect()
+    lead = leading_words(words, most, buckets)
     hashes, counts = np.array([r.hash for r in lead], np.int64).view(np.uint64), np.array([r.n for r in lead], np.int64)
     order = np.argsort(hashes)
     shape |= {"short": min(SHORT, len(lead)), "own": max(0, len(lead) - SHORT), "known": hashes[order], "rank": order}
@@ -300,46 +391,55 @@ def train(docs: DataFrame, counted: DataFrame, types: int, ends: int, buckets: i
         slots[shape["own"] + r.slot], kinds[r.slot] = r.tokens, r.types
     shape = shares(shape, counts[: shape["short"]], slots, ends)
     shape["filled"] = (shape["slots"].reshape(shape["groups"], shape["wide"]) > 0).sum(1)
-    pieces = docs.select("text").mapInArrow(trainer(shape), "piece long, weights binary, total long")
-    got = sorted(pieces.groupBy("piece").applyInArrow(lambda t: averaged(t), "piece long, weights binary").collect())
+    pieces = sh.save(docs.select("text").mapInArrow(trainer(shape), "piece long, task long, weights binary, total long"), "weights")
+    got = mean_weights(pieces, (pieces.agg(F.max("task")).first()[0] or 0) + 1)
     p, at = fresh(shape), 0
     if got:
-        flat = np.frombuffer(b"".join(r.weights for r in got), np.float32)
+        flat = np.frombuffer(b"".join(w for _, w in got), np.float32)
         for k in sorted(p):
             p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
             at += p[k].size
-    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-np.inf))
+    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-1e30))
     return {"net": p, "shape": shape, "shared": slots[shape["own"] :] + kinds + 1}
 
 
-def normalised(s: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax of each row at one column."""
-    top = s.max(1)
-    return s[np.arange(len(s)), own] - top - np.log(np.exp(s - top[:, None]).sum(1))
+def log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of q's scores at one column each; ``q`` has a last column of ones. Blocks fit the cache."""
+    table = np.concatenate([vectors, bias[:, None]], 1)
+    seen = bias > -1e29
+    high = np.sqrt((q[:, :-1] ** 2).sum(1).max(initial=0)) * np.sqrt((vectors[seen] ** 2).sum(1).max(initial=0)) + bias.max(initial=-1e30)
+    out, ones = np.einsum("ns,ns->n", q, table[own]), np.ones(len(table), np.float32)
+    for a in range(0, len(q), ROUND):
+        s = q[a : a + ROUND] @ table.T
+        top = s.max(1, keepdims=True) if high > 80 else np.zeros((1, 1), np.float32)
+        if high > 80:
+            s -= top
+        np.exp(s, out=s)
+        out[a : a + ROUND] -= np.log(s @ ones) + top[:, 0]
+    return out
 
 
-def log_probabilities(p: dict, shape: dict, cls: np.ndarray, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+def log_probabilities(p: dict, shape: dict, cls: np.ndarray, at: np.ndarray, given: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each class after its context, and of the slot in its group."""
-    out, q = np.empty(len(cls)), np.empty((len(cls), SIZE), np.float32)
-    for a in range(0, len(cls), ROUND):
-        part = slice(a, a + ROUND)
-        q[part] = (p["in"][context[part]] * p["place"]).sum(1)
-        out[part] = normalised(q[part] @ p["out"].T + p["bias"], cls[part])
+    q = np.ones((len(cls), SIZE + 1), np.float32)
+    q[:, :SIZE] = predicted(p, *window(given, offset, 0, len(cls), shape["inputs"]))[1]
+    out = log_softmax(q, p["out"], p["bias"], cls).astype(float)
     own = np.flatnonzero(at >= 0)
     own = own[np.argsort(cls[own], kind="stable")]
     cuts = cuts_of(cls[own])
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        for a in range(i, j, ROUND):
-            rows = own[a : min(j, a + ROUND)]
-            low = at[rows[0]] // shape["wide"] * shape["wide"]
-            out[rows] += normalised(q[rows] @ p["slot"][low : low + shape["wide"]].T + p["slot_bias"][low : low + shape["wide"]], at[rows] - low)
+        rows = own[i:j]
+        low = at[rows[0]] // shape["wide"] * shape["wide"]
+        part = slice(low, low + shape["wide"])
+        out[rows] += log_softmax(q[rows], p["slot"][part], p["slot_bias"][part], at[rows] - low)
     return out / np.log(10)
 
 
-def scorer(model: dict, facts: dict, buckets: int, folds: int, held: int):
-    """Chunk of documents and the corpus counts of its words -> scores."""
+def scorer(shared_model, facts: dict, buckets: int, folds: int, held: int):
+    """Chunk of documents and the corpus counts of its words -> scores; ``shared_model``: a broadcast net."""
 
     def run(table: pa.Table, counted: pa.Table) -> pa.Table:
+        model = shared_model.value
         table = sh.ordered(table)
         n = table.num_rows
         hashes, row, uniq, bucket, which = vocabulary(table, buckets)
@@ -357,11 +457,11 @@ def scorer(model: dict, facts: dict, buckets: int, folds: int, held: int):
         known = np.bincount(row, c > 0, minlength=n).astype(np.int64) + (facts["ends"] > 0)
         score, a = np.zeros(n), 0
         while a < n:
-            b = max(a + 1, int(np.searchsorted(np.cumsum(size), (np.cumsum(size)[a - 1] if a else 0) + 200_000)))
+            b = max(a + 1, int(np.searchsorted(np.cumsum(size), (np.cumsum(size)[a - 1] if a else 0) + 400_000)))
             lo, hi = np.searchsorted(row, [a, b])
             shape = model["shape"]
-            cls, at, context, doc, place_ = encode(shape, hashes[lo:hi], row[lo:hi] - a, b - a)
-            log = log_probabilities(model["net"], shape, cls, at, context)
+            cls, at, given, offset, doc, place_ = encode(shape, hashes[lo:hi], row[lo:hi] - a, b - a)
+            log = log_probabilities(model["net"], shape, cls, at, given, offset)
             shared = slot_of(shape, hashes[lo:hi]) - shape["short"] - shape["own"]
             other = shared >= 0
             log[place_[other]] += np.log10((c[lo:hi][other] + 1.0) / model["shared"][shared[other]])
@@ -382,17 +482,19 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, chunk_bytes: int = CHU
     and net come from all documents of the other folds; repeated documents count and are scored each time. Without
     training documents the base is 0 for every text and the net stays untrained.
     """
+    spark = docs.sparkSession
     docs = docs.filter(F.col("doc_id").isNotNull())
     chunks = sh.chunk_count(docs, chunk_bytes)
+    buckets = -(-chunks // CHUNKS_A_BUCKET)
     parts_ = sh.chunked(docs, chunks)
-    sent = parts_.groupBy("chunk").applyInArrow(send_counts(chunks, folds, held), "bucket int, chunk int, data binary, n long")
+    sent = parts_.groupBy("chunk").applyInArrow(send_counts(buckets, folds, held), "bucket int, chunk int, data binary, n long")
     counted = sh.save(sent.groupBy("bucket").applyInArrow(add_counts, COUNTED), "counts")
     told = counted.filter("kind = 1").agg(F.sum("tokens"), F.sum("types")).first()
     training = docs.filter(sh.remainder("doc_id", folds) != held)
     ends = training.count()
     facts = {"ends": ends, "tokens": (told[0] or 0) + ends, "types": (told[1] or 0) + (ends > 0)}
-    model = train(training, counted, told[1] or 0, ends, chunks)
+    model = spark.sparkContext.broadcast(train(training, counted, told[1] or 0, ends, buckets))
     back = counted.filter("kind = 0").select("chunk", "bucket", "data")
     return parts_.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
-        scorer(model, facts, chunks, folds, held), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        scorer(model, facts, buckets, folds, held), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

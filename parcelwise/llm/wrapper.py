@@ -13,8 +13,8 @@ comments, or if most of their characters over all pages are links. If a page has
 result is those.
 
 Counts and joins are keyed by (host, shape, place, text), so no task holds a host: a large host is spread by its texts,
-and pages meet the one row of their shape through ``join_per_key``. STM sees one row per (host, shape), not per page. The
-parsed pages are saved once.
+and pages meet the one row of their shape through ``join_per_key``, or by a broadcast if all rules together count at most
+``SENT`` places and constants. Trees are matched once per (host, shape), not per page. The parsed pages are saved once.
 
 A null or empty page has no text. Pages without a host are judged by their labels only. Repeated rows get equal texts and
 count once as evidence. Equally frequent shapes rank by their hash, equally good wrappers by their rank. Elements nested
@@ -42,6 +42,8 @@ CONSTANT = 0.9
 LEAST = 3
 LINKS = 0.5
 DEEPEST = 150
+#: So many places and constants (some 20 bytes each) are broadcast at most.
+SENT = 500_000
 
 # ---- page to blocks ----------------------------------------------------------------------------------
 
@@ -412,7 +414,10 @@ def extract(pages: DataFrame, keep: list[str], references: int = REFERENCES, con
     keep = [c for c in keep if c != "text"]
     read = sh.save(parsed(pages, keep), "wrapper-pages")
     rules = sh.save(wrapper_rules(read, references, constant, least, links), "wrapper-rules")
-    joined = join_per_key(read.drop("shape__"), rules, ["host__", "shape_id__"])
+    # Few rules go to the pages; more of them are met by key, with the pages of a shape spread.
+    size = rules.agg(F.sum(F.aggregate("rules__", F.lit(0), lambda n, r: n + 1 + F.size(r["fixed"])))).first()[0] or 0
+    key = ["host__", "shape_id__"]
+    joined = read.drop("shape__").join(F.broadcast(rules), key, "left") if size <= SENT else join_per_key(read.drop("shape__"), rules, key)
     role = lambda b: F.expr("1") if b is None else F.get("rules__", b["n"])["role"]
     varying = lambda b: (role(b) != 1) & ~F.array_contains(F.get("rules__", b["n"])["fixed"], b["h"])
     joined = joined.withColumn("blocks__", F.filter("blocks__", varying)).withColumn("main__", F.filter("blocks__", lambda b: role(b) == 2))

@@ -200,9 +200,11 @@ def test_language_model_adds_up():
     shape |= {"short": 9, "own": 700, "known": np.zeros(0, np.uint64), "rank": np.zeros(0, np.int64)}
     shape = lm.shares(shape, np.arange(9), rng.integers(0, 50, 700 + shape["hashed"]), 3)
     p = lm.fresh(shape)
-    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-np.inf))
+    p["slot_bias"] = np.where(shape["slots"] > 0, p["slot_bias"], np.float32(-1e30))
     slots = np.flatnonzero(shape["slots"] > 0)
     cls = np.concatenate([np.arange(10), 10 + slots // shape["wide"]])
     at = np.concatenate([np.full(10, -1), slots])
-    context = np.tile(rng.integers(0, shape["inputs"], lm.CONTEXT), (len(cls), 1))
-    assert math.isclose((10 ** lm.log_probabilities(p, shape, cls, at, context)).sum(), 1, rel_tol=1e-4)
+    lead = lm.CONTEXT  # so many tokens more, so that all others follow the same ones
+    cls, at, given = np.append([0] * lead, cls), np.append([-1] * lead, at), np.full(len(cls) + lead, rng.integers(shape["inputs"]))
+    for offset in (np.full(len(cls), 99), np.zeros(len(cls), int)):
+        assert math.isclose((10 ** lm.log_probabilities(p, shape, cls, at, given, offset))[lead:].sum(), 1, rel_tol=1e-4)
