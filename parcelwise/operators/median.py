@@ -1,22 +1,24 @@
 """Weighted medians and their replicate-weight uncertainty, exact at any group size.
 
-A group may hold a third of all rows, so no step puts a group into one task:
-
-1. rows are reduced to one row per (group, value bucket) with all weights summed side by side, before any group list is
-   taken apart; running weights over the few buckets find the bucket that holds the middle of the weight;
-2. a second scan keeps only the rows of those buckets, under a hundredth of spread-out values, and sums their weights
-   per exact value;
-3. such a bucket is split evenly once more over its own range, so that a group whose values lie close together, or near
-   zero, is spread as well; only the rows of the middle part are put in order.
-
-Buckets are a fixed function of the value (log scale, about 0.4 percent wide), so they need no statistics
-and come out the same in every branch of the plan.
+A group may hold a third of all rows and all its values may lie close together, so no step puts a group into one task, and
+no step sends a row once per weight. It is a radix selection on the 64-bit order of the value (``with_order``):
+
+1. rows are reduced to one row per (group, bucket) with all weights summed side by side, before any group list is taken
+   apart; a bucket is a fixed run of 2 ** ``LOW_BITS`` neighbouring doubles. Running sums of all weights over the buckets
+   find for each weight the bucket that holds its middle;
+2. the rows of the buckets found are reduced once more to ``BINS`` even bins between the smallest and the largest value in
+   the bucket, again with all weights side by side, and the running sums go on inside it;
+3. the bins found hold at most 2 ** 29 neighbouring doubles each (a hundred-millionth of the value) and far fewer that
+   occur; the last pass tells those apart, weights still side by side.
+
+Shuffled rows are bins, at most ``BINS`` for a bucket and block of weights, whatever the number of rows. Weights that have
+their middle in one bin share it: replicates lie close together, so a row moves once and not once per weight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +28,28 @@ from parcelwise.functions.typed import finite
 
 EXACT = "decimal(20,8)"  # survey weights with eight decimals; ties at half the weight stay exact
 WHOLE = "bigint"  # whole-number weights: long sums, faster
-PARTS = 1024  # even parts of a middle bucket
-STEPS = 256  # buckets per factor e
+LOW_BITS = 44  # a first bucket is a run of so many bits' worth of neighbouring doubles, about 0.4 percent wide
+BINS = 1 << 15  # even bins of a bucket
 BLOCK = 16  # weights summed side by side in one row; more weights make more rows, not wider generated code
 
 
-def value_bucket(value: Column, steps: int = STEPS) -> Column:
-    """Order-preserving bucket number; weakly increasing in the value for all finite doubles."""
+def with_order(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the place of a finite double among all doubles: its bits as a number, negative ones mirrored, both
+    zeros 0. Each step is a column of its own, so it is computed once."""
+    a = F.abs(F.col(value))
+    rows = rows.withColumn("_e", F.floor(F.log2(a)).cast("int"))
+    # a / 2 ** e, exact since powers of two are; the logarithm may be one off
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    half = F.floor(F.col("_e") / 2).cast("int")
+    common = F.col("_e").between(0, 62)
+    rows = rows.withColumn("_s", F.when(common, a / F.expr("shiftleft(1L, _e)").cast("double")).otherwise(a * two(-half) * two(half - F.col("_e"))))
+    low, high = F.col("_s") < 1, F.col("_s") >= 2
+    part = F.when(low, F.col("_s") * 2).when(high, F.col("_s") / 2).otherwise(F.col("_s"))
+    bits = F.shiftleft((F.col("_e") + F.when(low, 1022).when(high, 1024).otherwise(1023)).cast("bigint"), 52) + ((part - 1) * float(2**52)).cast("bigint")
+    tiny = (a * float(2.0**537) * float(2.0**537)).cast("bigint")
     # never null, so the joins on it add no filter and the plan branches stay equal
-    return F.coalesce((F.signum(value) * F.floor(F.log1p(F.abs(value)) * steps)).cast("bigint"), F.lit(0))
+    order = F.coalesce(F.when(a >= 2.0**-1022, bits).otherwise(tiny), F.lit(0).cast("bigint"))
+    return rows.withColumn(name, order).withColumn(name, F.when(F.col(value) < 0, -F.col(name)).otherwise(F.col(name))).drop("_e", "_s")
 
 
 def usable_weight(weight: Column, kind: str) -> Column:
@@ -83,12 +98,13 @@ def weighted_rows(
     n_replicates: int = 0, kind: str = EXACT, explode: Sequence[str] = (),
 ) -> Weighted:
     """Rows ready for ``medians``; ``value`` must not be null."""
-    return Weighted(rows.withColumn("_v", value).withColumn("_k", value_bucket(F.col("_v"))), weight, replicates,
-                    n_replicates, kind, tuple(explode))
+    ordered = with_order(rows.withColumn("_v", value.cast("double")), "_v", "_o").withColumn("_k", F.shiftright("_o", LOW_BITS))
+    return Weighted(ordered, weight, replicates, n_replicates, kind, tuple(explode))
 
 
-def sum_by_bucket(w: Weighted, by: Sequence[str]) -> DataFrame:
-    """One row per (group, weight block, bucket): summed weights ``_w0..``, ``_bad``, the invalid rows, and the range.
+def sum_by_bin(w: Weighted, by: Sequence[str], bins: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, bins, weight block): summed weights ``_w0..``, ``_bad``, the invalid rows, and the range of the
+    values. Columns to ``carry`` are the same in all rows of a bin.
 
     A row is invalid when one of its replicate weights is missing, not finite or negative. Lists of groups are
     part of the key until the rows are reduced. The code per weight is kept short: a generated method over 8 kB is
@@ -107,7 +123,7 @@ def sum_by_bucket(w: Weighted, by: Sequence[str]) -> DataFrame:
         if n > 1 and (blocks - 1) * width + i >= n:  # the last block may be shorter
             x = F.when(k < n, x).otherwise(0)
         cells.append(x.try_cast("double").alias(f"_x{i}"))
-    slim = slim.select(*by, "_blk", "_k", "_v", *cells)
+    slim = slim.select(*by, *bins, *carry, "_blk", "_v", "_o", *cells)
     xs = [F.col(f"_x{i}") for i in range(width)]
     bad = F.lit(False)
     if w.n_replicates:
@@ -118,15 +134,16 @@ def sum_by_bucket(w: Weighted, by: Sequence[str]) -> DataFrame:
         low = F.least(*xs) if width > 1 else xs[0]
         bad = F.coalesce(~((total < float("inf")) & (low >= 0)), F.lit(True))
     ws = [f"_w{i}" for i in range(width)]
-    out = slim.groupBy(*by, "_blk", "_k").agg(
+    key = [*by, *bins, "_blk"]
+    out = slim.groupBy(*key).agg(
         *[F.sum(usable_weight(x, w.kind)).alias(name) for x, name in zip(xs, ws, strict=True)],
-        F.count_if(bad).alias("_bad"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        F.count_if(bad).alias("_bad"), F.min("_v").alias("_lo"), F.min("_o").alias("_first_o"), F.max("_o").alias("_last_o"), *[F.first(c).alias(c) for c in carry])
     if not w.explode:
         return out
     for d in w.explode:
         out = out.withColumn(d, F.explode(d))
-    return out.groupBy(*by, "_blk", "_k").agg(
-        *[F.sum(x).alias(x) for x in ws], F.sum("_bad").alias("_bad"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return out.groupBy(*key).agg(
+        *[F.sum(x).alias(x) for x in ws], F.sum("_bad").alias("_bad"), F.min("_lo").alias("_lo"), F.min("_first_o").alias("_first_o"), F.max("_last_o").alias("_last_o"))
 
 
 def same_groups(by: Sequence[str], prefix: str) -> Column:
@@ -137,61 +154,67 @@ def same_groups(by: Sequence[str], prefix: str) -> Column:
     return same
 
 
+def middles(bins: DataFrame, by: Sequence[str], path: Sequence[str], bin_: str, kind: str) -> DataFrame:
+    """For each weight number ``_r`` the bins (one, or two at exactly half) that its running sum crosses half in.
+
+    Without ``path`` the bins are the whole group; below that they start from ``_start`` and cross half of ``_totals``, lists
+    by weight number that are null where a weight has its middle elsewhere. All weights of a row run in one window.
+    """
+    big = "decimal(34,8)" if kind == EXACT else kind
+    ws = [c for c in bins.columns if c.startswith("_w")]
+    window = f"over (partition by {', '.join(f'`{c}`' for c in [*by, *path, '_blk'])} order by {bin_} rows between unbounded preceding and"
+    sums = [f"cast(sum({x}) {window} current row) as {big}) as _run{i}" for i, x in enumerate(ws)]
+    if not path:
+        sums += [f"cast(sum({x}) {window} unbounded following) as {big}) as _all{i}" for i, x in enumerate(ws)]
+        sums.append(f"sum(_bad) {window} unbounded following) as _invalid")
+
+    def reach(i: int) -> str:
+        number = f"cast(_blk * {len(ws)} + {i} as int)"
+        start, total = (f"get(_start, {number})", f"get(_totals, {number})") if path else ("0", f"_all{i}")
+        return f"named_struct('_r', {number}, '_w', cast({ws[i]} as {big}), '_before', cast({start} + _run{i} - {ws[i]} as {big}), '_total', {total})"
+
+    crossing = f"filter(array({', '.join(map(reach, range(len(ws))))}), x -> x._w > 0 and (x._before + x._w) * 2 >= x._total and x._before * 2 <= x._total)"
+    return bins.selectExpr("*", *sums).selectExpr(*[f"`{c}`" for c in by], "_k", "_first_o", "_last_o", "_lo", "_invalid", f"inline({crossing})")
+
+
+def wanted(hits: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """One row per group and bin found: its range, and start and total of the weights that have their middle in it."""
+    at = F.map_from_entries(F.collect_list(F.struct("_r", F.struct("_before", "_total"))))
+    found = hits.groupBy(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_k").alias("_m_k"), "_first_o", "_last_o").agg(
+        F.max("_invalid").alias("_invalid"), at.alias("_at"))
+    listed = lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.try_element_at("_at", r)[f])
+    return found.select(*[f"_m_{c}" for c in by], "_m_k", F.col("_first_o").alias("_from"), F.col("_last_o").alias("_to"), "_invalid",
+                        listed("_before").alias("_start"), listed("_total").alias("_totals"))
+
+
 def medians(w: Weighted, by: Sequence[str]) -> DataFrame:
     """Weighted median per group and weight number.
 
     ``_m`` is the median (the mean of this and the next value when the running weight hits exactly half),
     ``_first`` the first value that reaches half. Other columns: ``by``, ``_r`` (weight number), ``_bad``.
     """
-    by = list(by)
-    buckets = sum_by_bucket(w, by)
-    ws = [c for c in buckets.columns if c.startswith("_w")]
-    buckets = buckets.select(*by, "_blk", "_k", "_bad", "_lo", "_hi", F.posexplode(F.array(*ws)).alias("_i", "_w")).select(
-        *by, (F.col("_blk") * len(ws) + F.col("_i")).alias("_r"), "_k", "_bad", "_lo", "_hi", "_w")
-    # one order for all windows of a step, so that each step sorts once
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
-    by_bucket = Window.partitionBy(*by, "_r").orderBy("_k")
-    whole = by_bucket.rowsBetween(first, last)
-    reaches = "_w > 0 and _cum * 2 >= _total and _before * 2 <= _total"
-    middle = (
-        buckets.withColumn("_cum", F.sum("_w").over(by_bucket.rowsBetween(first, Window.currentRow)))
-        .withColumn("_total", F.sum("_w").over(whole)).withColumn("_bad", F.sum("_bad").over(whole))
-        .withColumn("_before", F.col("_cum") - F.col("_w")).where(reaches)
-    )
-    # one row per group and middle bucket with the weight numbers that need it, at most all of them
-    wanted = middle.groupBy(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_k").alias("_m_k")).agg(
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list(F.struct("_r", "_total", "_before", "_bad")).alias("_need"))
+    by, n = list(by), w.n_replicates + 1
+    hits = middles(sum_by_bin(w, by, ["_k"]), by, [], "_k", w.kind)
     rows = w.rows
     for d in w.explode:
         rows = rows.withColumn(d, F.explode(d))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)))
-    met = rows.join(wanted, same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k"))).select(
-        "*", F.coalesce(part, F.lit(0)).cast("int").alias("_p"), F.explode("_need").alias("_n")).select("*", F.col("_n._r").alias("_r"))
-    # with the same columns in the same order Spark runs these shared sums once and reuses their shuffle
-    values = met.groupBy(*by, "_r", "_k", "_p", "_v").agg(
-        F.sum(usable_weight(w.at(F.col("_r")), w.kind)).alias("_w"), F.max("_n._total").alias("_total"), F.max("_n._before").alias("_start"),
-        F.max("_n._bad").alias("_bad")).where("_w > 0")
-    by_part = Window.partitionBy(*by, "_r").orderBy("_k", "_p")
-    parts = (
-        values.groupBy(*by, "_r", "_k", "_p").agg(F.sum("_w").alias("_w"), F.max("_total").alias("_total"), F.max("_start").alias("_start"), F.max("_bad").alias("_bad"))
-        .withColumn("_cum", F.min("_start").over(by_part.rowsBetween(first, last)) + F.sum("_w").over(by_part.rowsBetween(first, Window.currentRow)))
-        .withColumn("_before", F.col("_cum") - F.col("_w")).where(reaches)
-        .select(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_r").alias("_m_r"), F.col("_k").alias("_m_k"), F.col("_p").alias("_m_p"), "_before")
-    )
-    same = same_groups(by, "_m_") & (
-        F.col("_r") == F.col("_m_r")) & (F.col("_k") == F.col("_m_k")) & (F.col("_p") == F.col("_m_p"))
-    inner = values.join(parts, same).select(*by, "_r", "_v", "_w", "_bad", "_total", "_before")
-    by_value = Window.partitionBy(*by, "_r").orderBy("_v")
-    inner = (
-        inner.withColumn("_cum", F.min("_before").over(by_value.rowsBetween(first, last)) + F.sum("_w").over(
-            by_value.rowsBetween(first, Window.currentRow)))
-        .withColumn("_next", F.lead("_v").over(by_value))
-        .where("_cum * 2 >= _total")
-    )
-    tie = (F.col("_cum") * 2 == F.col("_total")) & F.col("_next").isNotNull()
-    at = F.when(tie, (F.col("_v") + F.col("_next")) / 2).otherwise(F.col("_v"))
-    return inner.groupBy(*by, "_r").agg(
-        F.min_by(at, "_v").alias("_m"), F.min("_v").alias("_first"), F.max("_bad").alias("_bad"))
+    # integer arithmetic, at most 2 ** LOW_BITS times BINS; in the end each double is a bin
+    for step, part in enumerate((f"(_o - _from) * {BINS} div (_to - _from + 1)", "_o - _from")):
+        need = wanted(hits, by, n)
+        lists = ["_start", "_totals", "_invalid"]
+        # All rows of a bucket may be wanted in the first pass, so the lists join its bins; later there are few.
+        carry = lists if step else []
+        met = rows.join(need.drop(*([] if step else lists)), same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k")) & F.col("_o").between(F.col("_from"), F.col("_to")))
+        met = met.withColumn("_p", F.expr(part)).drop(*[f"_m_{c}" for c in by], "_m_k")
+        bins = sum_by_bin(replace(w, rows=met, explode=()), by, ["_k", "_from", "_p"], carry)
+        if not step:
+            bins = bins.join(need.select(*[f"_m_{c}" for c in by], "_m_k", F.col("_from").alias("_m_from"), *lists), same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k")) & (F.col("_from") == F.col("_m_from"))).drop(*[f"_m_{c}" for c in by], "_m_k", "_m_from")
+        hits = middles(bins, by, ["_k", "_from"], "_p", w.kind)
+    # bins are values now: one that reaches half, and the next one at exactly half
+    return hits.groupBy(*by, "_r").agg(
+        F.min_by((F.col("_before") + F.col("_w")) * 2 == F.col("_total"), "_first_o").alias("_half"),
+        F.min("_lo").alias("_first"), F.max("_lo").alias("_next"), F.max("_invalid").alias("_bad"),
+    ).withColumn("_m", F.when(F.col("_half"), (F.col("_first") + F.col("_next")) / 2).otherwise(F.col("_first"))).drop("_half", "_next")
 
 
 def weighted_median(

@@ -90,6 +90,21 @@ def _(spark, sf):
     return med.weighted_median(band.unionByName(tiny), ["what"], "v", "l_quantity", kind=med.WHOLE)
 
 
+_CLOSE_UNC = UNC_SQL.format(by="l_returnflag", n=N_REPS, meds=median_sql(
+    f"""select l_returnflag, r, 1000 + l_extendedprice / 131072 as v,
+               (case when r = 0 then l_quantity else {replicate_sql('l_quantity', 'l_orderkey', 'l_partkey')} end)::bigint as w
+        from lineitem, range({N_REPS + 1}) t(r)""", "l_returnflag, r"))
+
+
+@R.add("q_replicates_close", "select l_returnflag, point, replicates_used, round(variance * 1e9, 4) as variance from (" + _CLOSE_UNC + ")")
+def _(spark, sf):
+    """All values of a group in a band of a tenth of a percent, with 80 replicate weights."""
+    li = table(spark, sf, "lineitem").withColumn("v", F.col("l_extendedprice") / 131072 + 1000)
+    reps = numbered_weights(F.col("l_quantity"), F.col("l_orderkey"), F.col("l_partkey"))
+    got = med.median_uncertainty(li, ["l_returnflag"], "v", "l_quantity", reps, N_REPS, multiplier=0.05, critical=1.96, kind=med.WHOLE)
+    return got.select("l_returnflag", "point", "replicates_used", F.round(F.col("variance") * 1e9, 4).alias("variance"))
+
+
 @R.add("q_unweighted_median", """
     select 'line' as what, median(l_extendedprice) as median from lineitem
     union all select 'order', median(o_totalprice) from orders""")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 from decimal import Decimal
 
 import pytest
@@ -45,11 +46,32 @@ def test_random_groups(spark, midpoint):
     assert got == {g: m for g, m in want.items() if m is not None}
 
 
-def test_bucket_order(spark):
+def test_value_order(spark):
     rng = random.Random(5)
-    values = sorted([rng.uniform(-1e9, 1e9) for _ in range(500)] + [rng.uniform(-2, 2) for _ in range(500)] + [0.0, 1e300, -1e300])
-    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(med.value_bucket(F.col("v"))).collect()]
-    assert got == sorted(got)
+    values = [0.0, -0.0, 5e-324, 2.0**-1022, math.nextafter(2.0**-1022, 0), 1e-310, 1.7976931348623157e308, 1e300] + [2.0**e for e in range(-1074, 1024)]
+    values += [math.nextafter(2.0**e, d) for e in range(-1074, 1024) for d in (0, math.inf)] + [rng.uniform(0, 10.0**rng.randint(-300, 300)) for _ in range(3000)]
+    values = [s * v for v in values if v < math.inf for s in (1, -1)]
+    bits = lambda v: (struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (1 if v >= 0 else -1))
+    rows = med.with_order(spark.createDataFrame([(v,) for v in values], "v double"), "v", "o").collect()
+    assert all(r[1] == bits(r[0]) for r in rows), [(r[0], r[1], bits(r[0])) for r in rows if r[1] != bits(r[0])][:5]
+
+
+def test_medians_of_neighbouring_doubles(spark):
+    """Groups whose values are a few doubles apart, spread over all magnitudes, or both, with many weights."""
+    rng = random.Random(11)
+    near = [1000.0]
+    for _ in range(40):
+        near.append(math.nextafter(near[-1], math.inf))
+    groups = {1: near, 2: [rng.uniform(1000, 1000.5) for _ in range(60)], 3: [10.0**e for e in range(-300, 300, 7)], 4: [5.0], 5: [1000.0, 1e-320, 2e-320, 1e-3, *near[:3]]}
+    rows = [(g, v, float(rng.randint(1, 4)), [float(rng.randint(0, 3)) for _ in range(20)]) for g, vs in groups.items() for v in vs for _ in range(3)]
+    df = spark.createDataFrame(rows, "g int, v double, w double, r array<double>")
+    ready = med.weighted_rows(df, F.col("v"), F.col("w"), F.col("r"), 20, med.WHOLE)
+    got = {(x["g"], x["_r"]): (x["_m"], x["_first"]) for x in med.medians(ready, ["g"]).collect() if x["_r"] <= 20}
+    for g in groups:
+        for r in range(21):
+            pairs = [(v, w if r == 0 else reps[r - 1]) for k, v, w, reps in rows if k == g]
+            want = (model(pairs, True), model(pairs, False))
+            assert got.get((g, r), (None, None)) == want, (g, r)
 
 
 def test_variance(spark):
