@@ -1,6 +1,8 @@
 """Resolution, selection, joins with frequent keys, spatial and text operators against small models."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +217,45 @@ def test_overlap_shares(spark):
     # 6 x 6 less the 2 x 2 of the hole; a strip two wide of mean height five; half of the other triangle; a corner
     assert {(r["subject_id"], r["area_id"]): round(r["share"], 6) for r in got.collect()} == {
         (1, 1): 32 / 64, (1, 2): 10 / 64, (2, 2): 0.5, (3, 3): 0.25}
+
+
+def star(rng, corners, x, y, size, least=0.3):
+    """A simple polygon around a point: corners by angle at random distances."""
+    return [[x + size * d * math.cos(2 * math.pi * i / corners), y + size * d * math.sin(2 * math.pi * i / corners)]
+            for i, d in enumerate(rng.uniform(least, 1) for _ in range(corners))]
+
+
+@pytest.mark.parametrize("dense", [None, 3])
+def test_cover_of_polygons(spark, dense):
+    rng = random.Random(4)
+    shape = "array<array<array<array<double>>>>"
+    areas = [(i, [[star(rng, rng.choice([3, 7, 200]), rng.uniform(-20, 20), rng.uniform(-20, 20), rng.uniform(0.5, 15))]]) for i in range(12)]
+    areas[0] = (0, [[[[-9.0, -9.0], [9.0, -9.0], [9.0, 9.0], [-9.0, 9.0]], [[-3.0, -3.0], [3.0, -3.0], [0.0, 3.0]]], [[[20.0, 20.0], [24.0, 20.0], [22.0, 26.0]]]])
+    polygons = spark.createDataFrame(areas, f"area_id int, parts {shape}")
+    pts = [(i, rng.uniform(-30, 30), rng.uniform(-30, 30)) for i in range(1500)]
+    points = spark.createDataFrame(pts, "subject_id int, x double, y double")
+    got = sorted(map(tuple, spatial.points_in_polygons(points, polygons, 4.0, dense=dense).select("subject_id", "area_id").collect()))
+    whole = points.crossJoin(polygons).where(spatial.polygon_contains(F.col("parts"), F.col("x"), F.col("y")))
+    assert got == sorted(map(tuple, whole.select("subject_id", "area_id").collect())) and len(got) > 300
+
+
+def test_overlap_of_detailed_polygons(spark):
+    rng = random.Random(9)
+    shape = "array<array<array<array<double>>>>"
+    big = [(1, [[star(rng, 10_000, 0.0, 0.0, 10.0, 0.99)]])]
+    other = [(7, 1, [[star(rng, 10_000, 3.0, 1.0, 10.0, 0.99)]]), (8, 2, [[star(rng, 40, 3.0, 1.0, 10.0), star(rng, 9, 3.0, 1.0, 2.0)]])]
+    few = [(2, [[star(rng, 30, 0.0, 0.0, 10.0)]])]
+    own = spark.createDataFrame(big + few, f"subject_id int, parts {shape}")
+    areas = spark.createDataFrame(other, f"area_id int, area_order int, parts {shape}")
+    start = time.perf_counter()
+    got = {(r.subject_id, r.area_id): r.share for r in spatial.overlaps(own, areas, 5.0).collect()}
+    assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and time.perf_counter() - start < 90
+
+    def inside(parts, n=300):  # the share by a fine grid
+        def has(ring, x, y):
+            return sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:] + ring[:1])) % 2
+        return [[bool(has(parts[0][0], x, y)) and not any(has(h, x, y) for h in parts[0][1:]) for x in (i * 20 / n - 10 for i in range(n))] for y in (i * 20 / n - 10 for i in range(n))]
+
+    a, b = inside(few[0][1], 150), inside(other[1][2], 150)
+    both, mine = sum(p and q for r, s in zip(a, b) for p, q in zip(r, s)), sum(map(sum, a))
+    assert abs(got[2, 8] - both / mine) < 0.02
