@@ -162,13 +162,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, key:
 def signed_edges(parts: Column) -> Column:
     """Edges (x1, y1, x2, y2 with x1 < x2, sign) of all rings. A polygon is the sum of the areas under its edges, each
     times its sign: against the direction of the edge, turned for clockwise rings and again for holes."""
-    def of_ring(ring: Column, hole: Column) -> Column:
+    def turned(ring: Column, hole: Column) -> Column:
         before = lambda i: F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
         twice = F.aggregate(F.transform(ring, lambda p, i: before(i)[0] * p[1] - p[0] * before(i)[1]), F.lit(0.0), lambda a, x: a + x)
-        turn = F.signum(twice) * F.when(hole, -1.0).otherwise(1.0)
+        return F.struct(ring.alias("ring"), (F.signum(twice) * F.when(hole, -1.0).otherwise(1.0)).alias("turn"))
+
+    def of_ring(r: Column) -> Column:
+        ring, turn = r["ring"], r["turn"]
 
         def edge(p: Column, i: Column) -> Column:
-            q = before(i)
+            q = F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
             right = p[0] > q[0]
             side = lambda k, first: F.when(right == F.lit(first), q[k]).otherwise(p[k])
             return F.struct(side(0, True).alias("x1"), side(1, True).alias("y1"), side(0, False).alias("x2"), side(1, False).alias("y2"),
@@ -176,7 +179,8 @@ def signed_edges(parts: Column) -> Column:
 
         return F.filter(F.transform(ring, edge), lambda e: e["sign"] != 0)
 
-    return F.flatten(F.transform(parts, lambda rings: F.flatten(F.transform(rings, lambda ring, i: of_ring(ring, i > 0)))))
+    # the direction of a ring is found once, before its edges
+    return F.flatten(F.transform(parts, lambda rings: F.flatten(F.transform(F.transform(rings, lambda ring, i: turned(ring, i > 0)), of_ring))))
 
 
 def polygon_area(edges: Column) -> Column:

@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BLOCK = 1 << 20
+
+
 def inventory(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """Relative path, sha256 of the bytes and length of every file under a folder."""
+    """Relative path, sha256 of the bytes and length of every file under a folder.
+
+    The paths are those of Spark's own file listing, which reads no content and holds empty files too. They are dealt to
+    tasks, and each task reads its files block by block through PyArrow's file systems and hashes on the way, so a file of
+    any size takes one block of memory and is never a value in a row.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     # the part of the qualified path after the folder, cut once at the front
     root = folder.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    path = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
-    return reader.load(folder).select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
+    files = spark.createDataFrame([(unquote(uri),) for uri in reader.load(folder).inputFiles()], "uri string")
+    path = F.expr(f"substring(uri, locate('{root}', uri) + {len(root)})")
+    # one row a file: dealt by hash, so large files that lie together don't meet in one task
+    return files.select(path.alias("path"), "uri").repartition("uri").mapInArrow(hashed, "path string, sha256 string, byte_length long")
+
+
+def hashed(batches):
+    """The files of a task one by one."""
+    for batch in batches:
+        found = [stream_sha256(uri) for uri in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                                         names=["path", "sha256", "byte_length"])
+
+
+def stream_sha256(uri: str) -> tuple[str, int]:
+    """sha256 and number of the bytes behind a qualified path, read in blocks."""
+    scheme, _, rest = uri.partition(":")
+    store, place = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(uri)
+    digest, size = hashlib.sha256(), 0
+    with store.open_input_stream(place, compression=None, buffer_size=BLOCK) as stream:
+        while block := stream.read(BLOCK):
+            digest.update(block)
+            size += len(block)
+    return digest.hexdigest(), size
 
 
 def receipts(files: DataFrame, source_id: str, retrieved_at) -> DataFrame:

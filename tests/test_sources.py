@@ -97,3 +97,22 @@ def test_inventory_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     sinks.write_products({"index": sinks.package(df, "k", ["v"])}, str(tmp_path / "j"))
     assert {r["key"]: r["attributes"]["v"] for r in spark.read.json(str(tmp_path / "j" / "index")).collect()} == {"z": 1, "y": 2}
+
+
+def test_inventory_of_large_files(spark, tmp_path):
+    """A sparse file of 3 GB, more than a value in a row can hold, an odd name and an empty file."""
+    folder = tmp_path / "large"
+    (folder / "sub dir").mkdir(parents=True)
+    size, digest = 3 << 30, hashlib.sha256()
+    with open(folder / "sparse.bin", "wb") as f:
+        f.seek(size - 4)
+        f.write(b"tail")
+    zero = bytes(1 << 24)
+    for _ in range(size // len(zero) - 1):
+        digest.update(zero)
+    digest.update(zero[:-4] + b"tail")
+    (folder / "sub dir" / "a %20é.txt").write_bytes(b"abc")
+    (folder / "none").write_bytes(b"")
+    rows = {r["path"]: (r["sha256"], r["byte_length"]) for r in receipts.inventory(spark, str(folder)).collect()}
+    assert rows == {"sparse.bin": (digest.hexdigest(), size), "none": (hashlib.sha256().hexdigest(), 0),
+                    "sub dir/a %20é.txt": (hashlib.sha256(b"abc").hexdigest(), 3)}
