@@ -55,11 +55,11 @@ def _(spark, sf):
 
 @R.add("q_reconcile", """
     select coalesce(a.k, b.k) as k, case when a.k is not null and b.k is not null then 'matched' when a.k is not null then 'left_only' else 'right_only' end as status
-    from (select distinct o_custkey as k from orders where o_custkey % 3 <> 0) a
-    full join (select c_custkey as k from customer where c_custkey % 5 <> 0) b on a.k = b.k""")
+    from (select distinct case when o_custkey % 3 = 0 then -o_custkey else o_custkey end as k from orders) a
+    full join (select case when c_custkey % 5 = 0 then -7 * c_custkey else c_custkey end as k from customer) b on a.k = b.k""")
 def _(spark, sf):
-    a = table(spark, sf, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("k"))
-    b = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"))
+    a = table(spark, sf, "orders").selectExpr("case when o_custkey % 3 = 0 then -o_custkey else o_custkey end as k")
+    b = table(spark, sf, "customer").selectExpr("case when c_custkey % 5 = 0 then -7 * c_custkey else c_custkey end as k")
     return joins.reconcile(a, b, "k")
 
 

@@ -107,14 +107,14 @@ def _(spark, sf):
 
 
 @R.add("q_attribute_merge", """
-    with a as (select c_custkey as id, case when c_custkey % 3 = 0 then null else c_name end as name, c_acctbal as units from customer where c_custkey % 5 <> 0),
+    with a as (select case when c_custkey % 5 = 0 then -c_custkey else c_custkey end as id, case when c_custkey % 3 = 0 then null else c_name end as name, c_acctbal as units from customer),
          b as (select s_suppkey as id, s_name as name, case when s_suppkey % 2 = 0 then null else s_acctbal end as units, s_suppkey % 4 = 0 as won from supplier)
     select coalesce(a.id, b.id) as id, case when coalesce(won, false) then coalesce(b.name, a.name) else coalesce(a.name, b.name) end as name,
            case when coalesce(won, false) then coalesce(b.units, a.units) else coalesce(a.units, b.units) end as units
     from a full join b on a.id = b.id""")
 def _(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(
-        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("units"))
+    a = table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 5 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("units"))
     b = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 != 0, F.col("s_acctbal")).alias("units"))
     won = F.coalesce((F.col("id") % 4 == 0) & (F.col("_b_name").isNotNull()), F.lit(False))

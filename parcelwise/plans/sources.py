@@ -16,10 +16,10 @@ BEDS = (0, 1, 2, 3, 4)
 
 
 def limits_table(spark, sf) -> DataFrame:
-    """One row per supplier with a text column for each of five line numbers; some cells are empty or not numbers."""
+    """One row per supplier with a text column for each of five remainders of the line number; some cells are empty or not numbers."""
     li, s, n, r = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation", "region"))
-    per = li.where("l_linenumber <= 5").groupBy("l_suppkey").pivot("l_linenumber", [b + 1 for b in BEDS]).agg((F.max("l_extendedprice") / 8).alias("v"))
-    cell = lambda b: F.when(F.col("l_suppkey") % 9 == b, "n/a").otherwise(F.col(str(b + 1)).cast("string"))
+    per = li.withColumn("bed", (F.col("l_linenumber") - 1) % len(BEDS)).groupBy("l_suppkey").pivot("bed", list(BEDS)).agg((F.max("l_extendedprice") / 8).alias("v"))
+    cell = lambda b: F.when(F.col("l_suppkey") % 9 == b, "n/a").otherwise(F.col(str(b)).cast("string"))
     return per.join(s, per.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
         (F.col("l_suppkey") * 7).cast("string").alias("ZIP Code"), F.concat(F.lit(" A"), F.col("n_nationkey").cast("string")).alias("HUD Area  Code"),
         F.concat("n_name", F.lit(", "), "r_name", F.lit(" ")).alias("Area Name"), *[cell(b).alias(f"SAFMR {b}BR") for b in BEDS])
@@ -27,7 +27,7 @@ def limits_table(spark, sf) -> DataFrame:
 
 _LIMITS = """
     lim as (
-      select l_suppkey as k, l_linenumber - 1 as bedroom, max(l_extendedprice) / 8 as v from lineitem where l_linenumber <= 5 group by all),
+      select l_suppkey as k, (l_linenumber - 1) % 5 as bedroom, max(l_extendedprice) / 8 as v from lineitem group by all),
     limits as (
       select case when length((k * 7)::varchar) < 5 then lpad((k * 7)::varchar, 5, '0') else (k * 7)::varchar end as zip, 'A' || n_nationkey as area_code,
              n_name || ', ' || r_name as area_name, bedroom::int as bedroom, round_even(v, 0)::bigint as value
@@ -132,9 +132,9 @@ def _(spark, sf):
 
 
 @R.add("q_bedroom_observations", """
-    select l_suppkey as area_id, (l_linenumber - 1)::int as m_bedroom, max(l_extendedprice) as m_value from lineitem where l_linenumber <= 5 group by all""")
+    select l_suppkey as area_id, ((l_linenumber - 1) % 5)::int as m_bedroom, max(l_extendedprice) as m_value from lineitem group by all""")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 5")
-    wide = li.groupBy(F.col("l_suppkey").alias("area_id")).pivot("l_linenumber", [b + 1 for b in BEDS]).agg(F.max("l_extendedprice"))
-    wide = wide.select("area_id", *[F.col(str(b + 1)).alias(f"b{b}") for b in BEDS])
+    li = table(spark, sf, "lineitem").withColumn("bed", (F.col("l_linenumber") - 1) % len(BEDS))
+    wide = li.groupBy(F.col("l_suppkey").alias("area_id")).pivot("bed", list(BEDS)).agg(F.max("l_extendedprice"))
+    wide = wide.select("area_id", *[F.col(str(b)).alias(f"b{b}") for b in BEDS])
     return compare.observation_rows(wide, "area_id", {b: f"b{b}" for b in BEDS}).select("area_id", "m_bedroom", "m_value")

@@ -428,6 +428,7 @@ def _(spark, sf):
 
 _PEOPLE, _BEDS = ["1", "2", "3", "4+"], ["0", "1", "2", "3", "4+"]
 _SHARE_REPS = 8
+_PRIORITIES = ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW")
 
 
 def share_frame(spark, sf) -> DataFrame:
@@ -439,7 +440,7 @@ def share_frame(spark, sf) -> DataFrame:
         (F.col("o_orderkey") % 9 + 1).cast("double").alias("w"),
         replicate_weights((F.col("o_orderkey") % 9 + 1), F.col("o_orderkey"), F.col("o_custkey"), _SHARE_REPS).alias("reps"))
     region, pri = F.col("n_regionkey"), F.col("o_orderpriority")
-    groups = {"grp": {"urgent": pri == "1-URGENT", "high": pri == "2-HIGH"},
+    groups = {"grp": {name.lower(): pri == f"{i}-{name}" for i, name in enumerate(_PRIORITIES, 1)},
               "geography_id": {"all": region.isNotNull(), "r0": region == 0, "r1": region == 1, "nowhere": region == 9}}
     parts = {"people": (typed.size_bucket(F.col("lines"), 1, 13), _PEOPLE), "bedrooms": (typed.size_bucket(F.col("beds"), 0, 6), _BEDS)}
     return cel.joint_shares(rows, groups, parts, "w", F.col("reps"), cel.Replicates(_SHARE_REPS), kind=med.WHOLE)
@@ -448,13 +449,12 @@ def share_frame(spark, sf) -> DataFrame:
 _SHARE_SQL = f"""
     ol as (select l_orderkey, count(*) as lines, sum(l_quantity) as qty from lineitem group by 1),
     srows as (
-      select case when o_orderpriority = '1-URGENT' then 'urgent' else 'high' end as grp,
+      select lower(substr(o_orderpriority, 3)) as grp,
              unnest(list_filter(['all', case when n_regionkey in (0, 1) then 'r' || n_regionkey end], lambda x: x is not null)) as geography_id,
              case when lines between 1 and 13 then case when lines < 4 then lines::varchar else '4+' end end as people,
              case when floor(qty / 40) between 0 and 6 then case when qty < 160 then floor(qty / 40)::int::varchar else '4+' end end as bedrooms,
              o_orderkey % 9 + 1 as w, o_orderkey as a, o_custkey as b
-      from orders join ol on o_orderkey = l_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-      where o_orderpriority in ('1-URGENT', '2-HIGH')),
+      from orders join ol on o_orderkey = l_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
     valid as (select * from srows where people is not null and bedrooms is not null),
     den as (select grp, geography_id, count(*) as group_n, sum(w) as d from valid group by all),
     mis as (select grp, geography_id, count(*) as missing_n, sum(w) as missing_weight from srows where people is null or bedrooms is null group by all),
@@ -471,7 +471,7 @@ _SHARE_SQL = f"""
              d is not null and x is null as none_observed, coalesce(missing_n, 0) as missing_n, coalesce(missing_weight, 0)::double as missing_weight,
              case when d is null then 'unavailable' when x is null then 'none_observed'
                   when cell_n < 30 or sqrt(v) / (x / d) > 0.3 then 'use_with_caution' else 'reliable' end as reliability
-      from (select * from (select unnest(['urgent','high']) as grp), (select unnest(['all','r0','r1','nowhere']) as geography_id),
+      from (select * from (select unnest(['urgent','high','medium','not specified','low']) as grp), (select unnest(['all','r0','r1','nowhere']) as geography_id),
            (select unnest(['1','2','3','4+']) as people), (select unnest(['0','1','2','3','4+']) as bedrooms))
       left join den using (grp, geography_id) left join mis using (grp, geography_id)
       left join num using (grp, geography_id, people, bedrooms) left join var using (grp, geography_id, people, bedrooms))"""
