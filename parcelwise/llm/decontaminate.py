@@ -1,9 +1,11 @@
 """Operator 2: finds passages of a benchmark in documents by suffix arrays and removes the affected documents.
 
 Each batch of documents is a shard with a suffix array over word numbers: all positions whose word occurs in the
-benchmark, in the order of their next ``window`` words (the others can't start a match). Every suffix of every
-benchmark text is binary-searched in it; the range it finds holds all places that agree with it in a whole window.
-Matches on one diagonal are joined to the longest verbatim match, with its place in the document and the item.
+benchmark, in the order of their next ``window`` words and then of the word before them (the others can't start a
+match). Every suffix of every benchmark text is binary-searched in it; the range it finds holds all places that agree with
+it in a whole window. Those of them with the same word before continue a match that began earlier, and they lie together in
+the range; so only beginnings are taken out, and each is extended to the longest verbatim match by comparing prefix hashes
+of word numbers. Memory follows the number of longest matches, also where one word repeats in item and document.
 
 Nothing is shuffled. The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text; with more than one block
 the documents pass once per block, the marks so far saved in between.
@@ -41,7 +43,9 @@ def test_suffixes(items: pa.Table, window: int) -> dict:
     length = np.where(size[row] >= window, window, size[row])
     whole = offset + length <= size[row]
     names = np.array(items.column("item_id").to_pylist(), object)
-    return {"vocabulary": vocabulary, "ids": ids, "place": place[whole], "offset": offset[whole], "length": length[whole], "item": row[whole], "names": names}
+    # the word before, or one that equals none at the start of an item and before an item shorter than a window
+    before = np.where((offset > 0) & (size[row] >= window), ids[place - 1], -1)
+    return {"vocabulary": vocabulary, "ids": ids, "sums": prefix_sums(ids), "before": before[whole], "left": (size[row] - offset)[whole], "place": place[whole], "offset": offset[whole], "length": length[whole], "item": row[whole], "names": names}
 
 
 def columns(ids: np.ndarray, place: np.ndarray, window: int, bits: int, fill: np.ndarray | None = None) -> list[np.ndarray]:
@@ -87,15 +91,37 @@ def bound(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.n
     return low
 
 
+def prefix_sums(ids: np.ndarray) -> np.ndarray:
+    """Sums of mixed word numbers times powers, from the start to each place."""
+    out = np.zeros(len(ids) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(sh.mixed((ids.astype(np.uint64) + np.uint64(1)) * sh.POWER) * sh.powers(len(ids))[0], out=out[1:])
+    return out
+
+
+def common_words(left: np.ndarray, i: np.ndarray, right: np.ndarray, j: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words agree from i on the left and j on the right, between ``least`` (known to agree) and ``most``."""
+    down = sh.powers(max(len(left), len(right)))[1]
+    low, high = least.copy(), most.copy()
+    with np.errstate(over="ignore"):
+        while (open_ := np.flatnonzero(low < high)).size:
+            a, b = i[open_], j[open_]
+            mid = (low[open_] + high[open_] + 1) // 2
+            same = (left[a + mid] - left[a]) * down[a] == (right[b + mid] - right[b]) * down[b]
+            low[open_[same]] = mid[same]
+            high[open_[~same]] = mid[~same] - 1
+    return low
+
+
 def search(test: dict, window: int, data: np.ndarray, at: np.ndarray):
-    """(words per document, test suffix, place in the shard, row) of all windows in one shard."""
+    """(words per document, test suffix, first word in the shard, words, row) of all longest matches in one shard."""
     data = sh.LOWER[data]
     starts, ends, row = sh.words(data, at, sh.LETTERLIKE)
     n_words = np.bincount(row, minlength=len(at) - 1)
     none = np.zeros(0, np.int64)
     vocabulary = test["vocabulary"]
     if not len(test["place"]) or not len(starts):
-        return n_words, none, none, none
+        return n_words, none, none, none, none
     hashes = sh.word_hashes(data, starts, ends)
     number = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     number = np.where(vocabulary[number] == hashes, number + 1, 0)
@@ -104,29 +130,28 @@ def search(test: dict, window: int, data: np.ndarray, at: np.ndarray):
     ids[place] = number
     bits = int(len(vocabulary) + 1).bit_length()
     suffix = place[number > 0]
-    keys = columns(ids, suffix, window, bits)
+    keys = [*columns(ids, suffix, window, bits), ids[suffix - 1]]
     order = suffix_order(keys)
     keys, suffix = [k[order] for k in keys], suffix[order]
-    length = test["length"]
-    low = bound(keys, columns(test["ids"], test["place"], window, bits, length), False)
-    high = bound(keys, columns(test["ids"], test["place"], window, bits, -length), True)
-    n = high - low
+    length, before = test["length"], test["before"]
+    wanted = columns(test["ids"], test["place"], window, bits, length)
+    low = bound(keys[:-1], wanted, False)
+    high = bound(keys[:-1], columns(test["ids"], test["place"], window, bits, -length), True)
+    # places from a to b continue a match
+    a, b = low.copy(), low.copy()
+    later = np.flatnonzero((before >= 0) & (low < high))
+    asked = [*(w[later] for w in wanted), before[later]]
+    a[later], b[later] = bound(keys, asked, False), bound(keys, asked, True)
+    n = (a - low) + (high - b)
     which = np.repeat(np.arange(len(n)), n)
-    places = suffix[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    doc = row[np.searchsorted(place, places)]
-    return n_words, which, places - doc, doc
-
-
-def join_diagonals(test: dict, which: np.ndarray, at_word: np.ndarray, doc: np.ndarray):
-    """Windows that follow each other in both texts, as (doc, item, first word in the item, in the shard, words)."""
-    item, offset, length = test["item"][which], test["offset"][which], test["length"][which]
-    order = np.lexsort([offset, at_word - offset, item, doc])
-    item, offset, length, at_word, doc = item[order], offset[order], length[order], at_word[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at_word[1:] != at_word[:-1] + 1) | (offset[1:] != offset[:-1] + 1)
-    i = np.flatnonzero(new)
-    runs = np.diff(np.append(i, len(doc)))
-    return doc[i], item[i], offset[i], at_word[i], length[i] + runs - 1
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    places = suffix[np.where(k < (a - low)[which], low[which] + k, b[which] + k - (a - low)[which])]
+    word = np.searchsorted(place, places)
+    doc = row[word]
+    rest = np.cumsum(n_words)[doc] - word
+    most = np.where(length[which] < window, length[which], np.minimum(test["left"][which], rest))
+    words = common_words(test["sums"], test["place"][which], prefix_sums(ids), places, length[which], most)
+    return n_words, which, word, words, doc
 
 
 def marker(broadcast, window: int, earlier: bool):
@@ -134,18 +159,20 @@ def marker(broadcast, window: int, earlier: bool):
         test = broadcast.value
 
         def make(data, at):
-            n_words, which, at_word, doc = search(test, window, data, at)
+            n_words, which, at_word, words, doc = search(test, window, data, at)
+            item, offset = test["item"][which], test["offset"][which]
+            order = np.lexsort([offset, at_word - offset, item, doc])
+            item, offset, at_word, words, doc = (x[order] for x in (item, offset, at_word, words, doc))
             first = np.cumsum(n_words) - n_words
             hit = np.zeros(n_words.sum() + 1, np.int32)
             np.add.at(hit, at_word, 1)
-            np.add.at(hit, at_word + test["length"][which], -1)
+            np.add.at(hit, at_word + words, -1)
             hit = (np.cumsum(hit[:-1]) > 0).view(np.uint8)
-            d, item, offset, place, length = join_diagonals(test, which, at_word, doc)
             found = pa.StructArray.from_arrays(
-                [pa.array(test["names"][item], pa.string()), pa.array(offset), pa.array(place - first[d]), pa.array(length)],
+                [pa.array(test["names"][item], pa.string()), pa.array(offset), pa.array(at_word - first[doc]), pa.array(words)],
                 ["item_id", "item_word", "doc_word", "n_words"],
             )
-            cuts = np.append(0, np.cumsum(np.bincount(d, minlength=len(n_words))))
+            cuts = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n_words))))
             return [pa.array(n_words), sh.blobs(hit, np.append(0, np.cumsum(n_words))), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)]
 
         return make

@@ -5,12 +5,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from parcelwise.llm import infill, resample, wrapper
+from parcelwise.llm import decontaminate, infill, resample, wrapper
 from tests.llm.test_exact import ODD, frame
 
 LONG = "wordé " * 60_000
@@ -163,3 +164,46 @@ def test_matching():
     n, found = wrapper.matching(a, b)
     assert n == 5 and found.tolist() == [0, 2, -1, 3, 4, 6]  # p and ul stand in another order: the heavier one is matched
     assert wrapper.matching(a, a)[0] == 6 and wrapper.matching(a, a)[1].tolist() == list(range(6))
+
+
+def test_one_repeated_word():
+    """An item of 500 equal words in a text of 60,000: as many longest matches as diagonals, and memory in proportion."""
+    import pyarrow as pa
+
+    items = pa.table({"item_id": ["1", "2"], "text": ["la " * 500, "so la la"]})
+    test = decontaminate.test_suffixes(items, 10)
+    text = ("so " + "la " * 60_000).encode()
+    tracemalloc.start()
+    n, which, at, words, doc = decontaminate.search(test, 10, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and n.tolist() == [60_001]
+    first = test["item"][which] == 0
+    assert first.sum() == 60_000 - 9 + 490 and (~first).sum() == 1 and words[~first].tolist() == [3]
+    assert words[first].max() == 500 and set(at[first][words[first] == 500].tolist()) == set(range(1, 59_502))
+
+
+def test_longest_matches(spark):
+    """All longest matches, in texts of few words with many repeats, a very long one and repeated rows, against brute force."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(["a", "b"]) for _ in range(n))
+    items = [(str(i), text(rng.choice([2, 4, 6, 15]))) for i in range(12)]
+    docs = [(i, text(rng.randint(0, 40)) + rng.choice(["", " c " + text(9)])) for i in range(30)] + [(50, "c " * 50_000 + items[0][1])] + ODD
+    docs += [(60, docs[3][1]), (60, docs[3][1])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = []
+    for d, t in docs:
+        w, found = (t or "").lower().split(), []
+        for name, x in items:
+            v = x.split()
+            k = min(4, len(v))
+            for i in range(len(v) - k + 1):
+                for j in range(len(w) - k + 1):
+                    if w[j:j + k] == v[i:i + k] and (i == 0 or j == 0 or w[j - 1] != v[i - 1]):
+                        n = k
+                        while len(v) >= 4 and i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                            n += 1
+                        found.append((name, i, j, n))
+        want.append((str(d), sorted(found)))
+    got = decontaminate.mark(frame(spark, docs), bench, ["doc_id"], window=4).collect()
+    assert sorted((str(r.doc_id), sorted(tuple(m) for m in r.found__)) for r in got) == sorted(want)
