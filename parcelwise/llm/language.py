@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import shared as sh
+from parcelwise.operators.joins import top_per_key
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -27,20 +28,18 @@ UNKNOWN = "und"
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of bytes, class numbers and languages of a bounded sample, dealt by a hash of the id."""
+    """Windows of bytes, class numbers and languages of a bounded sample: the rows with the least hash of the id in each
+    language (ties: whichever). One scan for all languages; every task keeps ``per_language`` rows of each before the shuffle.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
-    x, y = [], []
-    for k, lang in enumerate(langs):
-        share = min(1.0, 2.0 * per_language / counts[lang])
-        drawn = rows.filter((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) <= share * (1 << 30)))
-        room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-        cuts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_EACH)]
-        for r in drawn.orderBy("doc_id").limit(per_language).select(*cuts).toArrow().to_pylist():
-            for text in r.values():
-                x.append(np.frombuffer(text.encode()[:WINDOW].ljust(WINDOW, b"\0"), np.uint8))
-                y.append(k)
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    cuts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_EACH)]
+    drawn = top_per_key(rows.select("lang", F.xxhash64("doc_id", F.lit("lang")).alias("draw"), F.array(*cuts).alias("cuts")), ["lang"], per_language, F.asc("draw"))
+    found = sorted((r.lang, r.draw, r.cuts) for r in drawn.collect())
+    langs = sorted({lang for lang, _, _ in found})
+    number = {lang: k for k, lang in enumerate(langs)}
+    x = [np.frombuffer(text.encode()[:WINDOW].ljust(WINDOW, b"\0"), np.uint8) for _, _, texts in found for text in texts]
+    y = [number[lang] for lang, _, texts in found for _ in texts]
     return (np.stack(x) if x else np.zeros((0, WINDOW), np.uint8)), np.array(y, int), langs
 
 
