@@ -41,13 +41,11 @@ _GAP = r"[^\S\n]"  # white space inside a line
 
 
 def _label_pattern(label: str, labels: Sequence[str]) -> str:
-    """Line that starts with the label (each word may end in a period), unless a longer label starts it too."""
-    def flex(text: str) -> str:
-        return rf"{_GAP}+".join(re.escape(w) + r"\.?" for w in text.split())
-
-    longer = [other for other in labels if other != label and other.startswith(label)]
-    guard = "".join(rf"(?!{flex(o)})" for o in longer)
-    return rf"(?mi)^{guard}{flex(label)}{_GAP}*(.*)$"
+    """Line that starts with the label, unless a longer label starts it too. A period may stand before each gap and at the end."""
+    between = rf"\.?{_GAP}+"
+    spelled = {x: between.join(map(re.escape, x.split())) + r"\.?" for x in labels if x.startswith(label)}
+    own = spelled.pop(label)
+    return rf"(?mi)^{''.join(f'(?!{longer})' for longer in spelled.values())}{own}{_GAP}*(.*)$"
 
 
 def page_fields(text: Column, labels: Mapping[str, str] = FIELD_LABELS) -> dict[str, Column]:
