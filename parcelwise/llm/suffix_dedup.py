@@ -4,10 +4,13 @@ Prefix-free parsing over a cluster. A rolling hash of ``TRIGGER`` bytes sets the
 the trigger positions of a 50-byte string is its trigger, so each string owns exactly one, equal strings own equal
 ones, and triggers cut every document into phrases of at most ``SPAN`` fresh bytes.
 
-1. Each chunk of documents sends the distinct triggers it has, dealt by hash. A trigger that stands in one document
-   only can't start a repeat; the rest, the dictionary of repeated triggers, goes back as one bit each.
+1. Each chunk of documents sends the distinct triggers it has, dealt by hash, and how many different surroundings each
+   has there. A trigger that stands in one document only can't start a repeat; the rest, the dictionary of repeated
+   triggers, goes back as one bit each, and a second one for hot triggers.
 2. Each chunk cuts the phrases on both sides of its repeated triggers and sends each distinct pair once, with the
-   smallest document that has it. All pairs with one trigger meet in one group.
+   smallest document that has it. All pairs with one trigger meet in one group, but for hot triggers: those with more
+   than ``HOT`` pairs and more than two a chunk. Their phrases are taken apart into the single 50-byte strings before
+   they are sent, and the sub-key of a string is its hash, so that only strings that can be equal meet.
 3. There, a suffix array of the dictionary (phrases before a trigger, read backwards from it) and one of the parse
    (what follows the trigger) are made with their common-prefix lengths. A 50-byte string that starts l bytes before
    its trigger is a class of the first (agreeing in l bytes) with a class of the second (agreeing in the rest): the two
@@ -15,8 +18,10 @@ ones, and triggers cut every document into phrases of at most ``SPAN`` fresh byt
    its first home; the strings of all others are hits.
 4. Hits return to the chunks, which cut the bytes out.
 
-Groups hold what distinct phrases of a chunk pair of sides make, not copies, so thousands of copies of a text cost a
-group one entry per chunk. Documents are dealt once and that exchange is reused by all passes.
+So copies of a text, and a passage in ever different surroundings too, cost a group at most about two entries a chunk
+and trigger; only repeats inside the one document that is the smallest of its chunk come on top. Buckets are
+``BUCKET_CHUNKS`` times as large as chunks, so that a chunk sends fewer, larger pieces. Documents are dealt once and that
+exchange is reused by all passes.
 """
 
 from __future__ import annotations
@@ -34,7 +39,12 @@ TRIGGER = 24
 SPAN = LENGTH - TRIGGER + 1
 SIDE = SPAN - 1
 SLICE = 1 << 17
+HOT = 4096
+BUCKET_CHUNKS = 4
+#: Low bits of a sent trigger: the number of its surroundings in the chunk as a power of two, and the bit for two documents.
+LEVELS = 4
 STEPS = sh.splitmix(5, 3) | np.uint64(1)
+PLACES = sh.splitmix(LENGTH, 6) | np.uint64(1)
 PARTS = "bucket int, chunk int, data binary"
 
 
@@ -112,6 +122,18 @@ def dictionary(hashes: np.ndarray, docs: np.ndarray, buckets: int):
     return uniq[order], bucket[order].astype(np.int32), (low != high)[order], back[inverse]
 
 
+def surroundings(data: np.ndarray, first: np.ndarray, last: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Number of each trigger's different stretches of owned bytes, told apart by sums of byte keys; only the split of hot
+    triggers rests on it."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(sh.BYTE_KEYS[data], out=sums[1:])
+    around = sums[last + LENGTH] - sums[first]
+    order = np.lexsort((around, which))
+    around, which = around[order], which[order]
+    new = np.append(True, (around[1:] != around[:-1]) | (which[1:] != which[:-1]))
+    return np.bincount(which[new], minlength=n)
+
+
 def cuts_of(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal neighbours start, and the end."""
     return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int), len(keys))
@@ -131,31 +153,42 @@ def send_triggers(buckets: int):
         chunk = table.column("chunk")[0].as_py()
         table = sh.ordered(table)
         data, at = sh.packed(table.column("text"))
-        pos, _, _, hashes = triggers(data, at)
+        pos, first, last, hashes = triggers(data, at)
         if not len(pos):
             return empty(PARTS)
         docs = sh.ids_of(table)[np.searchsorted(at, pos, side="right") - 1]
-        uniq, bucket, twice, _ = dictionary(hashes, docs, buckets)
+        uniq, bucket, twice, which = dictionary(hashes, docs, buckets)
         cuts = cuts_of(bucket)
-        marked = (uniq & ~np.uint64(1)) | twice.astype(np.uint64)
+        level = np.ceil(np.log2(surroundings(data, first, last, which, len(uniq)))).clip(0, (1 << LEVELS) - 1).astype(np.uint64)
+        low = np.uint64(LEVELS + 1)
+        marked = (uniq >> low << low) | level << np.uint64(1) | twice.astype(np.uint64)
         return parts(bucket[cuts[:-1]], chunk, sh.blobs(marked, cuts))
 
     return run
 
 
-def repeated(table: pa.Table) -> pa.Table:
-    """One bit for each trigger sent: does it stand in two documents or more?"""
-    table = table.sort_by("chunk")
-    data, at = sh.packed(table.column("data"))
-    marked = data.view(np.uint64)
-    value = marked >> np.uint64(1)
-    order = np.argsort(value)
-    cuts = cuts_of(value[order])
-    many = (np.diff(cuts) > 1) | (np.maximum.reduceat((marked & np.uint64(1))[order], cuts[:-1]) > 0)
-    live = np.empty(len(value), bool)
-    live[order] = np.repeat(many, np.diff(cuts))
-    bits = [np.packbits(live[i // 8 : j // 8]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": pa.array(bits, pa.binary())})
+def repeated(most: int):
+    """One bit for each trigger sent: does it stand in two documents or more? Where any is hot, one more bit for each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        data, at = sh.packed(table.column("data"))
+        marked = data.view(np.uint64)
+        value = marked >> np.uint64(LEVELS + 1)
+        order = np.argsort(value)
+        cuts = cuts_of(value[order])
+        chunks = np.diff(cuts)
+        many = (chunks > 1) | (np.maximum.reduceat((marked & np.uint64(1))[order], cuts[:-1]) > 0)
+        pairs = np.add.reduceat((1 << (marked >> np.uint64(1) & np.uint64((1 << LEVELS) - 1)).astype(np.int64))[order], cuts[:-1])
+        live, hot = np.empty(len(value), bool), np.empty(len(value), bool)
+        live[order] = np.repeat(many, chunks)
+        hot[order] = np.repeat((pairs > most) & (pairs > 2 * chunks), chunks)
+        bits = []
+        for i, j in zip(at[:-1] // 8, at[1:] // 8, strict=True):
+            bits.append(np.packbits(live[i:j]).tobytes() + (np.packbits(hot[i:j]).tobytes() if hot[i:j].any() else b""))
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "data": pa.array(bits, pa.binary())})
+
+    return run
 
 
 #: A phrase pair: where it stands in its chunk, first and last string start before the trigger, document, bytes around it.
@@ -195,6 +228,20 @@ def intervals(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + LENGTH], 1)
 
 
+def single_strings(data: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The strings that start from first to last: index of the pair, start, and the bucket that their bytes name."""
+    spread = last - first + 1
+    pair = np.repeat(np.arange(len(first)), spread)
+    start = first[pair] + np.arange(len(pair)) - np.repeat(np.cumsum(spread) - spread, spread)
+    windows = sliding_window_view(data, LENGTH)
+    to = np.empty(len(start), np.int32)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(start), SLICE // 2):
+            keys = sh.BYTE_KEYS[windows[start[a : a + SLICE // 2]]]
+            to[a : a + SLICE // 2] = (sh.mixed((keys * PLACES).sum(1)) >> np.uint64(20)) % np.uint64(buckets)
+    return pair, start, to
+
+
 def send_phrases(buckets: int):
     def run(table: pa.Table, bits: pa.Table) -> pa.Table:
         if not table.num_rows or not bits.num_rows:
@@ -205,17 +252,27 @@ def send_phrases(buckets: int):
         pos, first, last, hashes = triggers(data, at)
         docs = sh.ids_of(table)[np.searchsorted(at, pos, side="right") - 1]
         uniq, bucket, _, which = dictionary(hashes, docs, buckets)
-        live = np.zeros(len(uniq), bool)
+        live, hot = np.zeros(len(uniq), bool), np.zeros(len(uniq), bool)
         cuts = cuts_of(bucket)
         place = dict(zip(bucket[cuts[:-1]].tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
         for b, raw in zip(bits.column("bucket").to_pylist(), bits.column("data").to_pylist(), strict=True):
             i, j = place[b]
-            live[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i)
+            half = (j - i + 7) // 8
+            live[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8, half), count=j - i)
+            if len(raw) > half:
+                hot[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8, offset=half), count=j - i)
         keep = np.flatnonzero(live[which])
         if not keep.size:
             return empty("kind int, " + PARTS)
+        split = hot[which[keep]]
         pos, first, last, docs, to = pos[keep], first[keep], last[keep], docs[keep], bucket[which[keep]]
-        row = np.zeros(len(keep), PAIR)
+        if split.any():
+            pair, start, dealt = single_strings(data, first[split], last[split], buckets)
+            pos, docs = (np.concatenate([x[~split], x[split][pair]]) for x in (pos, docs))
+            first, last, to = np.append(first[~split], start), np.append(last[~split], start), np.append(to[~split], dealt)
+            order = np.argsort(pos, kind="stable")
+            pos, first, last, docs, to = pos[order], first[order], last[order], docs[order], to[order]
+        row = np.zeros(len(pos), PAIR)
         row["pos"], row["far"], row["near"], row["doc"] = pos, pos - first, pos - last, docs
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         around = sliding_window_view(padded, SIDE + LENGTH)[pos]
@@ -313,18 +370,19 @@ def cut_out(table: pa.Table, hits: pa.Table) -> pa.Table:
     })
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = sh.CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_bytes: int = sh.CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): removed byte ranges [start, end) of each text and the bytes that stay.
 
-    Only columns doc_id and text count. A null or empty text and one of under 50 bytes have no spans; rows without an
+    A trigger with more than ``hot`` phrase pairs is split; results don't depend on it. Only columns doc_id and text count. A null or empty text and one of under 50 bytes have no spans; rows without an
     id are left out; rows with one and the same id don't remove bytes from each other; of two equal texts the one with
     the smaller id stays whole.
     """
     chunks = sh.chunk_count(docs, chunk_bytes)
     parts_ = sh.chunked(docs, chunks)
     by_chunk = lambda: parts_.groupBy("chunk")
-    bits = by_chunk().applyInArrow(send_triggers(chunks), PARTS).groupBy("bucket").applyInArrow(repeated, PARTS)
-    phrases = by_chunk().cogroup(bits.groupBy("chunk")).applyInArrow(send_phrases(chunks), "kind int, " + PARTS)
+    buckets = -(-chunks // BUCKET_CHUNKS)
+    bits = by_chunk().applyInArrow(send_triggers(buckets), PARTS).groupBy("bucket").applyInArrow(repeated(hot), PARTS)
+    phrases = by_chunk().cogroup(bits.groupBy("chunk")).applyInArrow(send_phrases(buckets), "kind int, " + PARTS)
     hits = phrases.groupBy("bucket").applyInArrow(combine, "chunk int, data binary")
     return by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(
         cut_out, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"

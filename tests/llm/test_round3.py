@@ -9,9 +9,12 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from parcelwise.llm import decontaminate, infill, resample, wrapper
+from parcelwise.llm import decontaminate, infill, resample, suffix_dedup, wrapper
+from tests.llm import brute
 from tests.llm.test_exact import ODD, frame
 
 LONG = "wordé " * 60_000
@@ -207,3 +210,37 @@ def test_longest_matches(spark):
         want.append((str(d), sorted(found)))
     got = decontaminate.mark(frame(spark, docs), bench, ["doc_id"], window=4).collect()
     assert sorted((str(r.doc_id), sorted(tuple(m) for m in r.found__)) for r in got) == sorted(want)
+
+
+def passages(rng, n):
+    """Documents of random words around one passage of 60 bytes, some with a line of dashes too."""
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(60))
+    noise = lambda: "".join(rng.choice("klmnopqrstuvwxyz ") for _ in range(rng.randint(30, 90)))
+    return [(i, noise() + passage + noise() + ("-" * 80 + noise() if i % 3 == 0 else "")) for i in range(n)]
+
+
+def test_hot_triggers_split(spark):
+    docs = passages(random.Random(21), 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted((d, n, tuple(s), k) for d, n, s, k in brute.repeats(docs))
+    for hot in (2, 40, 10**6):
+        got = suffix_dedup.remove_repeats(df, 1500, hot).collect()
+        assert sorted((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got) == want
+
+
+def test_hot_triggers_meet_in_small_groups():
+    """A passage in 3,000 surroundings: no bucket gets more of its strings than a few a chunk."""
+    docs, chunks, buckets = passages(random.Random(22), 3000), 30, 100_003
+    tables = [pa.table({"chunk": pa.array([c] * 100, pa.int32()), "doc_id": [d for d, _ in docs[c::chunks]], "text": [t for _, t in docs[c::chunks]]}) for c in range(chunks)]
+    largest = {}
+    for hot in (200, 10**9):
+        bits = suffix_dedup.repeated(hot)(pa.concat_tables([suffix_dedup.send_triggers(buckets)(t) for t in tables]))
+        sent = {}
+        for c, t in enumerate(tables):
+            out = suffix_dedup.send_phrases(buckets)(t, bits.filter(pc.equal(bits["chunk"], c)))
+            for kind, bucket, data in zip(out["kind"].to_pylist(), out["bucket"].to_pylist(), out["data"].to_pylist()):
+                if kind == 0:
+                    sent[bucket] = sent.get(bucket, 0) + len(suffix_dedup.unpack(data))
+        largest[hot] = max(sent.values())
+    # 33 documents of a chunk have dashes; the smallest of them sends each of its repeats
+    assert largest[200] <= 40 * chunks and largest[10**9] > 2500, largest
