@@ -289,68 +289,85 @@ def query_hits(df: DataFrame, queries: Sequence[str], score) -> DataFrame:
     return df.select("*", F.explode(F.filter(scored, lambda h: h["score"] > 0)).alias("_hit")).select("*", "_hit.query", "_hit.score").drop("_hit")
 
 
-def search_subjects(subjects: DataFrame, queries: Sequence[str], limit: int = 12) -> DataFrame:
-    """Ranked hits per query. ``subjects``: subject_id, name, key, code, area, program, aliases."""
+def subject_texts(subjects: DataFrame) -> DataFrame:
+    """Subjects with the normal forms that a search reads."""
     norm = typed.search_text
     base = subjects.select(
         "subject_id", "name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("key", "code", "area")],
         norm(F.coalesce("name", F.lit(""))).alias("_n"),
         norm(F.concat_ws(" ", "name", "key", "code", "area", "program", F.col("subject_id").cast("string"),
                          F.coalesce("aliases", F.array().cast("array<string>")))).alias("_hay"))
-    base = base.select("*", *[norm(F.col(c)).alias(f"_{c}") for c in ("key", "code", "area")])
+    return base.select("*", *[norm(F.col(c)).alias(f"_{c}") for c in ("key", "code", "area")])
+
+
+def subject_score(q: Column, digits: Column, raw: Column) -> Column:
     n = F.col("_n")
+    key_hit = (F.col("key") != "") & ((F.col("key") == raw) | (F.col("_key") == q))
+    points = (
+        F.when(n == q, 100).when(F.startswith(n, q), 80).when(F.contains(n, q), 50).otherwise(0)
+        + F.when(key_hit, 90).otherwise(0)
+        + F.when((F.col("code") != "") & F.contains(F.col("_code"), q), 40).otherwise(0)
+        + F.when(F.contains(F.col("_area"), q), 10).otherwise(0)
+    )
+    points = F.when((points == 0) & F.contains(F.col("_hay"), q), 5).otherwise(points)
+    # a row counts only when the query occurs in its text, or equals its key
+    seen = F.contains(F.col("_hay"), q) | F.startswith(n, q) | key_hit
+    return F.when((q != "") & seen, points)
+
 
-    def score(q: Column, digits: Column, raw: Column) -> Column:
-        key_hit = (F.col("key") != "") & ((F.col("key") == raw) | (F.col("_key") == q))
-        points = (
-            F.when(n == q, 100).when(F.startswith(n, q), 80).when(F.contains(n, q), 50).otherwise(0)
-            + F.when(key_hit, 90).otherwise(0)
-            + F.when((F.col("code") != "") & F.contains(F.col("_code"), q), 40).otherwise(0)
-            + F.when(F.contains(F.col("_area"), q), 10).otherwise(0)
-        )
-        points = F.when((points == 0) & F.contains(F.col("_hay"), q), 5).otherwise(points)
-        # a row counts only when the query occurs in its text, or equals its key
-        seen = F.contains(F.col("_hay"), q) | F.startswith(n, q) | key_hit
-        return F.when((q != "") & seen, points)
-
-    return top_per_key(query_hits(base, queries, score), ["query"], limit, F.desc("score"), F.col("name"), F.col("subject_id")).select(
+def ranked_subjects(hits: DataFrame, limit: int) -> DataFrame:
+    return top_per_key(hits, ["query"], limit, F.desc("score"), F.col("name"), F.col("subject_id")).select(
         "query", "rank", "subject_id", "name", "score")
 
 
-def search_areas(areas: DataFrame, queries: Sequence[str], limit: int = 8) -> DataFrame:
-    """Ranked area hits per query over four kinds with their own scores and shortest query.
+def search_subjects(subjects: DataFrame, queries: Sequence[str], limit: int = 12) -> DataFrame:
+    """Ranked hits per query. ``subjects``: subject_id, name, key, code, area, program, aliases."""
+    return ranked_subjects(query_hits(subject_texts(subjects), queries, subject_score), limit)
 
-    ``areas``: kind (borough, zcta, nta, tract), code, name, parent.
-    """
+
+def area_texts(areas: DataFrame) -> DataFrame:
+    """Areas with the normal forms that a search reads."""
     norm = typed.search_text
-    base = areas.select(
+    return areas.select(
         "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("code", "name", "parent")],
         norm(F.coalesce("name", F.lit(""))).alias("_n"), norm(F.coalesce("code", F.lit(""))).alias("_c"),
         norm(F.concat_ws(" ", "code", "name", "parent")).alias("_hay"))
+
+
+def area_score(q: Column, digits: Column, raw: Column) -> Column:
     n, kind, code = F.col("_n"), F.col("kind"), F.col("code")
+    points = (
+        F.when((kind == "borough") & (F.contains(n, q) | F.contains(q, n)), F.when(n == q, 90).otherwise(40))
+        .when((kind == "zcta") & (F.length(digits) >= 3) & F.contains(code, digits), F.when(code == digits, 95).otherwise(70))
+        .when((kind == "nta") & F.contains(F.col("_hay"), q),
+              F.when(n == q, 85).when(F.startswith(n, q), 65).when(F.col("_c") == q, 80).otherwise(30))
+        .when((kind == "tract") & (F.length(q) >= 4) & (F.contains(F.col("_hay"), q) | F.contains(code, raw)),
+              F.when(code == raw, 88).otherwise(35))
+    )
+    return F.when(F.length(q) >= 2, points)
+
 
-    def score(q: Column, digits: Column, raw: Column) -> Column:
-        points = (
-            F.when((kind == "borough") & (F.contains(n, q) | F.contains(q, n)), F.when(n == q, 90).otherwise(40))
-            .when((kind == "zcta") & (F.length(digits) >= 3) & F.contains(code, digits), F.when(code == digits, 95).otherwise(70))
-            .when((kind == "nta") & F.contains(F.col("_hay"), q),
-                  F.when(n == q, 85).when(F.startswith(n, q), 65).when(F.col("_c") == q, 80).otherwise(30))
-            .when((kind == "tract") & (F.length(q) >= 4) & (F.contains(F.col("_hay"), q) | F.contains(code, raw)),
-                  F.when(code == raw, 88).otherwise(35))
-        )
-        return F.when(F.length(q) >= 2, points)
-
-    ident = F.concat(kind, F.lit(":"), F.when(kind == "borough", F.col("name")).otherwise(F.col("code")))
+def ranked_areas(hits: DataFrame, limit: int) -> DataFrame:
+    kind, code, name = F.col("kind"), F.col("code"), F.col("name")
+    ident = F.concat(kind, F.lit(":"), F.when(kind == "borough", name).otherwise(code))
     label = (
-        F.when(kind == "zcta", F.concat(F.lit("ZIP/ZCTA "), F.col("code")))
-        .when((kind == "tract") & (F.col("name") != ""), F.concat(F.lit("Tract "), F.col("name")))
-        .when(F.col("name") != "", F.col("name")).otherwise(F.col("code")))
-    hits = query_hits(base, queries, score).select("query", ident.alias("area_id"), "kind", label.alias("label"), "score")
+        F.when(kind == "zcta", F.concat(F.lit("ZIP/ZCTA "), code))
+        .when((kind == "tract") & (name != ""), F.concat(F.lit("Tract "), name))
+        .when(name != "", name).otherwise(code))
+    hits = hits.select("query", ident.alias("area_id"), "kind", label.alias("label"), "score")
     once = first_per_key(hits, ["query", "area_id"], F.desc("score"), F.col("label"))
     return top_per_key(once, ["query"], limit, F.desc("score"), F.col("label"), F.col("area_id")).select(
         "query", "rank", "area_id", "kind", "label", "score")
 
 
+def search_areas(areas: DataFrame, queries: Sequence[str], limit: int = 8) -> DataFrame:
+    """Ranked area hits per query over four kinds with their own scores and shortest query.
+
+    ``areas``: kind (borough, zcta, nta, tract), code, name, parent.
+    """
+    return ranked_areas(query_hits(area_texts(areas), queries, area_score), limit)
+
+
 def search_all(subjects: DataFrame, areas: DataFrame, limit: int = 14) -> DataFrame:
     """Subject hits before area hits, cut to the limit per query; both inputs are search results."""
     a = subjects.select("query", F.lit(0).alias("_s"), "rank", F.col("subject_id").cast("string").alias("id"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import typed
+from parcelwise.operators import index
 from parcelwise.operators import text as tx
 from parcelwise.plans.base import Registry, table
 
@@ -253,11 +254,14 @@ _SUBJ = f"""
     subj_hits as (select query, row_number() over (partition by query order by score desc, name, subject_id) as rank, subject_id, name, score from hits where score > 0)"""
 
 
-def search_parts(spark, sf, limit: int = 12) -> DataFrame:
-    p = table(spark, sf, "part").select(
+def part_subjects(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(
         F.col("p_partkey").alias("subject_id"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("key"), F.col("p_brand").alias("code"),
         F.col("p_type").alias("area"), F.lit(None).cast("string").alias("program"), F.lit(None).cast("array<string>").alias("aliases"))
-    return tx.search_subjects(p, _QUERIES, limit)
+
+
+def search_parts(spark, sf, limit: int = 12) -> DataFrame:
+    return tx.search_subjects(part_subjects(spark, sf), _QUERIES, limit)
 
 
 @R.add("q_search_subjects", f"with {_SUBJ} select * from subj_hits where rank <= 12")
@@ -286,7 +290,7 @@ _AREAS = f"""
       from a2 where score is not null))"""
 
 
-def search_regions(spark, sf, queries=_AREA_QUERIES, limit: int = 8) -> DataFrame:
+def area_rows(spark, sf) -> DataFrame:
     r, n, s, p = (table(spark, sf, t) for t in ("region", "nation", "supplier", "part"))
     e = F.lit("")
     rows = [r.select(F.lit("borough").alias("kind"), e.alias("code"), F.col("r_name").alias("name"), e.alias("parent")),
@@ -294,7 +298,11 @@ def search_regions(spark, sf, queries=_AREA_QUERIES, limit: int = 8) -> DataFram
             s.select(F.lit("zcta"), (F.col("s_suppkey") + 10000).cast("string"), e, e),
             p.select(F.lit("tract"), (F.col("p_partkey") + 1000000).cast("string"),
                      F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(""), "p_brand")]
-    return tx.search_areas(rows[0].union(rows[1]).union(rows[2]).union(rows[3]), queries, limit)
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def search_regions(spark, sf, queries=_AREA_QUERIES, limit: int = 8) -> DataFrame:
+    return tx.search_areas(area_rows(spark, sf), queries, limit)
 
 
 @R.add("q_search_areas", f"with {_AREAS} select * from area_hits where rank <= 8")
@@ -310,3 +318,30 @@ def _(spark, sf):
     "0 as s, rank,", "0 as s, rank as r,"))
 def _(spark, sf):
     return tx.search_all(search_parts(spark, sf, 14), search_regions(spark, sf, _QUERIES, 14))
+
+
+# every type, brand, size and word of a part name is a query, and every nation with its key behind and region with a word before it
+_TABLE_QUERIES = """tq as (select distinct query from (select p_type as query from part union all select p_brand from part
+    union all select unnest(string_split(p_name, ' ')) from part union all select p_size::varchar from part
+    union all select n_name || ' ' || n_nationkey from nation union all select 'near ' || r_name from region) where query is not null)"""
+
+
+def table_queries(spark, sf) -> DataFrame:
+    p, n, r = (table(spark, sf, t) for t in ("part", "nation", "region"))
+    texts = [p.select(F.explode(F.array_append(F.array_append(F.split("p_name", " "), F.col("p_type")), F.col("p_brand"))).alias("query")),
+             p.select(F.col("p_size").cast("string")), n.select(F.concat_ws(" ", "n_name", "n_nationkey")), r.select(F.concat(F.lit("near "), "r_name"))]
+    return texts[0].union(texts[1]).union(texts[2]).union(texts[3])
+
+
+def _from_table(sql: str, queries: list[str]) -> str:
+    return sql.replace(f"select unnest({queries}) as query", "select query from tq")
+
+
+@R.add("q_search_table", f"with {_TABLE_QUERIES}, {_from_table(_SUBJ, _QUERIES)} select * from subj_hits where rank <= 12")
+def _(spark, sf):
+    return index.search_subjects(part_subjects(spark, sf), table_queries(spark, sf))
+
+
+@R.add("q_search_area_table", f"with {_TABLE_QUERIES}, {_from_table(_AREAS, _AREA_QUERIES)} select * from area_hits where rank <= 8")
+def _(spark, sf):
+    return index.search_areas(area_rows(spark, sf), table_queries(spark, sf))
