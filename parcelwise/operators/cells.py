@@ -7,7 +7,7 @@ Cells without any row stay in the output.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,21 @@ def memberships(members: Members) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(k)) for k, cond in members.items()]))
 
 
+def marks(members: Members) -> tuple[Column, Callable[[Column], Column]]:
+    """Membership as one bit per member, and how to list the ids again; more than a number's bits stay a list.
+
+    A number is cheaper to make and to group by in each row than a list; the lists are for the few groups.
+    """
+    ids = list(members)
+    if len(ids) > 62:
+        return memberships(members), lambda made: made
+    conditions = [members.column == k for k in ids] if isinstance(members, Label) else list(members.values())
+    bits = F.lit(0).cast("bigint")
+    for i, cond in enumerate(conditions):
+        bits = bits.bitwiseOR(F.when(cond, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return bits, lambda made: F.array_compact(F.array(*[F.when(made.bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(ids)]))
+
+
 def cohort(year: Column, low: int | None = None, high: int | None = None) -> Column:
     """Year range with open ends; a missing year matches no bounded or open range."""
     cond = year.isNotNull()
@@ -97,21 +112,21 @@ def cell_estimates(
     names = list(dims)
     w, v = finite(F.col(weight)), finite(F.col(value))
     usable = (v > 0) & (w > 0)
-    tagged = rows.select("*", *[memberships(m).alias(d) for d, m in dims.items()],
-                         F.when(usable, v).alias("_v"), w.alias("_full"))
-    for d in names:
-        tagged = tagged.where(F.size(d) > 0)
-    # rows keep their lists of cells until they are reduced to buckets of values
+    bits = {d: marks(m) for d, m in dims.items()}
+    lists = {d: listed(F.col(d)) for d, (_, listed) in bits.items()}
+    # rows of no cell end where the lists are taken apart: a filter here would work out all conditions twice
+    tagged = rows.select("*", *[mark.alias(d) for d, (mark, _) in bits.items()], F.when(usable, v).alias("_v"), w.alias("_full"))
+    # rows keep their marks of cells until they are reduced to buckets of values
     usable_rows = tagged.where("_v is not null")
     counts = tagged.groupBy(*names, F.col("_v").isNotNull().alias("_u")).agg(
         F.count("*").alias("_n"),
         F.count_if(~F.coalesce(F.col("_full") > 0, F.lit(False))).alias("_bad_w"),
         F.sum(med.usable_weight(F.col("_full"), kind)).alias("_sw"),
     )
-    for d in names:
-        counts = counts.withColumn(d, F.explode(d))
+    for d, groups in lists.items():
+        counts = counts.withColumn(d, F.explode(groups))
     ready = med.weighted_rows(
-        usable_rows, F.col("_v"), F.col("_full"), replicates, reps.count if reps else 0, kind, explode=names)
+        usable_rows, F.col("_v"), F.col("_full"), replicates, reps.count if reps else 0, kind, explode=lists)
     totals = counts.groupBy(*names).agg(
         F.sum("_n").alias("eligible_n"), F.sum(F.when(F.col("_u"), F.col("_n")).otherwise(0)).alias("usable_n"),
         F.sum("_bad_w").alias("invalid_weight_n"), F.sum("_sw").cast("double").alias("eligible_weight"),

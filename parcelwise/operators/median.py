@@ -6,25 +6,28 @@ no step sends a row once per weight. It is a radix selection on the 64-bit order
 1. rows are reduced to one row per (group, bucket) with all weights summed side by side, before any group list is taken
    apart; a bucket is a fixed run of 2 ** ``LOW_BITS`` neighbouring doubles. Running sums of all weights over the buckets
    find for each weight the bucket that holds its middle;
-2. the rows of the buckets found are reduced once more to ``BINS`` even bins between the smallest and the largest value in
-   the bucket, again with all weights side by side, and the running sums go on inside it;
+2. the rows of the buckets found are reduced once more to ``BINS`` even bins between the smallest and the largest value that
+   a group found there, again with all weights side by side and before group lists are taken apart, and the running sums
+   go on inside it;
 3. the bins found hold at most 2 ** 29 neighbouring doubles each (a hundred-millionth of the value) and far fewer that
    occur; the last pass tells those apart, weights still side by side.
 
-Shuffled rows are bins, at most ``BINS`` for a bucket and block of weights, whatever the number of rows. Weights that have
-their middle in one bin share it: replicates lie close together, so a row moves once and not once per weight.
+Shuffled rows are bins, at most ``BINS`` for a bucket and block of weights, whatever the number of rows. Rows meet the buckets
+found by a broadcast, so only rows between the bins found move before they are summed, in the last pass, by group and bin.
+Weights that have their middle in one bin share it: replicates lie close together, so a row moves once and not once per weight.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parcelwise.functions.typed import finite
+from parcelwise.session import ensure_checkpoint_dir
 
 EXACT = "decimal(20,8)"  # survey weights with eight decimals; ties at half the weight stay exact
 WHOLE = "bigint"  # whole-number weights: long sums, faster
@@ -77,7 +80,8 @@ def numbered(replicates: Column | Weights) -> Weights:
 class Weighted:
     """Rows with a value ``_v`` and numbered weights: 0 is the full-sample weight, the replicates follow.
 
-    Group columns named in ``explode`` hold lists of groups; a row counts in each of them.
+    Group columns named in ``explode`` stand for several groups, listed by the expression beside the name; a row counts in
+    each of them.
     """
 
     rows: DataFrame
@@ -85,7 +89,7 @@ class Weighted:
     replicates: Column | Weights | None = None
     n_replicates: int = 0
     kind: str = EXACT
-    explode: tuple[str, ...] = ()
+    explode: Mapping[str, Column] = field(default_factory=dict)
 
     def at(self, k: Column) -> Column:
         if not self.n_replicates:
@@ -95,16 +99,16 @@ class Weighted:
 
 def weighted_rows(
     rows: DataFrame, value: Column, weight: Column, replicates: Column | Weights | None = None,
-    n_replicates: int = 0, kind: str = EXACT, explode: Sequence[str] = (),
+    n_replicates: int = 0, kind: str = EXACT, explode: Sequence[str] | Mapping[str, Column] = (),
 ) -> Weighted:
-    """Rows ready for ``medians``; ``value`` must not be null."""
+    """Rows ready for ``medians``; ``value`` must not be null. Columns to ``explode`` that come without an expression are lists."""
     ordered = with_order(rows.withColumn("_v", value.cast("double")), "_v", "_o").withColumn("_k", F.shiftright("_o", LOW_BITS))
-    return Weighted(ordered, weight, replicates, n_replicates, kind, tuple(explode))
+    return Weighted(ordered, weight, replicates, n_replicates, kind, explode if isinstance(explode, Mapping) else {d: F.col(d) for d in explode})
 
 
-def sum_by_bin(w: Weighted, by: Sequence[str], bins: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def sum_by_bin(w: Weighted, by: Sequence[str], bins: Sequence[str]) -> DataFrame:
     """One row per (group, bins, weight block): summed weights ``_w0..``, ``_bad``, the invalid rows, and the range of the
-    values. Columns to ``carry`` are the same in all rows of a bin.
+    values.
 
     A row is invalid when one of its replicate weights is missing, not finite or negative. Lists of groups are
     part of the key until the rows are reduced. The code per weight is kept short: a generated method over 8 kB is
@@ -123,7 +127,7 @@ def sum_by_bin(w: Weighted, by: Sequence[str], bins: Sequence[str], carry: Seque
         if n > 1 and (blocks - 1) * width + i >= n:  # the last block may be shorter
             x = F.when(k < n, x).otherwise(0)
         cells.append(x.try_cast("double").alias(f"_x{i}"))
-    slim = slim.select(*by, *bins, *carry, "_blk", "_v", "_o", *cells)
+    slim = slim.select(*by, *bins, "_blk", "_v", "_o", *cells)
     xs = [F.col(f"_x{i}") for i in range(width)]
     bad = F.lit(False)
     if w.n_replicates:
@@ -137,11 +141,11 @@ def sum_by_bin(w: Weighted, by: Sequence[str], bins: Sequence[str], carry: Seque
     key = [*by, *bins, "_blk"]
     out = slim.groupBy(*key).agg(
         *[F.sum(usable_weight(x, w.kind)).alias(name) for x, name in zip(xs, ws, strict=True)],
-        F.count_if(bad).alias("_bad"), F.min("_v").alias("_lo"), F.min("_o").alias("_first_o"), F.max("_o").alias("_last_o"), *[F.first(c).alias(c) for c in carry])
+        F.count_if(bad).alias("_bad"), F.min("_v").alias("_lo"), F.min("_o").alias("_first_o"), F.max("_o").alias("_last_o"))
     if not w.explode:
         return out
-    for d in w.explode:
-        out = out.withColumn(d, F.explode(d))
+    for d, groups in w.explode.items():
+        out = out.withColumn(d, F.explode(groups))
     return out.groupBy(*key).agg(
         *[F.sum(x).alias(x) for x in ws], F.sum("_bad").alias("_bad"), F.min("_lo").alias("_lo"), F.min("_first_o").alias("_first_o"), F.max("_last_o").alias("_last_o"))
 
@@ -174,17 +178,33 @@ def middles(bins: DataFrame, by: Sequence[str], path: Sequence[str], bin_: str,
         return f"named_struct('_r', {number}, '_w', cast({ws[i]} as {big}), '_before', cast({start} + _run{i} - {ws[i]} as {big}), '_total', {total})"
 
     crossing = f"filter(array({', '.join(map(reach, range(len(ws))))}), x -> x._w > 0 and (x._before + x._w) * 2 >= x._total and x._before * 2 <= x._total)"
-    return bins.selectExpr("*", *sums).selectExpr(*[f"`{c}`" for c in by], "_k", "_first_o", "_last_o", "_lo", "_invalid", f"inline({crossing})")
+    return bins.selectExpr("*", *sums).selectExpr(*[f"`{c}`" for c in dict.fromkeys([*by, *path, bin_])], "_first_o", "_last_o", "_lo", "_invalid", f"inline({crossing})")
 
 
-def wanted(hits: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """One row per group and bin found: its range, and start and total of the weights that have their middle in it."""
+def saved(hits: DataFrame) -> DataFrame:
+    """The bins found, saved: a few rows a group that the next pass needs at three places. Planned anew at each of them they
+    would read all rows each time."""
+    ensure_checkpoint_dir(hits.sparkSession)
+    return hits.checkpoint(eager=True)
+
+
+def in_span(rows: DataFrame, hits: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows between the first and the last value that any group found in their bucket, with both.
+
+    One row per bucket, and there are 2 ** (64 - ``LOW_BITS``) at most, so it can be broadcast and no row moves.
+    """
+    span = hits.groupBy("_k").agg(F.min("_first_o").alias(low), F.max("_last_o").alias(high))
+    return rows.join(F.broadcast(span), "_k").where(F.col("_o").between(F.col(low), F.col(high)))
+
+
+def with_totals(bins: DataFrame, hits: DataFrame, by: Sequence[str], path: Sequence[str], n: int) -> DataFrame:
+    """Bins below the ones found, with start and total of the weights that have their middle in it; other bins go."""
+    keys = [*by, *path]
     at = F.map_from_entries(F.collect_list(F.struct("_r", F.struct("_before", "_total"))))
-    found = hits.groupBy(*[F.col(c).alias(f"_m_{c}") for c in by], F.col("_k").alias("_m_k"), "_first_o", "_last_o").agg(
-        F.max("_invalid").alias("_invalid"), at.alias("_at"))
+    found = hits.groupBy(*[F.col(c).alias(f"_m_{c}") for c in keys]).agg(F.max("_invalid").alias("_invalid"), at.alias("_at"))
     listed = lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.try_element_at("_at", r)[f])
-    return found.select(*[f"_m_{c}" for c in by], "_m_k", F.col("_first_o").alias("_from"), F.col("_last_o").alias("_to"), "_invalid",
-                        listed("_before").alias("_start"), listed("_total").alias("_totals"))
+    found = found.select(*[f"_m_{c}" for c in keys], "_invalid", listed("_before").alias("_start"), listed("_total").alias("_totals"))
+    return bins.join(found, same_groups(keys, "_m_")).drop(*[f"_m_{c}" for c in keys])
 
 
 def medians(w: Weighted, by: Sequence[str]) -> DataFrame:
@@ -194,22 +214,18 @@ def medians(w: Weighted, by: Sequence[str]) -> DataFrame:
     ``_first`` the first value that reaches half. Other columns: ``by``, ``_r`` (weight number), ``_bad``.
     """
     by, n = list(by), w.n_replicates + 1
-    hits = middles(sum_by_bin(w, by, ["_k"]), by, [], "_k", w.kind)
-    rows = w.rows
-    for d in w.explode:
-        rows = rows.withColumn(d, F.explode(d))
-    # integer arithmetic, at most 2 ** LOW_BITS times BINS; in the end each double is a bin
-    for step, part in enumerate((f"(_o - _from) * {BINS} div (_to - _from + 1)", "_o - _from")):
-        need = wanted(hits, by, n)
-        lists = ["_start", "_totals", "_invalid"]
-        # All rows of a bucket may be wanted in the first pass, so the lists join its bins; later there are few.
-        carry = lists if step else []
-        met = rows.join(need.drop(*([] if step else lists)), same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k")) & F.col("_o").between(F.col("_from"), F.col("_to")))
-        met = met.withColumn("_p", F.expr(part)).drop(*[f"_m_{c}" for c in by], "_m_k")
-        bins = sum_by_bin(replace(w, rows=met, explode=()), by, ["_k", "_from", "_p"], carry)
-        if not step:
-            bins = bins.join(need.select(*[f"_m_{c}" for c in by], "_m_k", F.col("_from").alias("_m_from"), *lists), same_groups(by, "_m_") & (F.col("_k") == F.col("_m_k")) & (F.col("_from") == F.col("_m_from"))).drop(*[f"_m_{c}" for c in by], "_m_k", "_m_from")
-        hits = middles(bins, by, ["_k", "_from"], "_p", w.kind)
+    hits = saved(middles(sum_by_bin(w, by, ["_k"]), by, [], "_k", w.kind))
+    # integer arithmetic, at most 2 ** LOW_BITS times BINS
+    met = in_span(w.rows, hits, "_from", "_to").withColumn("_p", F.expr(f"(_o - _from) * {BINS} div (_to - _from + 1)"))
+    bins = sum_by_bin(replace(w, rows=met), by, ["_k", "_p"])
+    hits = saved(middles(with_totals(bins, hits, by, ["_k"], n), by, ["_k"], "_p", w.kind))
+    near = in_span(met, hits, "_low", "_high")
+    for d, groups in w.explode.items():
+        near = near.withColumn(d, F.explode(groups))
+    keys = hits.select(*[F.col(c).alias(f"_m_{c}") for c in [*by, "_k", "_p"]]).distinct()
+    near = near.join(keys, same_groups([*by, "_k", "_p"], "_m_"), "left_semi").withColumn("_d", F.col("_o"))
+    bins = sum_by_bin(replace(w, rows=near, explode={}), by, ["_k", "_p", "_d"])
+    hits = middles(with_totals(bins, hits, by, ["_k", "_p"], n), by, ["_k", "_p"], "_d", w.kind)
     # bins are values now: one that reaches half, and the next one at exactly half
     return hits.groupBy(*by, "_r").agg(
         F.min_by((F.col("_before") + F.col("_w")) * 2 == F.col("_total"), "_first_o").alias("_half"),

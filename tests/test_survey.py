@@ -143,3 +143,22 @@ def test_gap_needs_equal_fields(spark):
     assert (got["nyc"]["difference"], got["nyc"]["percent"], got["nyc"]["direction"]) == (10.0, None, "positive")
     assert got["bx"]["mismatched"] == ["measure"] and got["bx"]["difference"] is None
     assert got["nyc"]["component_caveats"] == {"o1": ["x"], "o2": []}
+
+
+def test_marks_list_their_members_again(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "x int")
+    x = F.col("x")
+    for many in ({"a": x >= 1, "b": x >= 2, "c": x == 9}, {f"m{i:02d}": x > i - 60 for i in range(70)}, cel.Label(x.cast("string"), ("1", "3"))):
+        mark, listed = cel.marks(many)
+        got = df.select(cel.memberships(many).alias("want"), mark.alias("m")).withColumn("got", listed(F.col("m"))).collect()
+        assert all((r.want or []) == r.got or r.want == r.got for r in got)
+    assert dict(df.select(cel.marks({"a": x >= 1})[0].alias("m")).dtypes)["m"] == "bigint"
+
+
+def test_only_rows_between_the_bins_found_are_kept(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("_k"), F.col("id").alias("_o"))
+    hits = spark.createDataFrame([(3, 100, 200), (3, 300, 310), (5, 40, 40)], "_k long, _first_o long, _last_o long")
+    got = med.in_span(rows, hits, "_low", "_high")
+    want = [i for i in range(1000) if i % 7 == 3 and 100 <= i <= 310 or i == 40 and i % 7 == 5]
+    assert sorted(r._o for r in got.collect()) == want
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
