@@ -40,3 +40,20 @@ def test_only_rows_with_the_rarest_gram_are_scored(spark):
     rows = index.row_key(spark.createDataFrame([(i, f"common text {i:04d}") for i in range(500)], "id long, t string"))
     ask = spark.createDataFrame([("q", "common text 0123")], "query string, _needle string")
     assert index.containing(ask, index.postings(rows, "t")).distinct().count() <= 11
+
+
+def test_postings_are_dealt_and_never_broadcast(spark):
+    # a small table makes many postings, which the size of its file does not show
+    rows = spark.createDataFrame([(i, f"common text {i:04d}") for i in range(500)], "id long, t string")
+    ask = spark.createDataFrame([("q", "common text 0123"), ("r", "ext")], "query string, _needle string")
+    got = index.containing(ask, index.postings(rows, "t"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "Repartition" in plan
+    assert got.where("query = 'r'").count() == 500 and got.columns == ["id", "t", "query", "_needle"]
+
+
+def test_short_queries_meet_no_tracts(spark):
+    rows = spark.createDataFrame([("tract", str(1000 + i), "", "") for i in range(50)] + [("nta", "N10", "x", "y")], AREAS)
+    ask = spark.createDataFrame([("10",), ("1010",)], "query string")
+    got = {(r.query, r.area_id) for r in index.search_areas(rows, ask).collect()}
+    assert got == {("10", "nta:N10"), ("1010", "tract:1010")}
