@@ -21,23 +21,25 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
-# how each kind of field is read; ``parse`` kinds can be bad, ``text`` kinds cannot
-PARSE = {"money": typed.parse_money, "number": typed.parse_number, "whole": typed.parse_whole, "date": typed.parse_date}
+# how each kind of field is read; ``parse`` kinds read the cleaned text and can be bad, ``text`` kinds cannot
+PARSE = {"money": typed.money, "number": typed.number, "whole": typed.whole, "date": typed.date}
 TEXT = {"id": typed.plain_id, "upper": typed.upper_id, "name": typed.tidy_name, "zip": typed.zip5}
 
 
 def type_columns(raw: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Add one typed column per field (name -> (kind, raw column)) and ``bad_fields``, the ones that failed."""
-    bad = []
-    parsed = {}
-    for name, (kind, source) in fields.items():
-        if kind in PARSE:
-            parsed[name] = PARSE[kind](F.col(source))
-            bad.append(F.when(parsed[name]["bad"], F.lit(name)))
-        else:
-            parsed[name] = TEXT[kind](F.col(source))
-    values = [(c["value"] if fields[n][0] in PARSE else c).alias(n) for n, c in parsed.items()]
-    return raw.select("*", *values, F.array_compact(F.array(*bad)).alias("bad_fields"))
+    """Add one typed column per field (name -> (kind, raw column)) and ``bad_fields``, the ones that failed.
+
+    Cleaned texts, values and faults are columns one after the other, and the results leave through a generator: a later
+    filter on them stays behind it, where it would otherwise be worked out from the raw texts once more for each rule.
+    """
+    parsed = [n for n, (kind, _) in fields.items() if kind in PARSE]
+    texts = raw.select("*", *[typed.clean(F.col(fields[n][1])).alias(f"_text_{n}") for n in parsed])
+    values = texts.select("*", *[
+        (PARSE[kind](F.col(f"_text_{n}")) if kind in PARSE else TEXT[kind](F.col(source))).alias(f"_value_{n}") for n, (kind, source) in fields.items()])
+    bad = [F.when(F.col(f"_text_{n}").isNotNull() & F.col(f"_value_{n}").isNull(), F.lit(n)) for n in parsed]
+    row = F.struct(*[F.col(f"_value_{n}").alias(n) for n in fields],
+                   (F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")).alias("bad_fields"))
+    return values.select(*[F.col(f"`{c}`") for c in raw.columns], F.inline(F.array(row)))
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:

@@ -259,3 +259,15 @@ def test_overlap_of_detailed_polygons(spark):
     a, b = inside(few[0][1], 150), inside(other[1][2], 150)
     both, mine = sum(p and q for r, s in zip(a, b) for p, q in zip(r, s)), sum(map(sum, a))
     assert abs(got[2, 8] - both / mine) < 0.02
+
+
+def test_a_filter_on_typed_columns_reads_the_raw_texts_once(spark):
+    from parcelwise.operators import ingest as ing
+
+    raw = spark.createDataFrame([("$1,200.50", "7", None), ("x", "1.5", "a b"), ("", "1,234.0", "c")], "m string, w string, n string")
+    fields = {"value": ("money", "m"), "units": ("whole", "w"), "name": ("name", "n")}
+    typed_ = ing.type_columns(raw, fields)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    assert 0 < plan(typed_.where("size(bad_fields) = 0 and value > 1 and units > 1")) <= plan(typed_)
+    assert [(r.value, r.units, r.name, list(r.bad_fields)) for r in typed_.collect()] == [
+        (1200.5, 7, None, []), (None, None, "a b", ["value", "units"]), (None, 1234, "c", [])]

@@ -148,11 +148,11 @@ def test_gap_needs_equal_fields(spark):
 def test_marks_list_their_members_again(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "x int")
     x = F.col("x")
-    for many in ({"a": x >= 1, "b": x >= 2, "c": x == 9}, {f"m{i:02d}": x > i - 60 for i in range(70)}, cel.Label(x.cast("string"), ("1", "3"))):
-        mark, listed = cel.marks(many)
-        got = df.select(cel.memberships(many).alias("want"), mark.alias("m")).withColumn("got", listed(F.col("m"))).collect()
+    for many in ({"a": x >= 1, "b": x >= 2, "c": x == 9}, {f"m{i:02d}": x > i - 60 for i in range(70)}, cells.Label(x.cast("string"), ("1", "3"))):
+        mark, listed = cells.marks(many)
+        got = df.select(cells.memberships(many).alias("want"), mark.alias("m")).withColumn("got", listed(F.col("m"))).collect()
         assert all((r.want or []) == r.got or r.want == r.got for r in got)
-    assert dict(df.select(cel.marks({"a": x >= 1})[0].alias("m")).dtypes)["m"] == "bigint"
+    assert dict(df.select(cells.marks({"a": x >= 1})[0].alias("m")).dtypes)["m"] == "bigint"
 
 
 def test_only_rows_between_the_bins_found_are_kept(spark):
