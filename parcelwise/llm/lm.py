@@ -38,6 +38,8 @@ NOISE = 48
 SLOT_NOISE = 16
 BATCH = 2048
 ROUND = 512
+#: Tokens of one slot group go through the batched products in blocks of so many rows.
+BLOCK = 8
 MEET = 64
 RATE = 0.2
 PIECE = 1 << 16
@@ -139,12 +141,28 @@ def layout(types: int) -> dict:
     return {"own": half, "hashed": half, "groups": groups, "wide": -(-2 * half // groups), "inputs": max(LEAST, 1 << (GROWTH * math.isqrt(types)).bit_length())}
 
 
+def found(values: np.ndarray, k: np.ndarray, keys: np.ndarray, before) -> np.ndarray:
+    """Moves each place ``k`` in sorted ``values`` on to the first one that is not ``before`` its key, or to the end. It is
+    the result of a binary search, in a step or two where the first places are near."""
+    last = len(values) - 1
+    late = np.flatnonzero(before(values[k], keys))
+    while len(late):
+        k[late] += 1
+        late = late[k[late] <= last]
+        late = late[before(values[k[late]], keys[late])]
+    return k
+
+
 def slot_of(shape: dict, hashes: np.ndarray) -> np.ndarray:
     """SHORT words: 0, 1, ..; slots of words: from len(short) on; hashed slots: after all of these."""
     code = shape["short"] + shape["own"] + ((hashes >> np.uint64(40)) % np.uint64(shape["hashed"])).astype(np.int64)
     if len(shape["known"]):
-        k = np.minimum(np.searchsorted(shape["known"], hashes), len(shape["known"]) - 1)
-        code = np.where(shape["known"][k] == hashes, shape["rank"][k], code)
+        known = shape["known"]
+        bits = len(known).bit_length()
+        guide = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        k = found(known, np.minimum(guide, len(known) - 1)[hashes >> np.uint64(64 - bits)], hashes, np.less)
+        k = np.minimum(k, len(known) - 1)
+        code = np.where(known[k] == hashes, shape["rank"][k], code)
     return code
 
 
@@ -188,14 +206,14 @@ def fresh(shape: dict, seed: int = 3) -> dict:
             "slot": (rng.normal(size=(len(slots), SIZE)) * 0.1).astype(np.float32), "slot_bias": np.log(np.maximum(slots, 1e-30)).astype(np.float32)}
 
 
-def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int):
-    """Classes (words, the end, groups), places in the table of slots (-1: none), input vector, offset in the text, row and
+def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int, code: np.ndarray | None = None):
+    """``code``: the slots of the words, where known. Classes (words, the end, groups), places in the table of slots (-1: none), input vector, offset in the text, row and
     place of each token, ends of texts included. The last input vector stands for what is before the start."""
     words = np.bincount(row, minlength=n)
     size = words + 1
     first = np.cumsum(size) - size
     place = np.arange(len(row)) + row
-    code = slot_of(shape, hashes)
+    code = slot_of(shape, hashes) if code is None else code
     rest = code - shape["short"]
     cls, at = np.full(len(row) + n, shape["short"], np.int64), np.full(len(row) + n, -1, np.int64)
     cls[place] = np.where(rest < 0, code, shape["short"] + 1 + rest % shape["groups"])
@@ -209,7 +227,7 @@ def encode(shape: dict, hashes: np.ndarray, row: np.ndarray, n: int):
 def predicted(p: dict, given: np.ndarray, early: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the inputs, and the vector that the CONTEXT inputs before each token predict. ``given`` begins CONTEXT
     tokens before the first one to predict; ``early[j]``: tokens whose j-th last input is before the start of their text."""
-    vectors = p["in"][given]
+    vectors = p["in"].take(given, axis=0)
     n = len(given) - CONTEXT
     q = np.zeros((n, SIZE), np.float32)
     for j in range(CONTEXT):
@@ -223,100 +241,154 @@ def window(given: np.ndarray, offset: np.ndarray, a: int, b: int, start: int) ->
     """Inputs and early tokens of the tokens a to b."""
     lead = given[max(0, a - CONTEXT) : b]
     lead = np.concatenate([np.full(max(0, CONTEXT - a), start), lead])
-    return lead, [np.flatnonzero(offset[a:b] <= j) for j in range(CONTEXT)]
+    near = np.flatnonzero(offset[a:b] < CONTEXT)
+    return lead, [near[offset[a:b][near] <= j] for j in range(CONTEXT)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     x = np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def sorting(index: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of an index below ``size``."""
+    return np.argsort(index.astype(np.uint16 if size <= 1 << 16 else np.int32), kind="stable")
+
+
 def rows_of(index: np.ndarray, parts_: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of an index below ``size`` and the sums of their gradients, by one sort."""
-    order = np.argsort(index.astype(np.uint16 if size <= 1 << 16 else np.int32), kind="stable")
+    """The distinct rows of an index below ``size`` and the sums of their gradients, by one sort. Only what comes after the
+    first gradient of a row is added up."""
+    order = sorting(index, size)
     index = index[order]
     first = np.concatenate([[True], index[1:] != index[:-1]])
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(first) - 1
-    rows, width = index[first], parts_.shape[1]
-    return rows, np.bincount((which[:, None] * width + np.arange(width)).ravel(), parts_.ravel(), minlength=len(rows) * width).astype(np.float32).reshape(-1, width)
-
-
-def with_bias(d: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Gradients of vectors and, as a last column, of their bias."""
-    out = np.empty((len(q), SIZE + 1), np.float32)
-    np.multiply(q, d[:, None], out=out[:, :SIZE])
-    out[:, SIZE] = d
-    return out
+    rows, sums = index[first], parts_.take(order[first], axis=0)
+    again = np.flatnonzero(~first)
+    if len(again):
+        which, width = (np.cumsum(first) - 1)[again], parts_.shape[1]
+        more = starts_of(which)
+        k = np.repeat(np.arange(len(more)), np.diff(np.append(more, len(which))))
+        added = np.bincount((k[:, None] * width + np.arange(width)).ravel(), parts_.take(order[again], axis=0).ravel(), minlength=len(more) * width)
+        sums[which[more]] += added.reshape(-1, width)
+    return rows, sums
+
+
+def joined(p: dict) -> dict:
+    """Weights as they are trained: the bias of a class or slot is the last column of its vector."""
+    return {"in": p["in"], "place": p["place"], "out": np.column_stack([p["out"], p["bias"]]), "slot": np.column_stack([p["slot"], p["slot_bias"]])}
+
+
+def parted(w: dict) -> dict:
+    return {"in": w["in"], "place": w["place"], "out": w["out"][:, :SIZE], "bias": w["out"][:, SIZE], "slot": w["slot"][:, :SIZE], "slot_bias": w["slot"][:, SIZE]}
+
+
+def slot_step(slot: np.ndarray, q: np.ndarray, at: np.ndarray, wide: int, draw, log_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the second level: of ``q``, whose rows are in the order of their places ``at`` in the table of slots,
+    and by row of that table. The tokens of a group meet its noise slots in blocks of BLOCK rows, the last one filled up
+    with rows of zeros, so that one batched product handles all groups."""
+    group = at // wide
+    first = starts_of(group)
+    size = np.diff(np.append(first, len(group)))
+    drawn = draw(group[first])
+    slot_k = np.float32(np.log(SLOT_NOISE))
+    there, other = slot.take(at, axis=0), slot.take(drawn, axis=0)
+    there[:, SIZE] -= log_slot[at]
+    other[:, :, SIZE] -= log_slot[drawn]
+    there[:, SIZE] -= slot_k
+    other[:, :, SIZE] -= slot_k
+    d = sigmoid(np.einsum("ns,ns->n", q, there)) - 1
+    blocks = -(-size // BLOCK)
+    begin = np.cumsum(blocks) - blocks
+    row = np.arange(len(at)) + np.repeat(begin * BLOCK - first, size)
+    padded = np.zeros((blocks.sum() * BLOCK, SIZE + 1), np.float32)
+    padded[row] = q
+    padded = padded.reshape(-1, BLOCK, SIZE + 1)
+    other = other.take(np.repeat(np.arange(len(first)), blocks), axis=0)
+    e = sigmoid(padded @ other.transpose(0, 2, 1))
+    dq = d[:, None] * there + (e @ other).reshape(-1, SIZE + 1).take(row, axis=0)
+    each = e.transpose(0, 2, 1) @ padded
+    noisy = each.take(begin, axis=0)
+    for k in range(1, blocks.max()):
+        more = np.flatnonzero(blocks > k)
+        noisy[more] += each.take(begin[more] + k, axis=0)
+    return dq, *rows_of(np.concatenate([at, drawn.ravel()]), np.concatenate([d[:, None] * q, noisy.reshape(-1, SIZE + 1)]), len(slot))
+
+
+def put_rows(table: np.ndarray, rows: np.ndarray | None, values: np.ndarray) -> None:
+    """Write whole rows (None: all of them), each as one item."""
+    if rows is None:
+        table[:] = values
+    else:
+        item = np.dtype((np.void, table.shape[1] * table.itemsize))
+        np.put(table.view(item)[:, 0], rows, values.view(item)[:, 0])
 
 
 def train_step(p: dict, speed: dict, lead: np.ndarray, early: list[np.ndarray], cls: np.ndarray, at: np.ndarray, noise: np.ndarray, draw, log_share: np.ndarray, log_slot: np.ndarray, wide: int) -> None:
-    """One noise-contrastive step on both levels. The noise classes are shared by the batch, the noise slots by the tokens
-    of a group: ``draw(groups)`` gives SLOT_NOISE of each."""
+    """One noise-contrastive step on both levels of ``joined`` weights. The noise classes are shared by the batch, the noise
+    slots by the tokens of a group: ``draw(groups)`` gives SLOT_NOISE of each. Tokens are put in the order of class and slot."""
     n = len(cls)
-    vectors, q = predicted(p, lead, early)
-    log_k = np.float32(np.log(len(noise)))
-    target, against = p["out"][cls], p["out"][noise]
-    shift = p["bias"] - log_share - log_k
-    d_true = sigmoid(np.einsum("ns,ns->n", q, target) + shift[cls]) - 1
-    d_noise = sigmoid(q @ against.T + shift[noise])
+    vectors, context = predicted(p, lead, early)
+    words = len(p["out"]) - len(p["slot"]) // wide
+    order = sorting(np.where(at < 0, cls, at + words), words + len(p["slot"]))
+    cls, at = cls[order], at[order]
+    q = np.ones((n, SIZE + 1), np.float32)
+    q[:, :SIZE] = context.take(order, axis=0)
+    level = p["out"].copy()
+    level[:, SIZE] -= log_share
+    level[:, SIZE] -= np.float32(np.log(len(noise)))
+    target, against = level.take(cls, axis=0), level.take(noise, axis=0)
+    d_true = sigmoid(np.einsum("ns,ns->n", q, target)) - 1
+    d_noise = sigmoid(q @ against.T)
     dq = d_true[:, None] * target + d_noise @ against
-    rows, sums = rows_of(cls, with_bias(d_true, q), len(shift))
-    out = np.zeros((len(shift), SIZE + 1), np.float32)
-    out[rows] = sums
-    np.add.at(out, noise, np.concatenate([d_noise.T @ q, d_noise.sum(0)[:, None]], 1))
-    grads = {"out": (slice(None), out[:, :SIZE]), "bias": (slice(None), out[:, SIZE])}
-    own = np.flatnonzero(at >= 0)
-    if len(own):
-        group = at[own] // wide
-        order = np.argsort(group.astype(np.uint16 if len(p["slot"]) // wide <= 1 << 16 else np.int32), kind="stable")
-        own, group = own[order], group[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        member = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
-        drawn = draw(group[first])
-        slot_k = np.float32(np.log(SLOT_NOISE))
-        q_own, there, other = q[own], p["slot"][at[own]], p["slot"][drawn]
-        d = sigmoid(np.einsum("ns,ns->n", q_own, there) + p["slot_bias"][at[own]] - log_slot[at[own]] - slot_k) - 1
-        ranges = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
-        e = (p["slot_bias"][drawn] - log_slot[drawn] - slot_k)[member]
-        for k, (i, j) in enumerate(ranges):
-            e[i:j] += q_own[i:j] @ other[k].T
-        e = sigmoid(e)
-        back, noisy = d[:, None] * there, np.empty((len(first), SLOT_NOISE, SIZE + 1), np.float32)
-        noisy[:, :, SIZE] = np.add.reduceat(e, first, axis=0)
-        for k, (i, j) in enumerate(ranges):
-            back[i:j] += e[i:j] @ other[k]
-            noisy[k, :, :SIZE] = e[i:j].T @ q_own[i:j]
-        dq[own] += back
-        noisy = noisy.reshape(-1, SIZE + 1)
-        rows, sums = rows_of(np.concatenate([at[own], drawn.ravel()]), np.concatenate([with_bias(d, q_own), noisy]), len(p["slot"]))
-        grads |= {"slot": (rows, sums[:, :SIZE]), "slot_bias": (rows, sums[:, SIZE])}
+    first = starts_of(cls)
+    drawn = np.zeros((len(p["out"]), len(noise)), np.float32)
+    drawn[noise, np.arange(len(noise))] = 1
+    out = drawn @ (d_noise.T @ q)
+    out[cls[first]] += np.add.reduceat(d_true[:, None] * q, first, axis=0)
+    grads = {"out": (None, out)}
+    short = int(np.searchsorted(at, 0))
+    if short < n:
+        back, *grads["slot"] = slot_step(p["slot"], q[short:], at[short:], wide, draw, log_slot)
+        dq[short:] += back
+    of_context = np.empty((n, SIZE), np.float32)
+    of_context[order] = dq[:, :SIZE]
+    dq = of_context
     place, back, start = np.zeros((CONTEXT, SIZE), np.float32), np.zeros_like(vectors), np.zeros(SIZE, np.float32)
     for j in range(CONTEXT):
         part = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n)
-        place[j] = np.einsum("ns,ns->s", vectors[part], dq) + ((p["in"][-1] - vectors[part][early[j]]) * dq[early[j]]).sum(0)
+        place[j] = (vectors[part].T @ dq).diagonal() + ((p["in"][-1] - vectors[part][early[j]]) * dq[early[j]]).sum(0)
         term = dq * p["place"][j]
         start += term[early[j]].sum(0)
         term[early[j]] = 0
         back[part] += term
-    rows, sums = rows_of(np.append(lead, len(p["in"]) - 1), np.concatenate([back, start[None]]), len(p["in"]))
-    grads |= {"place": (slice(None), place), "in": (rows, sums)}
+    grads |= {"place": (None, place), "in": rows_of(np.append(lead, len(p["in"]) - 1), np.concatenate([back, start[None]]), len(p["in"]))}
     for k, (rows, g) in grads.items():
-        g = g / np.float32(n)
-        pace = speed[k][rows] + g * g
-        speed[k][rows] = pace
-        p[k][rows] -= np.float32(RATE) * g / (np.sqrt(pace) + np.float32(1e-4))
+        g /= np.float32(n)
+        pace = g * g
+        pace += speed[k] if rows is None else speed[k].take(rows, axis=0)
+        put_rows(speed[k], rows, pace)
+        np.sqrt(pace, out=pace)
+        pace += np.float32(1e-4)
+        g *= np.float32(RATE)
+        g /= pace
+        put_rows(p[k], rows, (p[k] if rows is None else p[k].take(rows, axis=0)) - g)
 
 
 def drawing(shape: dict, rng):
-    """SLOT_NOISE draws by share from each of some groups."""
+    """SLOT_NOISE draws by share from each of some groups, in ascending order."""
     ends, wide, filled = np.cumsum(shape["slots"]), shape["wide"], shape["filled"]
+    guide = np.minimum(np.searchsorted(ends, np.arange(len(ends) + 1) / wide, side="right"), len(ends) - 1)
 
     def draw(groups: np.ndarray) -> np.ndarray:
-        drawn = np.searchsorted(ends, groups[:, None] + rng.random((len(groups), SLOT_NOISE)), side="right")
+        keys = (groups[:, None] + np.sort(rng.random((len(groups), SLOT_NOISE)), axis=1)).ravel()
+        drawn = found(ends, guide[(keys * wide).astype(np.int64)], keys, np.less_equal).reshape(-1, SLOT_NOISE)
         return np.clip(drawn, (groups * wide)[:, None], (groups * wide + filled[groups] - 1)[:, None])
 
     return draw
@@ -325,8 +397,9 @@ def drawing(shape: dict, rng):
 def trainer(shape: dict):
     def run(batches):
         p, rng, total = fresh(shape), np.random.default_rng(4), 0
+        log_share, log_slot = p["bias"], p["slot_bias"]
+        p = joined(p)
         speed = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-        log_share, log_slot = p["bias"].copy(), p["slot_bias"].copy()
         upto, draw = np.cumsum(shape["classes"]), drawing(shape, rng)
         for batch in batches:
             data, at = sh.packed(batch.column("text"))
@@ -340,6 +413,7 @@ def trainer(shape: dict):
                 total += len(cls)
         if total:
             task = TaskContext.get().partitionId() if TaskContext.get() else 0
+            p = parted(p)
             flat = np.concatenate([p[k].ravel() for k in sorted(p)])
             cut = range(0, len(flat), PIECE)
             columns = [pa.array(range(len(cut)), pa.int64()), pa.array([task] * len(cut), pa.int64()), pa.array([flat[a : a + PIECE].tobytes() for a in cut], pa.binary()), pa.array([total] * len(cut), pa.int64())]
@@ -403,35 +477,42 @@ def train(docs: DataFrame, counted: DataFrame, types: int, ends: int, buckets: i
     return {"net": p, "shape": shape, "shared": slots[shape["own"] :] + kinds + 1}
 
 
-def log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax of q's scores at one column each; ``q`` has a last column of ones. Blocks fit the cache."""
+def log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, own: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of q's scores at one column each; ``q`` has a last column of ones. Blocks fit the cache
+    and are worked out in ``room``, of at least ROUND rows."""
     table = np.concatenate([vectors, bias[:, None]], 1)
     seen = bias > -1e29
-    high = np.sqrt((q[:, :-1] ** 2).sum(1).max(initial=0)) * np.sqrt((vectors[seen] ** 2).sum(1).max(initial=0)) + bias.max(initial=-1e30)
-    out, ones = np.einsum("ns,ns->n", q, table[own]), np.ones(len(table), np.float32)
+    reach, most = np.sqrt((vectors[seen] ** 2).sum(1).max(initial=0)), bias.max(initial=-1e30)
+    out, ones = np.empty(len(q)), np.ones(len(table), np.float32)
     for a in range(0, len(q), ROUND):
-        s = q[a : a + ROUND] @ table.T
-        top = s.max(1, keepdims=True) if high > 80 else np.zeros((1, 1), np.float32)
-        if high > 80:
+        part = q[a : a + ROUND]
+        s = np.matmul(part, table.T, out=room[: len(part) * len(table)].reshape(len(part), len(table)))
+        value = np.einsum("ns,ns->n", part, table.take(own[a : a + ROUND], axis=0))
+        if np.sqrt(np.einsum("ns,ns->n", part, part).max()) * reach + most > 80:
+            top = s.max(1, keepdims=True)
             s -= top
+            value -= top[:, 0]
         np.exp(s, out=s)
-        out[a : a + ROUND] -= np.log(s @ ones) + top[:, 0]
+        out[a : a + ROUND] = value - np.log(s @ ones)
     return out
 
 
 def log_probabilities(p: dict, shape: dict, cls: np.ndarray, at: np.ndarray, given: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each class after its context, and of the slot in its group."""
-    q = np.ones((len(cls), SIZE + 1), np.float32)
-    q[:, :SIZE] = predicted(p, *window(given, offset, 0, len(cls), shape["inputs"]))[1]
-    out = log_softmax(q, p["out"], p["bias"], cls).astype(float)
+    q, out = np.empty((len(cls), SIZE + 1), np.float32), np.empty(len(cls))
+    room = np.empty(ROUND * max(len(p["bias"]), shape["wide"]), np.float32)
+    for a in range(0, len(cls), BATCH):
+        b = min(a + BATCH, len(cls))
+        q[a:b, :SIZE], q[a:b, SIZE] = predicted(p, *window(given, offset, a, b, shape["inputs"]))[1], 1
+        out[a:b] = log_softmax(q[a:b], p["out"], p["bias"], cls[a:b], room)
     own = np.flatnonzero(at >= 0)
-    own = own[np.argsort(cls[own], kind="stable")]
+    own = own[sorting(cls[own], len(p["bias"]))]
     cuts = cuts_of(cls[own])
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         rows = own[i:j]
         low = at[rows[0]] // shape["wide"] * shape["wide"]
         part = slice(low, low + shape["wide"])
-        out[rows] += log_softmax(q[rows], p["slot"][part], p["slot_bias"][part], at[rows] - low)
+        out[rows] += log_softmax(q.take(rows, axis=0), p["slot"][part], p["slot_bias"][part], at[rows] - low, room)
     return out / np.log(10)
 
 
@@ -449,7 +530,8 @@ def scorer(shared_model, facts: dict, buckets: int, folds: int, held: int):
         for b, raw in zip(counted.column("bucket").to_pylist(), counted.column("data").to_pylist(), strict=True):
             got = grow(raw)
             c[place[b] : place[b] + len(got)] = got
-        c = c[which]
+        shape = model["shape"]
+        c, code = c[which], slot_of(shape, uniq)[which]
         words = np.bincount(row, minlength=n)
         size = words + 1
         ids = sh.ids_of(table)
@@ -459,10 +541,9 @@ def scorer(shared_model, facts: dict, buckets: int, folds: int, held: int):
         while a < n:
             b = max(a + 1, int(np.searchsorted(np.cumsum(size), (np.cumsum(size)[a - 1] if a else 0) + 400_000)))
             lo, hi = np.searchsorted(row, [a, b])
-            shape = model["shape"]
-            cls, at, given, offset, doc, place_ = encode(shape, hashes[lo:hi], row[lo:hi] - a, b - a)
+            cls, at, given, offset, doc, place_ = encode(shape, hashes[lo:hi], row[lo:hi] - a, b - a, code[lo:hi])
             log = log_probabilities(model["net"], shape, cls, at, given, offset)
-            shared = slot_of(shape, hashes[lo:hi]) - shape["short"] - shape["own"]
+            shared = code[lo:hi] - shape["short"] - shape["own"]
             other = shared >= 0
             log[place_[other]] += np.log10((c[lo:hi][other] + 1.0) / model["shared"][shared[other]])
             score[a:b] = np.bincount(doc, log, minlength=b - a)
